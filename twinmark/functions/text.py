@@ -131,3 +131,8 @@ def count_tokens_in(tokens, words) -> Column:
     """Occurrences of any of ``words`` in a token array (E1 counts)."""
     words = list(words)
     return F.size(F.filter(_col(tokens), lambda x: x.isin(words)))
+
+
+def chars(s) -> Column:
+    """Characters (code points) of a string as an array."""
+    return F.regexp_extract_all(_col(s), F.lit("(?s)."), 0)

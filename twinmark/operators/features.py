@@ -105,10 +105,18 @@ def lcs_length(a, b) -> Column:
     return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), lb + 1), step), -1)
 
 
-def lcs_ratio(ws1="ws1", ws2="ws2") -> Column:
-    """E5: LCS of whitespace words / (len1 + len2), 0 when both are empty (true LCS, see Q3)."""
-    return D.try_divide(lcs_length(ws1, ws2),
-                        F.size(_col(ws1)) + F.size(_col(ws2))).alias("lcs_ratio")
+def lcs_ratio(ws1="ws1", ws2="ws2", method: str = "arrow") -> Column:
+    """E5: LCS of whitespace words / (len1 + len2), 0 when both are empty (true LCS, see Q3).
+
+    ``method="arrow"`` runs the row DP in numpy inside an Arrow UDF (fast on long sentences);
+    ``method="hof"`` keeps it in Spark higher-order functions (no Python workers; short arrays).
+    """
+    if method == "hof":
+        n = lcs_length(ws1, ws2)
+    else:
+        from ..functions.arrow_udfs import lcs_len_udf
+        n = lcs_len_udf(_col(ws1), _col(ws2))
+    return D.try_divide(n, F.size(_col(ws1)) + F.size(_col(ws2))).alias("lcs_ratio")
 
 
 def label_column(label="label") -> Column:

@@ -119,3 +119,41 @@ def plain_grams(w: str, n: int) -> str:
 
 def edit_dist(a: str, b: str) -> str:
     return try_divide(f"levenshtein({a}, {b})", f"greatest(length({a}), length({b}))")
+
+
+def bigrams_skip(w: str, sep: str, skip: int) -> str:
+    return (f"CASE WHEN len({w}) > 1 THEN flatten(list_transform(range(1, len({w})), lambda i: "
+            f"list_transform(list_filter(range(1, {skip + 2}), lambda k: i + k <= len({w})), "
+            f"lambda k: {join_parts([f'{w}[i]', f'{w}[i + k]'], sep)}))) ELSE {w} END")
+
+
+def trigrams_skip(w: str, sep: str, skip: int) -> str:
+    return (f"CASE WHEN len({w}) > 2 THEN flatten(list_transform(range(1, len({w}) - 1), lambda i: "
+            f"flatten(list_transform(range(1, {skip + 2}), lambda k1: list_transform("
+            f"list_filter(range(1, {skip + 2}), lambda k2: i + k1 <= len({w}) AND i + k1 + k2 <= len({w})), "
+            f"lambda k2: {join_parts([f'{w}[i]', f'{w}[i + k1]', f'{w}[i + k1 + k2]'], sep)}))))) "
+            f"ELSE {bigrams_skip(w, sep, skip)} END")
+
+
+def biterms(w: str, sep: str = " ") -> str:
+    return (f"CASE WHEN len({w}) > 1 THEN flatten(list_transform(range(1, len({w})), lambda i: "
+            f"list_transform(range(i + 1, len({w}) + 1), lambda j: {join_parts([f'{w}[i]', f'{w}[j]'], sep)}))) "
+            f"ELSE {w} END")
+
+
+def triterms(w: str, sep: str = " ") -> str:
+    return (f"CASE WHEN len({w}) > 2 THEN flatten(list_transform(range(1, len({w}) - 1), lambda i: "
+            f"flatten(list_transform(range(i + 1, len({w})), lambda j: list_transform(range(j + 1, len({w}) + 1), "
+            f"lambda k: {join_parts([f'{w}[i]', f'{w}[j]', f'{w}[k]'], sep)}))))) ELSE {biterms(w, sep)} END")
+
+
+def fourterms(w: str, sep: str = " ") -> str:
+    return (f"CASE WHEN len({w}) > 3 THEN flatten(list_transform(range(1, len({w}) - 2), lambda i: "
+            f"flatten(list_transform(range(i + 1, len({w}) - 1), lambda j: flatten(list_transform(range(j + 1, len({w})), "
+            f"lambda k: list_transform(range(k + 1, len({w}) + 1), "
+            f"lambda m: {join_parts([f'{w}[i]', f'{w}[j]', f'{w}[k]', f'{w}[m]'], sep)}))))))) "
+            f"ELSE {triterms(w, sep)} END")
+
+
+def chars(e: str) -> str:
+    return f"regexp_extract_all({e}, '(?s).')"
