@@ -59,4 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    df = df.persist()  # the checkpoint write reads the cached blocks instead of recomputing
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out

@@ -45,3 +45,29 @@ def labelled_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (doc_pairs(spark, sf_dir).join(l1, "prev_id").join(l2, "pair_id")
             .withColumn("label", (F.col("q1") == F.col("q2")).cast("int"))
             .drop("q1", "q2"))
+
+
+def split_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_pairs`` with ``split``: 'train' when both documents are labelled (label = same
+    quality), else 'test' with label -1 (the reference's test rows)."""
+    lab = table(spark, sf_dir, "labels", "doc_id", "quality")
+    l1 = lab.select(F.col("doc_id").alias("prev_id"), F.col("quality").alias("q1"))
+    l2 = lab.select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("q2"))
+    both = F.col("q1").isNotNull() & F.col("q2").isNotNull()
+    return (doc_pairs(spark, sf_dir).join(l1, "prev_id", "left").join(l2, "pair_id", "left")
+            .withColumn("label", F.when(both, (F.col("q1") == F.col("q2")).cast("int")).otherwise(F.lit(-1)))
+            .withColumn("split", F.when(both, F.lit("train")).otherwise(F.lit("test")))
+            .drop("q1", "q2"))
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vector table (word, vec): the word ranked i-th by frequency over all document tokens
+    (count desc, word asc; i from 1) owns ``embeddings.vec_id = i - 1``.  Words ranked past the
+    embedding rows have no vector."""
+    from ..functions import text as T
+    from ..operators.corpus import rank_words
+
+    docs = table(spark, sf_dir, "documents", "text")
+    ranked = rank_words(docs.select(F.explode(T.tokens_ws(T.lower("text"))).alias("word")))
+    emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ranked.join(emb, ranked["idx"] - 1 == emb["vec_id"]).select("word", F.col("embedding").alias("vec"))
