@@ -33,7 +33,7 @@ def rank_words(words: DataFrame, word: str = "word") -> DataFrame:
 def in_vocabulary(df: DataFrame, vectors: DataFrame, key_cols: list[str], tok_col: str = "toks",
                   word: str = "word") -> DataFrame:
     """keep only tokens that have a vector, order kept (exploded semi join, re-collected)."""
-    ex = df.select(*key_cols, F.posexplode(tok_col).alias("pos", word))
+    ex = df.select(*key_cols, F.posexplode_outer(tok_col).alias("pos", word)).where(F.col(word).isNotNull())
     kept = ex.join(vectors.select(word), word, "left_semi")
     agg = kept.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", word))).alias("_s"))
     return (df.join(agg, key_cols, "left")
@@ -56,7 +56,7 @@ def prepare_tokens(pairs: DataFrame, keys: list[str], vectors: DataFrame, lang:
 
 def fit_vocabulary(sides: DataFrame) -> DataFrame:
     """K1 = G7 + W1 over every token of every side (train and test): (word, n, idx)."""
-    return rank_words(sides.select(F.explode("toks").alias("word")))
+    return rank_words(sides.select(F.explode_outer("toks").alias("word")).where(F.col("word").isNotNull()))
 
 
 def to_sequences(sides: DataFrame, keys: list[str], vocab: DataFrame, num_words: int = MAX_NB_WORDS) -> DataFrame:
@@ -65,7 +65,7 @@ def to_sequences(sides: DataFrame, keys: list[str], vocab: DataFrame, num_words:
     The lookup table holds at most ``num_words`` rows, so it is broadcast.
     """
     lookup = F.broadcast(vocab.where(F.col("idx") < num_words).select("word", "idx"))
-    ex = sides.select(*keys, "side", F.posexplode("toks").alias("pos", "word"))
+    ex = sides.select(*keys, "side", F.posexplode_outer("toks").alias("pos", "word")).where(F.col("word").isNotNull())
     ids = (ex.join(lookup, "word").groupBy(*keys, "side")
            .agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s")))
     return (sides.select(*keys, "side").join(ids, [*keys, "side"], "left")

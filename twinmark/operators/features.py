@@ -159,7 +159,7 @@ def word_match_share_exploded(pairs: DataFrame, keys: list[str], lang: str = "sp
     """
     t = pairs.select(*keys, T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("a"),
                      T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("b"))
-    bag = lambda c, side: (t.select(*keys, F.explode(c).alias("word"))
+    bag = lambda c, side: (t.select(*keys, F.explode_outer(c).alias("word")).where(F.col("word").isNotNull())
                            .groupBy(*keys, "word").agg(F.count("*").alias(f"n{side}")))
     bag1, bag2 = bag("a", 1), bag("b", 2)
     shared = (bag1.join(bag2, [*keys, "word"], "inner").groupBy(*keys)
@@ -180,7 +180,8 @@ def corpus_idf(pairs: DataFrame) -> DataFrame:
     """``log2(N / (cf + 1))`` with cf the collection frequency over distinct sentences and N the
     number of pair rows (Q5).  Partial aggregation combines frequent words map-side."""
     n_rows = pairs.agg(F.count(F.lit(1)).cast("double")).scalar()
-    words = distinct_sentences(pairs).select(F.explode(T.tokens_ws(T.lower("s"))).alias("word"))
+    toks = distinct_sentences(pairs).select(T.tokens_ws(T.lower("s")).alias("t"))
+    words = toks.select(F.explode_outer("t").alias("word")).where(F.col("word").isNotNull())
     return (words.groupBy("word").agg(F.count("*").alias("cf"))
             .select("word", F.log2(n_rows / (F.col("cf") + F.lit(1.0))).alias("idf")))
 
@@ -195,7 +196,7 @@ def tfidf_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = No
     idf = corpus_idf(pairs) if idf is None else idf
     sides = (pairs.select(*keys, F.lit(1).alias("side"), T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("w"))
              .union(pairs.select(*keys, F.lit(2).alias("side"), T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("w"))))
-    tf = (sides.select(*keys, "side", F.explode("w").alias("word"))
+    tf = (sides.select(*keys, "side", F.explode_outer("w").alias("word")).where(F.col("word").isNotNull())
           .groupBy(*keys, "side", "word").agg(F.count("*").alias("tf")))
     weighted = tf.join(idf, "word", "left").select(
         *keys, "side", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("wt"))

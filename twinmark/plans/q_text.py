@@ -114,7 +114,8 @@ FROM (SELECT p_partkey, p_size, p_retailprice, lower(p_name) AS a, lower(p_type)
 def string_distances(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     p = p.select("p_partkey", "p_size", "p_retailprice", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
-    ca, cb = T.chars("a"), T.chars("b")
+    p = p.withColumn("ca", T.chars("a")).withColumn("cb", T.chars("b"))
+    ca, cb = F.col("ca"), F.col("cb")
     return p.select(
         "p_partkey", D.edit_dist("a", "b").alias("edit_dist"),
         D.is_str_match("a", "b", 1.0).alias("match_exact"), D.is_str_match("a", "b", 0.3).alias("match_03"),

@@ -68,6 +68,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.corpus import rank_words
 
     docs = table(spark, sf_dir, "documents", "text")
-    ranked = rank_words(docs.select(F.explode(T.tokens_ws(T.lower("text"))).alias("word")))
+    toks = docs.select(T.tokens_ws(T.lower("text")).alias("t"))
+    ranked = rank_words(toks.select(F.explode_outer("t").alias("word")).where(F.col("word").isNotNull()))
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ranked.join(emb, ranked["idx"] - 1 == emb["vec_id"]).select("word", F.col("embedding").alias("vec"))
