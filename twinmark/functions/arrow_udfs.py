@@ -43,3 +43,14 @@ def partial_token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def partial_token_sort_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.partial_token_sort_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+@F.pandas_udf(T.StringType())
+def stem_udf(words: pd.Series) -> pd.Series:
+    from .snowball_es import stem
+    return words.map(stem)
+
+
+@F.pandas_udf(T.LongType())
+def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([H.partial_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
