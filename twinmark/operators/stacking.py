@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .sampling import kfold
 
 
@@ -31,8 +32,9 @@ def out_of_fold_scores(train: DataFrame, test: DataFrame, key: str, features: li
                             StandardScaler(inputCol="_raw", outputCol="_x"),
                             LogisticRegression(featuresCol="_x", labelCol=label, maxIter=max_iter,
                                                probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y")])
-    tr = tr.na.fill(0.0, subset=features)
-    te = test.na.fill(0.0, subset=features)
+    # the fits pass over the data many times: cut the feature lineage once (reliable checkpoint)
+    tr = cut_lineage(tr.na.fill(0.0, subset=features))
+    te = cut_lineage(test.na.fill(0.0, subset=features))
     oof, tests = [], []
     for i in range(n_splits):
         model = pipe.fit(tr.where(F.col("fold") != i))

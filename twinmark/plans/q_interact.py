@@ -167,8 +167,8 @@ padded AS (SELECT pair_id, side, CASE WHEN len(ids) = 0 THEN list_transform(rang
              ELSE list_concat(list_transform(range(30 - least(30, len(ids))), lambda z: 0),
                               list_slice(ids, len(ids) - least(30, len(ids)) + 1, len(ids))) END AS p FROM seq),
 ptv AS (SELECT x.pair_id, x.side, e.vec FROM (SELECT pair_id, side, unnest(p) AS idx FROM padded) x JOIN embt e ON e.idx = x.idx),
-ex AS (SELECT pair_id, side, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM ptv),
-agg AS (SELECT pair_id, side, d, avg(x) AS mean, max(x) AS mx, sum(x) AS sm FROM ex GROUP BY ALL),
+vex AS (SELECT pair_id, side, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM ptv),
+agg AS (SELECT pair_id, side, d, avg(x) AS mean, max(x) AS mx, sum(x) AS sm FROM vex GROUP BY ALL),
 sv AS (SELECT pair_id, side, list(mean ORDER BY d) AS mean, list(mx ORDER BY d) AS mx, list(sm ORDER BY d) AS sm FROM agg GROUP BY ALL),
 pv AS (SELECT a.pair_id, list_transform(list_zip(a.mean, b.mean), lambda t: abs(t[1] - t[2])) AS ad,
               list_transform(list_zip(a.mean, b.mean), lambda t: t[1] * t[2]) AS pr, list_concat(a.mean, b.mean) AS cc
