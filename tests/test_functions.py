@@ -21,7 +21,7 @@ def test_p1_paired_punctuation(spark):
 
 
 def test_p2_all_punctuation_keeps_backslash(spark):
-    assert one(spark, T.strip_punct_all("s"), [("¡Hola!, ¿qué\\tal?",)], "s string") == "Holaqué\\tal"
+    assert one(spark, T.strip_punct_all("s"), [("¡Hola!, ¿qué\\tal?",)], "s string") == "Hola qué\\tal"
 
 
 def test_tokens_and_strip(spark):

@@ -90,9 +90,9 @@ def sparse_lines(long_cells: DataFrame, rows: DataFrame) -> DataFrame:
 
 def write_smat(lines: DataFrame, path: str, n_cols: int) -> None:
     """Write (row_id, value) lines with the ``rows cols`` header first."""
-    n = lines.agg(F.count(F.lit(1))).scalar()
-    header = lines.sparkSession.range(1).select(F.lit(-1).cast("long").alias("row_id"),
-                                                F.lit(f"{n} {n_cols}").alias("value"))
+    n = lines.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated with the write
+    header = lines.sparkSession.range(1).select(
+        F.lit(-1).cast("long").alias("row_id"), F.concat(n.cast("string"), F.lit(f" {n_cols}")).alias("value"))
     write_lines(header.unionByName(lines.select(F.col("row_id").cast("long"), "value")), path, order_by="row_id")
 
 
