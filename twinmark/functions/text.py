@@ -34,6 +34,11 @@ NEGATORS = ("no", "ni", "nunca")
 # ---------------------------------------------------------------------------------------------
 
 TOKEN_PATTERN = f"[^{WS_CLASS}]+"
+# The whitespace characters of WS_CLASS outside Java's ``\s`` ([ \t\n\x0B\f\r]); mapping them to a
+# blank first lets the tokeniser use ``\S+``, which Java matches several times faster than the
+# equivalent explicit class (same tokens).
+EXTRA_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c) -> Column:
@@ -56,8 +61,9 @@ def lower(s) -> Column:
 
 
 def tokens_ws(s) -> Column:
-    """P5: whitespace tokens, empties dropped (Python ``split()``)."""
-    return F.regexp_extract_all(_col(s), F.lit(TOKEN_PATTERN), 0)
+    """P5: whitespace tokens, empties dropped (Python ``split()``, i.e. ``[^WS_CLASS]+``)."""
+    normalised = F.translate(_col(s), EXTRA_WS, " " * len(EXTRA_WS))
+    return F.regexp_extract_all(normalised, F.lit(r"\S+"), 0)
 
 
 def tokens_word(s) -> Column:
@@ -104,12 +110,22 @@ def remove_stopwords(tokens, lang: str = "spanish", words=None) -> Column:
 
 
 def content_words(tokens, lang: str = "spanish", min_keep: int = 3, words=None) -> Column:
-    """stop words removed only if at least ``min_keep`` tokens remain; else the original list."""
+    """stop words removed only if at least ``min_keep`` tokens remain; else the original list.
+
+    Pass a column reference (not a tokenising expression): the list appears in both branches.
+    """
     t = _col(tokens)
     f = remove_stopwords(t, lang, words)
     return F.when(F.size(f) < min_keep, t).otherwise(f)
 
 
+def with_content_words(df, text_col: str, out: str, lang: str = "spanish", min_keep: int = 3):
+    """F2 over the tokens of ``lower(text_col)``, with tokens and filtered tokens projected once."""
+    d = df.withColumn("_t", tokens_ws(lower(text_col)))
+    d = d.withColumn("_f", remove_stopwords("_t", lang))
+    return d.withColumn(out, F.when(F.size("_f") < min_keep, F.col("_t")).otherwise(F.col("_f"))).drop("_t", "_f")
+
+
 def is_finite(x) -> Column:
     """F4 predicate: not NaN and not +-infinity (NULL counts as finite = absent)."""
     c = _col(x)

@@ -32,19 +32,22 @@ def rank_words(words: DataFrame, word: str = "word") -> DataFrame:
 
 def in_vocabulary(df: DataFrame, vectors: DataFrame, key_cols: list[str], tok_col: str = "toks",
                   word: str = "word") -> DataFrame:
-    """keep only tokens that have a vector, order kept (exploded semi join, re-collected)."""
-    ex = df.select(*key_cols, F.posexplode_outer(tok_col).alias("pos", word)).where(F.col(word).isNotNull())
-    kept = ex.join(vectors.select(word), word, "left_semi")
-    agg = kept.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", word))).alias("_s"))
-    return (df.join(agg, key_cols, "left")
-            .withColumn(tok_col, F.coalesce(F.transform("_s", lambda s: s[word]), F.array().cast("array<string>")))
-            .drop("_s"))
+    """keep only tokens that have a vector, order kept.
+
+    Tokens are exploded with their position (outer, so empty lists survive as one null row),
+    flagged by a left join with the vector words and re-collected; no join back to ``df``.
+    """
+    ex = df.select(*key_cols, F.posexplode_outer(tok_col).alias("pos", word))
+    flagged = ex.join(vectors.select(word, F.lit(True).alias("_v")), word, "left")
+    keep = F.when(F.col("_v").isNotNull(), F.struct("pos", word))
+    agg = flagged.groupBy(*key_cols).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
+    return agg.select(*key_cols, F.transform("_s", lambda s: s[word]).alias(tok_col))
 
 
 def sentence_sides(pairs: DataFrame, keys: list[str], lang: str = "spanish") -> DataFrame:
     """Both sides of every pair as rows (keys, side, toks) with F2 content words."""
-    s = [pairs.select(*keys, F.lit(i).alias("side"), T.content_words(T.tokens_ws(T.lower(f"s{i}")), lang).alias("toks"))
-         for i in (1, 2)]
+    s = [T.with_content_words(pairs.select(*keys, F.lit(i).alias("side"), F.col(f"s{i}").alias("_s")), "_s", "toks", lang)
+         .drop("_s") for i in (1, 2)]
     return s[0].unionByName(s[1])
 
 
@@ -65,12 +68,11 @@ def to_sequences(sides: DataFrame, keys: list[str], vocab: DataFrame, num_words:
     The lookup table holds at most ``num_words`` rows, so it is broadcast.
     """
     lookup = F.broadcast(vocab.where(F.col("idx") < num_words).select("word", "idx"))
-    ex = sides.select(*keys, "side", F.posexplode_outer("toks").alias("pos", "word")).where(F.col("word").isNotNull())
-    ids = (ex.join(lookup, "word").groupBy(*keys, "side")
-           .agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s")))
-    return (sides.select(*keys, "side").join(ids, [*keys, "side"], "left")
-            .select(*keys, "side", F.coalesce(F.transform("_s", lambda s: s["idx"].cast("int")),
-                                              F.array().cast("array<int>")).alias("ids")))
+    ex = sides.select(*keys, "side", F.posexplode_outer("toks").alias("pos", "word"))
+    keep = F.when(F.col("idx").isNotNull(), F.struct("pos", F.col("idx").cast("int").alias("idx")))
+    ids = (ex.join(lookup, "word", "left").groupBy(*keys, "side")
+           .agg(F.sort_array(F.collect_list(keep)).alias("_s")))
+    return ids.select(*keys, "side", F.transform("_s", lambda s: s["idx"]).alias("ids"))
 
 
 def pad(ids, maxlen: int = MAX_SEQUENCE_LENGTH) -> Column:

@@ -152,21 +152,8 @@ def lcs_features(pairs, keys):
 
 
 def word_match_share_exploded(pairs: DataFrame, keys: list[str], lang: str = "spanish") -> DataFrame:
-    """E2 for long texts (D2): per-pair word bags joined relationally instead of O(n*m) arrays.
-
-    Occurrences are exploded to (keys, side, word, n), shared words found by an inner join on
-    (keys, word) (a semi join per side), and pairs without words are kept by a left join.
-    """
-    t = pairs.select(*keys, T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("a"),
-                     T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("b"))
-    bag = lambda c, side: (t.select(*keys, F.explode_outer(c).alias("word")).where(F.col("word").isNotNull())
-                           .groupBy(*keys, "word").agg(F.count("*").alias(f"n{side}")))
-    bag1, bag2 = bag("a", 1), bag("b", 2)
-    shared = (bag1.join(bag2, [*keys, "word"], "inner").groupBy(*keys)
-              .agg(F.sum(F.col("n1") + F.col("n2")).alias("shared")))
-    totals = t.select(*keys, (F.size("a") + F.size("b")).alias("total"))
-    return (totals.join(shared, keys, "left")
-            .select(*keys, D.try_divide(F.coalesce("shared", F.lit(0)), "total").alias("word_match_share")))
+    """E2 for long texts (D2): per-pair word bags aggregated relationally instead of O(n*m) arrays."""
+    return bag_features(pairs, keys, lang=lang, with_tfidf=False)
 
 
 # ------------------------------------------------------------------------------------- TF-IDF
@@ -186,32 +173,44 @@ def corpus_idf(pairs: DataFrame) -> DataFrame:
             .select("word", F.log2(n_rows / (F.col("cf") + F.lit(1.0))).alias("idf")))
 
 
-def tfidf_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = None,
-                   lang: str = "spanish") -> DataFrame:
-    """E8 (6 outputs) with G1 (tf), D1 (idf lookup, default 0), G3 (sum, mean per distinct word).
+def bag_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = None, lang: str = "spanish",
+                 with_tfidf: bool = True) -> DataFrame:
+    """E2 and E8 from one bag-of-words job (G1 tf, D1 idf lookup with default 0, G3 sums/means).
 
-    The idf join is left to AQE: broadcast when the vocabulary is small at run time, otherwise a
-    shuffle join on ``word`` with skew splitting.
+    Non-stop tokens of both sides are exploded once and repartitioned by the pair key; one
+    aggregation per (pair, word) holds both sides' counts (tf1, tf2).  Shared words (tf1, tf2 > 0)
+    give the word match share; tf * idf sums give TF-IDF.  The per-(pair, word) aggregation and the
+    per-pair aggregation reuse the key partitioning; the idf join is left to AQE (broadcast when the
+    vocabulary is small at run time, else a shuffle join on ``word`` with skew splitting).
+    ``explode_outer`` keeps pairs without any word, so nothing is joined back to the pair table.
     """
-    idf = corpus_idf(pairs) if idf is None else idf
     sides = (pairs.select(*keys, F.lit(1).alias("side"), T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("w"))
-             .union(pairs.select(*keys, F.lit(2).alias("side"), T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("w"))))
-    tf = (sides.select(*keys, "side", F.explode_outer("w").alias("word")).where(F.col("word").isNotNull())
-          .groupBy(*keys, "side", "word").agg(F.count("*").alias("tf")))
-    weighted = tf.join(idf, "word", "left").select(
-        *keys, "side", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("wt"))
-    per_pair = weighted.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == 1, F.col("wt"))).alias("_sum1"),
-        F.sum(F.when(F.col("side") == 2, F.col("wt"))).alias("_sum2"),
-        F.count_if(F.col("side") == 1).alias("_n1"),
-        F.count_if(F.col("side") == 2).alias("_n2"))
-    s1, s2 = F.coalesce("_sum1", F.lit(0.0)), F.coalesce("_sum2", F.lit(0.0))
-    a1 = D.try_divide(s1, F.coalesce("_n1", F.lit(0)))
-    a2 = D.try_divide(s2, F.coalesce("_n2", F.lit(0)))
-    return (pairs.select(*keys).join(per_pair, keys, "left")
-            .select(*keys, s1.alias("tfidf_sum1"), s2.alias("tfidf_sum2"), a1.alias("tfidf_mean1"),
-                    a2.alias("tfidf_mean2"), F.abs(s1 - s2).alias("tfidf_sum_diff"),
-                    F.abs(a1 - a2).alias("tfidf_mean_diff")))
+             .unionByName(pairs.select(*keys, F.lit(2).alias("side"),
+                                       T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("w"))))
+    ex = sides.select(*keys, "side", F.explode_outer("w").alias("word")).repartition(*keys)
+    per_word = ex.groupBy(*keys, "word").agg(F.count_if((F.col("side") == 1) & F.col("word").isNotNull()).alias("tf1"),
+                                             F.count_if((F.col("side") == 2) & F.col("word").isNotNull()).alias("tf2"))
+    shared = F.when((F.col("tf1") > 0) & (F.col("tf2") > 0), F.col("tf1") + F.col("tf2")).otherwise(F.lit(0))
+    aggs = [F.sum(shared).alias("_shared"), F.sum(F.col("tf1") + F.col("tf2")).alias("_total")]
+    if with_tfidf:
+        idf = corpus_idf(pairs) if idf is None else idf
+        per_word = per_word.join(idf, "word", "left").withColumn("_idf", F.coalesce("idf", F.lit(0.0)))
+        aggs += [F.sum(F.col("tf1") * F.col("_idf")).alias("_sum1"), F.sum(F.col("tf2") * F.col("_idf")).alias("_sum2"),
+                 F.count_if(F.col("tf1") > 0).alias("_n1"), F.count_if(F.col("tf2") > 0).alias("_n2")]
+    per_pair = per_word.groupBy(*keys).agg(*aggs)
+    cols = [D.try_divide("_shared", "_total").alias("word_match_share")]
+    if with_tfidf:
+        s1, s2 = F.coalesce("_sum1", F.lit(0.0)), F.coalesce("_sum2", F.lit(0.0))
+        a1, a2 = D.try_divide(s1, "_n1"), D.try_divide(s2, "_n2")
+        cols += [s1.alias("tfidf_sum1"), s2.alias("tfidf_sum2"), a1.alias("tfidf_mean1"), a2.alias("tfidf_mean2"),
+                 F.abs(s1 - s2).alias("tfidf_sum_diff"), F.abs(a1 - a2).alias("tfidf_mean_diff")]
+    return per_pair.select(*keys, *cols)
+
+
+def tfidf_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = None,
+                   lang: str = "spanish") -> DataFrame:
+    """E8 (6 outputs); see ``bag_features``."""
+    return bag_features(pairs, keys, idf, lang).drop("word_match_share")
 
 
 # ----------------------------------------------------------------------- registry
@@ -252,11 +251,16 @@ def pair_features(pairs: DataFrame, keys: list[str], features=STATELESS + ("TFID
     unknown = [f for f in features if f not in REGISTRY and f != "TFIDFSpanish"]
     if unknown:
         raise KeyError(f"unknown features: {unknown}")
+    bag = "WordMatchShare" in features or "TFIDFSpanish" in features
     t = tokenise(pairs, keys, lang)
-    cols = [c for f in features if f in REGISTRY for c in REGISTRY[f].columns()]
+    # word match share comes from the bag-of-words job (linear in text length) when it runs anyway
+    cols = [c for f in features if f in REGISTRY and not (bag and f == "WordMatchShare") for c in REGISTRY[f].columns()]
     if "label" in pairs.columns:
         cols.append(label_column())
     out = t.select(*keys, *cols)
-    if "TFIDFSpanish" in features:
-        out = out.join(tfidf_features(pairs, keys, lang=lang), keys, "left")
+    if bag:
+        b = bag_features(pairs, keys, lang=lang, with_tfidf="TFIDFSpanish" in features)
+        if "WordMatchShare" not in features:
+            b = b.drop("word_match_share")
+        out = out.join(b, keys, "left")
     return out

@@ -23,11 +23,11 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
     occur; the join is broadcast by AQE when the table is small, else a shuffle join with skew
     splitting.
     """
-    toks = df.select(*keys, F.posexplode_outer(T.tokens_ws(text)).alias("pos", "word")).where(F.col("word").isNotNull())
-    stems = toks.select("word").distinct().select("word", U.stem_udf("word").alias("stem"))
-    joined = toks.join(stems, "word").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_s"))
-    return (df.select(*keys).join(joined, keys, "left")
-            .select(*keys, F.coalesce(F.array_join(F.transform("_s", lambda s: s["stem"]), " "), F.lit("")).alias(out)))
+    toks = df.select(*keys, F.posexplode_outer(T.tokens_ws(text)).alias("pos", "word"))
+    stems = toks.where(F.col("word").isNotNull()).select("word").distinct().select("word", U.stem_udf("word").alias("stem"))
+    keep = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
+    joined = toks.join(stems, "word", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
+    return joined.select(*keys, F.array_join(F.transform("_s", lambda s: s["stem"]), " ").alias(out))
 
 
 def _per_distinct_pair(pairs: DataFrame, keys: list[str], a: Column, b: Column, udf, out: str) -> DataFrame:

@@ -57,8 +57,9 @@ def _prep(spark, sf):
     vectors = P.word_vectors(spark, sf)
     sides = C.prepare_tokens(pairs, KEYS, vectors)
     vocab = C.fit_vocabulary(sides)
-    seqs = C.to_sequences(sides, KEYS, vocab)
-    emb = C.embedding_table(vocab, vectors, DIM)
+    # sequences and the embedding table feed several branches (lengths, cells, vectors): persist
+    seqs = C.to_sequences(sides, KEYS, vocab).persist()
+    emb = C.embedding_table(vocab, vectors, DIM).persist()
     return pairs, seqs, emb
 
 
@@ -70,8 +71,8 @@ def _lens(seqs):
 
 def _cells(spark, sf):
     _, seqs, emb = _prep(spark, sf)
-    tv = I.token_vectors(seqs, KEYS, emb)
-    return seqs, emb, tv, I.cells(tv, KEYS)
+    tv = I.token_vectors(seqs, KEYS, emb).persist()
+    return seqs, emb, tv, I.cells(tv, KEYS).persist()
 
 
 @query("match_matrix", f"""WITH {IBASE}
