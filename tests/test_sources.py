@@ -70,3 +70,15 @@ def test_word_vectors_last_wins(spark, tmp_path):
     p = write(tmp_path / "v.txt", "casa 1 2\nperro 3 4\ncasa 5 6\n")
     got = {r.word: list(r.vec) for r in TF.read_word_vectors(spark, str(p)).collect()}
     assert got == {"casa": [5.0, 6.0], "perro": [3.0, 4.0]}
+
+
+def test_merge_parts_and_oof_writer(spark, tmp_path):
+    a = write(tmp_path / "f.smat.002_000", "2 1\n0:1\n0:2\n")
+    b = write(tmp_path / "f.smat.002_001", "1 1\n0:3\n")
+    SMT.merge_parts(spark, [str(a), str(b)], str(tmp_path / "f.smat"), 1)
+    got = [r.x_0 for r in SMT.read_feature(spark, str(tmp_path / "f.smat"), "x", 1).orderBy("row_id").collect()]
+    assert got == [1.0, 2.0, 3.0]
+    scores = spark.createDataFrame([(5, 0.25), (1, 0.5)], "pair_id long, score double")
+    SMT.write_oof_feature(scores, str(tmp_path / "oof.smat"), "pair_id")
+    lines = [r.value for r in read_lines(spark, str(tmp_path / "oof.smat")).orderBy("pos").collect()]
+    assert lines == ["2 1", "0:0.5", "0:0.25"]

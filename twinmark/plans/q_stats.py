@@ -173,8 +173,10 @@ ROWS_SQL = """SELECT row_id, v FROM (
 @query("merge_rows", ROWS_SQL, ("U1", "W4"))
 def merge_rows(spark, sf):
     """Two one-column matrices stacked; W4 dense ids in order (here ordered by id first)."""
-    d = table(spark, sf, "documents", "doc_id", "n_chars").orderBy("doc_id")
-    b = table(spark, sf, "benchmark", "item_id", "text").orderBy("item_id")
+    from ..session import cut_lineage
+    # dense ids read the input twice (counts, then ids): checkpoint the sorted inputs first
+    d = cut_lineage(table(spark, sf, "documents", "doc_id", "n_chars").orderBy("doc_id"))
+    b = cut_lineage(table(spark, sf, "benchmark", "item_id", "text").orderBy("item_id"))
     a = SM.dense_ids(d.select("doc_id", F.col("n_chars").cast("double").alias("v"))).drop("doc_id")
     c = SM.dense_ids(b.select("item_id", F.length("text").cast("double").alias("v"))).drop("item_id")
     return SM.merge_rows(a, c).select("row_id", "v")

@@ -121,3 +121,11 @@ def save_cache(df: DataFrame, path: str) -> None:
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_oof_feature(scores: DataFrame, path: str, key: str, score: str = "score") -> None:
+    """One-column matrix of out-of-fold scores, rows in key order, header ``rows 1`` (Q8)."""
+    from ..operators.sampling import dense_ids
+    from ..session import cut_lineage
+    ordered = dense_ids(cut_lineage(scores.select(key, score).orderBy(key)), "row_id")
+    write_smat(dense_lines(ordered, "row_id", [score]), path, 1)
