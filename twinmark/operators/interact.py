@@ -84,21 +84,28 @@ def grid_max_pool(scores: DataFrame, keys: list[str], lens: DataFrame, p1: int =
     return (grid.groupBy(*keys, "bi", "bj").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("pooled")))
 
 
-def soft_align(scores: DataFrame, tv: DataFrame, keys: list[str]) -> DataFrame:
-    """M6: for each token of one side, the softmax over the other side's scores weights that side's
-    vectors (both directions).  Output (keys, side, pos, aligned)."""
+def soft_align(c: DataFrame, keys: list[str]) -> DataFrame:
+    """M6: for each token of one side, the softmax of its dot scores over the other side's tokens
+    weights that side's vectors (both directions).  Output (keys, side, pos, aligned).
+
+    One aggregation per direction over the cells: a token has at most ``maxlen`` partners, so the
+    collected list is bounded; max, exponentials and the weighted sum are array expressions on
+    projected columns.
+    """
     outs = []
-    for side, me, other in ((1, "i", "j"), (2, "j", "i")):
-        sc = scores.select(*keys, F.col(me).alias("pos"), F.col(other).alias("opos"), "score")
-        mx = sc.groupBy(*keys, "pos").agg(F.max("score").alias("_m"))
-        w = sc.join(mx, [*keys, "pos"]).withColumn("_e", F.exp(F.col("score") - F.col("_m")))
-        z = w.groupBy(*keys, "pos").agg(F.sum("_e").alias("_z"))
-        ov = tv.where(F.col("side") == 3 - side).select(*keys, F.col("pos").alias("opos"), F.posexplode("vec").alias("d", "x"))
-        num = (w.join(ov, [*keys, "opos"]).groupBy(*keys, "pos", "d")
-               .agg(F.sum(F.col("_e") * F.col("x")).alias("_n")))
-        al = (num.join(z, [*keys, "pos"]).groupBy(*keys, "pos")
-              .agg(F.sort_array(F.collect_list(F.struct("d", (F.col("_n") / F.col("_z")).alias("v")))).alias("_a")))
-        outs.append(al.select(*keys, F.lit(side).alias("side"), "pos", F.transform("_a", lambda s: s["v"]).alias("aligned")))
+    for side, me, other in ((1, "i", "v2"), (2, "j", "v1")):
+        g = (c.select(*keys, F.col(me).alias("pos"), D.dot("v1", "v2").alias("score"),
+                      F.col(other).cast("array<double>").alias("v"))
+             .groupBy(*keys, "pos").agg(F.collect_list(F.struct("score", "v")).alias("_l")))
+        g = g.withColumn("_m", F.array_max(F.transform("_l", lambda t: t["score"])))
+        g = g.withColumn("_e", F.transform("_l", lambda t: F.exp(t["score"] - F.col("_m"))))
+        g = g.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+        zero = F.array_repeat(F.lit(0.0), F.size(F.col("_l")[0]["v"]))
+        wsum = F.aggregate(F.arrays_zip("_e", "_l"), zero,
+                           lambda acc, t: F.zip_with(acc, t["_l"]["v"], lambda a, x: a + t["_e"] * x))
+        g = g.withColumn("_w", wsum)
+        outs.append(g.select(*keys, F.lit(side).alias("side"), "pos",
+                             F.transform("_w", lambda x: x / F.col("_z")).alias("aligned")))
     return outs[0].unionByName(outs[1])
 
 

@@ -158,7 +158,7 @@ GROUP BY num.pair_id, num.side, num.pos"""
 @query("soft_align", ALIGN_SQL, ("M6",))
 def soft_align(spark, sf):
     _, _, tv, c = _cells(spark, sf)
-    a = I.soft_align(I.match(c, KEYS, "dot"), tv, KEYS)
+    a = I.soft_align(c, KEYS)
     return a.select(*KEYS, F.col("side").cast("int"), F.col("pos").cast("int"),
                     F.round(I.vec_sum("aligned"), 4).alias("aligned_sum"), F.size("aligned").cast("long").alias("dims"))
 
