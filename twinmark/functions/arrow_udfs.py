@@ -9,6 +9,15 @@ from pyspark.sql import types as T
 from . import pyhelpers as H
 
 
+def spread(df):
+    """Round-robin the rows over all task slots before a Python-heavy step.
+
+    Inputs to these steps are small in bytes but costly per row, so size-based partitioning (one
+    file, or AQE coalescing) would leave them on one or two Python workers.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 @F.pandas_udf(T.LongType())
 def lcs_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.lcs_len(x, y) for x, y in zip(a, b)], dtype="int64")

@@ -146,9 +146,12 @@ def ngram_jaccard_features(pairs, keys):
     return t.select(*keys, *ngram_jaccard_columns())
 
 
-def lcs_features(pairs, keys):
-    t = tokenise(pairs, keys)
-    return t.select(*keys, lcs_ratio())
+def lcs_features(pairs, keys, method: str = "arrow"):
+    t = tokenise(pairs, keys).select(*keys, "ws1", "ws2")
+    if method == "arrow":
+        from ..functions.arrow_udfs import spread
+        t = spread(t)
+    return t.select(*keys, lcs_ratio(method=method))
 
 
 def word_match_share_exploded(pairs: DataFrame, keys: list[str], lang: str = "spanish") -> DataFrame:

@@ -67,21 +67,31 @@ def topk(scores: DataFrame, keys: list[str], lens: DataFrame, k: int = 100,
 def grid_max_pool(scores: DataFrame, keys: list[str], lens: DataFrame, p1: int = 5, p2: int = 5,
                   maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
     """M5: dynamic pooling.  Grid row g reads token ``int(g / (maxlen / len))`` (an empty side reads
-    nothing, i.e. 0), then the max over non-overlapping (maxlen/p1) x (maxlen/p2) blocks."""
+    nothing, i.e. 0), then the max over non-overlapping (maxlen/p1) x (maxlen/p2) blocks.
+
+    Instead of materialising the maxlen x maxlen grid, each token maps to the blocks whose grid
+    rows read it (one or two); the cells join that small map, and pairs with an empty side get
+    all-zero blocks.
+    """
     if maxlen % p1 or maxlen % p2:
         raise ValueError(f"DynamicMaxPooling can not generate ({p1} x {p2}) output from {maxlen}")
     s1, s2 = maxlen // p1, maxlen // p2
     g = F.sequence(F.lit(0), F.lit(maxlen - 1))
-    rows = lens.select(*keys, "n1", F.explode(g).alias("gi")).select(
-        *keys, (F.col("gi") / s1).cast("int").alias("bi"),
-        F.when(F.col("n1") > 0, F.floor(F.col("gi") / (F.lit(float(maxlen)) / F.col("n1")))).cast("int").alias("i"))
-    cols = lens.select(*keys, "n2", F.explode(g).alias("gj")).select(
-        *keys, (F.col("gj") / s2).cast("int").alias("bj"),
-        F.when(F.col("n2") > 0, F.floor(F.col("gj") / (F.lit(float(maxlen)) / F.col("n2")))).cast("int").alias("j"))
-    # distinct (block, token) pairs suffice for a maximum
-    rows, cols = rows.distinct(), cols.distinct()
-    grid = rows.join(cols, keys).join(scores, [*keys, "i", "j"], "left")
-    return (grid.groupBy(*keys, "bi", "bj").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("pooled")))
+
+    def token_blocks(n, stride, tok, blk):
+        m = lens.where(F.col(n) > 0).select(*keys, n, F.explode(g).alias("_g"))
+        return m.select(*keys, F.floor(F.col("_g") / (F.lit(float(maxlen)) / F.col(n))).cast("int").alias(tok),
+                        (F.col("_g") / stride).cast("int").alias(blk)).distinct()
+
+    rows = token_blocks("n1", s1, "i", "bi")
+    cols = token_blocks("n2", s2, "j", "bj")
+    pooled = (scores.join(rows, [*keys, "i"]).join(cols, [*keys, "j"])
+              .groupBy(*keys, "bi", "bj").agg(F.max("score").alias("pooled")))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(p1 * p2 - 1)))
+    empty = (lens.where((F.col("n1") == 0) | (F.col("n2") == 0)).select(*keys, blocks.alias("_b"))
+             .select(*keys, (F.col("_b") / p2).cast("int").alias("bi"), (F.col("_b") % p2).cast("int").alias("bj"),
+                     F.lit(0.0).alias("pooled")))
+    return pooled.unionByName(empty)
 
 
 def soft_align(c: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
     splitting.
     """
     toks = df.select(*keys, F.posexplode_outer(T.tokens_ws(text)).alias("pos", "word"))
-    stems = toks.where(F.col("word").isNotNull()).select("word").distinct().select("word", U.stem_udf("word").alias("stem"))
+    stems = U.spread(toks.where(F.col("word").isNotNull()).select("word").distinct()).select("word", U.stem_udf("word").alias("stem"))
     keep = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
     joined = toks.join(stems, "word", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
     return joined.select(*keys, F.array_join(F.transform("_s", lambda s: s["stem"]), " ").alias(out))
@@ -33,7 +33,7 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
 def _per_distinct_pair(pairs: DataFrame, keys: list[str], a: Column, b: Column, udf, out: str) -> DataFrame:
     """Run a pair UDF once per distinct (a, b) value pair and join the result back."""
     v = pairs.select(*keys, a.alias("_a"), b.alias("_b"))
-    scored = v.select("_a", "_b").distinct().select("_a", "_b", udf(F.col("_a"), F.col("_b")).alias(out))
+    scored = U.spread(v.select("_a", "_b").distinct()).select("_a", "_b", udf(F.col("_a"), F.col("_b")).alias(out))
     return v.join(scored, ["_a", "_b"]).drop("_a", "_b")
 
 
@@ -51,10 +51,10 @@ def compression_distance(pairs: DataFrame, keys: list[str], s1: str = "s1", s2:
     Equal texts short-circuit to 0 without compressing anything.
     """
     texts = pairs.select(F.col(s1).alias("t")).union(pairs.select(F.col(s2).alias("t"))).distinct()
-    self_len = texts.select("t", U.lzma_len_udf("t").alias("l"))
+    self_len = U.spread(texts).select("t", U.lzma_len_udf("t").alias("l"))
     p = pairs.select(*keys, F.col(s1).alias("_a"), F.col(s2).alias("_b"))
     diff = p.where(F.col("_a") != F.col("_b"))
-    both = diff.select("_a", "_b").distinct()
+    both = U.spread(diff.select("_a", "_b").distinct())
     both = both.select("_a", "_b", U.lzma_pair_len_udf("_a", "_b").alias("lxy"))
     la = self_len.select(F.col("t").alias("_a"), F.col("l").alias("la"))
     lb = self_len.select(F.col("t").alias("_b"), F.col("l").alias("lb"))

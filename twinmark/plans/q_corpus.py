@@ -35,7 +35,7 @@ vocab AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC,
 def _prepared(spark, sf):
     pairs = P.split_doc_pairs(spark, sf)
     vectors = P.word_vectors(spark, sf)
-    sides = C.prepare_tokens(pairs, KEYS, vectors)
+    sides = C.prepare_tokens(pairs, KEYS, vectors).persist()  # read by the vocabulary and the sequences
     return pairs, vectors, sides
 
 

@@ -55,7 +55,7 @@ def _sum(a):
 def _prep(spark, sf):
     pairs = P.split_doc_pairs(spark, sf)
     vectors = P.word_vectors(spark, sf)
-    sides = C.prepare_tokens(pairs, KEYS, vectors)
+    sides = C.prepare_tokens(pairs, KEYS, vectors).persist()  # read by the vocabulary and the sequences
     vocab = C.fit_vocabulary(sides)
     # sequences and the embedding table feed several branches (lengths, cells, vectors): persist
     seqs = C.to_sequences(sides, KEYS, vocab).persist()
