@@ -43,3 +43,34 @@ def test_query_matches_oracle(spark, con, name):
     srows = sorted((tuple(r) for r in sdf.collect()), key=repr)
     drows = sorted((tuple(r[i] for i in order) for r in rel.fetchall()), key=repr)
     assert srows == drows
+
+
+SLOWER = ["pair_features", "sequences", "dynamic_pooling", "smat_roundtrip", "stream_features", "near_duplicates"]
+
+
+@pytest.mark.parametrize("name", SLOWER)
+def test_more_queries_match_oracle(spark, con, name):
+    test_query_matches_oracle(spark, con, name)
+
+
+def test_rows_only_queries(spark):
+    from pyspark.sql import functions as F
+    q = E.queries()
+    oof = q["oof_scores"](spark, SF)
+    stats = oof.groupBy("split").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"),
+                                     F.countDistinct("pair_id").alias("keys")).collect()
+    for r in stats:
+        assert r.n == r.keys and 0.0 <= r.lo <= r.hi <= 1.0  # one score per pair, a probability
+    pairs = q["conv_pairs"](spark, SF)
+    fr = q["fuzzy_ratios"](spark, SF)
+    wm = q["word_match_share"](spark, SF)
+    assert fr.count() == pairs.count()
+    joined = fr.join(wm, ["conv_id", "turn"]).collect()
+    for r in joined:
+        assert 0 <= r.partial_token_set_ratio <= 100 and 0 <= r.partial_token_sort_ratio <= 100
+    lm = q["longest_match"](spark, SF).collect()
+    assert all(0.0 <= r.longest_match_ratio <= 1.0 for r in lm)
+    cd = q["compression_distance"](spark, SF).collect()
+    assert len(cd) == pairs.count() and all(r.compression_dist is not None for r in cd)
+    st = q["stem_text"](spark, SF)
+    assert st.count() == q["stopwords"](spark, SF).count()
