@@ -131,3 +131,20 @@ def test_grid_max_pool_small(spark):
         for bj in range(3):
             ref[(bi, bj)] = max(10 * int(g / 3.0) + int(h / 2.0) for g in (2 * bi, 2 * bi + 1) for h in (2 * bj, 2 * bj + 1))
     assert got == ref
+
+
+def test_rank_by_hash_and_exact_folds(spark):
+    import hashlib
+    df = spark.range(103).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r["rank"] for r in SM.rank_by_hash(df, "doc_id", seed=7, prefix_chars=1).collect()}
+    order = sorted(range(103), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+    assert got == {d: r for r, d in enumerate(order)}
+    folds = [r.fold for r in SM.kfold_exact(df, "doc_id", 5, 7).collect()]
+    assert sorted({f: folds.count(f) for f in set(folds)}.values(), reverse=True) == [21, 21, 21, 20, 20]
+
+
+def test_negation_stemmed_literal(spark):
+    from twinmark.operators.udf_jobs import negation_stemmed
+    pairs = spark.createDataFrame([(1, "No, nunca ni hablo", "nunca")], "k long, s1 string, s2 string")
+    r = negation_stemmed(pairs, ["k"]).first()
+    assert r.not_cnt1 == 2 and r.not_cnt2 == 0  # 'nunca' stems to 'nunc' (SURVEY Q2)

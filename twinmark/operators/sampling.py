@@ -20,6 +20,32 @@ def kfold(df: DataFrame, id_col: str, n_splits: int = 5, seed: int = 123, out: s
     return df.withColumn(out, (h % n_splits).cast("int"))
 
 
+def rank_by_hash(df: DataFrame, id_col: str, seed: int = 0, prefix_chars: int = 4, out: str = "rank") -> DataFrame:
+    """Exact 0-based rank of every row by (md5(seed:id), id) without a global window.
+
+    Rows are bucketed by the hash prefix; a per-bucket count table (at most 16**prefix_chars rows,
+    broadcast) gives each bucket's offset and rows are numbered inside their bucket only.
+    """
+    d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    d = d.join(F.broadcast(counts), "_b")
+    local = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1
+    return d.withColumn(out, F.col("_before") + local).drop("_h", "_b", "_before")
+
+
+def kfold_exact(df: DataFrame, id_col: str, n_splits: int = 5, seed: int = 123, out: str = "fold") -> DataFrame:
+    """W2 ``exact=True``: equal-size folds over the md5 order (``ntile``: the first N mod k folds
+    get one row more), from the distributed hash rank."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    q, rem = F.floor(n / n_splits), n % n_splits
+    r = F.col("_rank")
+    big = rem * (q + 1)
+    fold = F.when(r < big, F.floor(r / (q + 1))).otherwise(rem + F.floor((r - big) / q))
+    return rank_by_hash(df, id_col, seed, out="_rank").withColumn(out, fold.cast("int")).drop("_rank")
+
+
 def first_by_hash(df: DataFrame, id_col: str, m, seed: int = 0, prefix_chars: int = 4) -> DataFrame:
     """Exactly the ``m`` rows with the smallest (md5(seed:id), id), without a global window.
 

@@ -30,6 +30,25 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
     return joined.select(*keys, F.array_join(F.transform("_s", lambda s: s["stem"]), " ").alias(out))
 
 
+def stem_tokens(df: DataFrame, keys: list[str], tok_col: str, out: str = "stemmed") -> DataFrame:
+    """Stem every element of a token array column (order kept), each distinct word once."""
+    toks = df.select(*keys, F.posexplode_outer(tok_col).alias("pos", "word"))
+    stems = U.spread(toks.where(F.col("word").isNotNull()).select("word").distinct()).select("word", U.stem_udf("word").alias("stem"))
+    keep = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
+    agg = toks.join(stems, "word", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
+    return agg.select(*keys, F.transform("_s", lambda s: s["stem"]).alias(out))
+
+
+def negation_stemmed(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """E1 with the reference's literal order (Q2): word tokens are stemmed before counting, so
+    'nunca' (stem 'nunc') never counts."""
+    from . import features as X
+    t = X.tokenise(pairs, keys)
+    s1 = stem_tokens(t, keys, "wt1", "wt1")
+    s2 = stem_tokens(t, keys, "wt2", "wt2")
+    return s1.join(s2, keys).select(*keys, *X.negation_columns("wt1", "wt2"))
+
+
 def _per_distinct_pair(pairs: DataFrame, keys: list[str], a: Column, b: Column, udf, out: str) -> DataFrame:
     """Run a pair UDF once per distinct (a, b) value pair and join the result back."""
     v = pairs.select(*keys, a.alias("_a"), b.alias("_b"))

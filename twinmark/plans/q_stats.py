@@ -92,6 +92,15 @@ def kfold(spark, sf):
     return SM.kfold(table(spark, sf, "labels", "doc_id"), "doc_id", 5, 123)
 
 
+KFOLD_EXACT_SQL = """SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('123:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS INTEGER) AS fold
+FROM labels"""
+
+
+@query("kfold_exact", KFOLD_EXACT_SQL, ("W2 exact", "rank by hash"))
+def kfold_exact(spark, sf):
+    return SM.kfold_exact(table(spark, sf, "labels", "doc_id"), "doc_id", 5, 123)
+
+
 FIXED = "((doc_id % 97 + 1) / 98.0)"
 EVAL_SQL = f"""WITH s AS (SELECT doc_id, CAST(quality AS DOUBLE) AS label, {FIXED} AS score,
     CAST(CAST(('0x' || substr(md5('123:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold FROM labels),

@@ -30,3 +30,8 @@ def compression_distance(spark, sf):
 @query("fuzzy_ratios", None, ("E6", "E7"))
 def fuzzy_ratios(spark, sf):
     return UJ.fuzzy_ratios(P.conv_pairs(spark, sf), CK)
+
+
+@query("negation_stemmed", None, ("E1 stemmed=True", "P4", "Q2"))
+def negation_stemmed(spark, sf):
+    return UJ.negation_stemmed(P.conv_pairs(spark, sf), CK)
