@@ -10,7 +10,7 @@ from ..operators import interact as I
 from ..operators import stacking as SK
 from ..sources import pairs as P
 from .catalog import query
-from .q_corpus import BASE, KEYS, SEQ_SQL
+from .q_corpus import BASE, KEYS
 
 DIM = 64
 R = 6

@@ -10,7 +10,7 @@ from ..operators import stats as ST
 from ..sources import pairs as P
 from ..sources.tables import table
 from .catalog import query
-from .q_features import CONV_PAIRS, TOK, TOK_SW, WMS_SQL, LEN_SQL
+from .q_features import CONV_PAIRS, TOK, TOK_SW, WMS_SQL
 from .views import with_views
 from . import sqlbits as S
 
