@@ -66,10 +66,10 @@ def word_match_share_docs(spark, sf):
 
 
 NOT_SQL = f"""SELECT {CKS}, CAST(c1 AS BIGINT) AS not_cnt1, CAST(c2 AS BIGINT) AS not_cnt2,
-  CASE WHEN c1 > 0 AND c2 > 0 THEN 1.0 ELSE 0.0 END AS not_both,
-  CASE WHEN c1 > 0 OR c2 > 0 THEN 1.0 ELSE 0.0 END AS not_any,
-  CASE WHEN (c2 <= 0 AND c1 > 0) OR (c1 <= 0 AND c2 > 0) THEN 1.0 ELSE 0.0 END AS not_one,
-  CASE WHEN abs(c1 - c2) % 2 = 0 THEN 1.0 ELSE 0.0 END AS not_same_parity
+  CASE WHEN c1 > 0 AND c2 > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_both,
+  CASE WHEN c1 > 0 OR c2 > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_any,
+  CASE WHEN (c2 <= 0 AND c1 > 0) OR (c1 <= 0 AND c2 > 0) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_one,
+  CASE WHEN abs(c1 - c2) % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_same_parity
 FROM (SELECT {CKS}, {S.count_in('wt1', ('no', 'ni', 'nunca'))} AS c1, {S.count_in('wt2', ('no', 'ni', 'nunca'))} AS c2 FROM tok)"""
 
 
@@ -170,10 +170,10 @@ tfidf AS (SELECT cp.pair_id, coalesce(s1_, 0.0) AS a, coalesce(s2_, 0.0) AS b,
 st AS (SELECT pair_id, label, {S.count_in('wt1', ('no', 'ni', 'nunca'))} AS c1, {S.count_in('wt2', ('no', 'ni', 'nunca'))} AS c2,
   {WMS_SQL} AS word_match_share, {LEN_SQL}, {JAC_SQL}, ws1, ws2 FROM tok)
 SELECT st.pair_id, CAST(c1 AS BIGINT) AS not_cnt1, CAST(c2 AS BIGINT) AS not_cnt2,
-  CASE WHEN c1 > 0 AND c2 > 0 THEN 1.0 ELSE 0.0 END AS not_both,
-  CASE WHEN c1 > 0 OR c2 > 0 THEN 1.0 ELSE 0.0 END AS not_any,
-  CASE WHEN (c2 <= 0 AND c1 > 0) OR (c1 <= 0 AND c2 > 0) THEN 1.0 ELSE 0.0 END AS not_one,
-  CASE WHEN abs(c1 - c2) % 2 = 0 THEN 1.0 ELSE 0.0 END AS not_same_parity,
+  CASE WHEN c1 > 0 AND c2 > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_both,
+  CASE WHEN c1 > 0 OR c2 > 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_any,
+  CASE WHEN (c2 <= 0 AND c1 > 0) OR (c1 <= 0 AND c2 > 0) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_one,
+  CASE WHEN abs(c1 - c2) % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS not_same_parity,
   word_match_share, len_char1, len_char2, len_word1, len_word2, len_char_diff, len_word_diff,
   ngram_jaccard_1, ngram_jaccard_2, ngram_jaccard_3, CAST(label AS INTEGER) AS label,
   round(a, 6) AS tfidf_sum1, round(b, 6) AS tfidf_sum2, round(ma, 6) AS tfidf_mean1,
