@@ -89,7 +89,7 @@ def test_fuzzy_self_join_exact(spark):
     rnd = random.Random(5)
     strs = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 8))) for _ in range(60)})
     df = spark.createDataFrame([(s,) for s in strs], "s string").select(F.col("s").alias("id"), "s")
-    for t in (0.6, 0.8):
+    for t in (0.3, 0.6, 0.8):
         got = {(r.a, r.b) for r in M.fuzzy_self_join(df, "id", "s", t).collect()}
         ref = {(a, b) for a in strs for b in strs if a < b and 1 - _lev(a, b) / max(len(a), len(b)) >= t}
         assert got == ref
