@@ -17,30 +17,45 @@ from .corpus import MAX_SEQUENCE_LENGTH, pad
 MATCH_TYPES = ("dot", "mul", "plus", "minus", "concat")
 
 
+def token_ids(seqs: DataFrame, keys: list[str], padded: bool = False,
+              maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
+    """(keys, side, pos, idx): the last ``maxlen`` ids of each sequence (K3's window); with
+    ``padded`` the leading zero ids are kept (they read row 0, the zero vector)."""
+    ids = pad("ids", maxlen) if padded else F.slice("ids", F.greatest(F.size("ids") - maxlen + 1, F.lit(1)), maxlen)
+    return seqs.select(*keys, "side", F.posexplode_outer(ids).alias("pos", "idx")).where(F.col("idx").isNotNull())
+
+
 def token_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, padded: bool = False,
                   maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
-    """(keys, side, pos, vec): the last ``maxlen`` ids of each sequence (K3's window); with
-    ``padded`` the leading zero ids are kept and read row 0 (the zero vector)."""
-    ids = pad("ids", maxlen) if padded else F.slice("ids", F.greatest(F.size("ids") - maxlen + 1, F.lit(1)), maxlen)
-    ex = seqs.select(*keys, "side", F.posexplode_outer(ids).alias("pos", "idx")).where(F.col("idx").isNotNull())
-    return ex.join(F.broadcast(emb.select("idx", "vec")), "idx").drop("idx")
-
-
-def cells(tv: DataFrame, keys: list[str]) -> DataFrame:
-    """Every token of side 1 with every token of side 2 of the same pair
-    (i, j, v1, v2, n1, n2); token norms are computed once per token, not per cell."""
-    t = tv.withColumn("_norm", D.norm("vec"))
-    a = t.where(F.col("side") == 1).select(*keys, F.col("pos").alias("i"), F.col("vec").alias("v1"),
-                                           F.col("_norm").alias("n1"))
-    b = t.where(F.col("side") == 2).select(*keys, F.col("pos").alias("j"), F.col("vec").alias("v2"),
-                                           F.col("_norm").alias("n2"))
+    """(keys, side, pos, vec): token ids with their vectors (broadcast lookup)."""
+    return token_ids(seqs, keys, padded, maxlen).join(F.broadcast(emb.select("idx", "vec")), "idx").drop("idx")
+
+
+def cells(tid: DataFrame, keys: list[str]) -> DataFrame:
+    """Every token of side 1 with every token of side 2 of the same pair: (keys, i, j, idx1, idx2).
+
+    Cells carry word ids only; vectors are attached where a score is computed (``with_vectors``),
+    so no cell-by-vector data is shuffled or stored.
+    """
+    a = tid.where(F.col("side") == 1).select(*keys, F.col("pos").alias("i"), F.col("idx").alias("idx1"))
+    b = tid.where(F.col("side") == 2).select(*keys, F.col("pos").alias("j"), F.col("idx").alias("idx2"))
     return a.join(b, keys)
 
 
-def match(c: DataFrame, keys: list[str], match_type: str = "dot", normalize: bool = False) -> DataFrame:
+def with_vectors(c: DataFrame, emb: DataFrame) -> DataFrame:
+    """Attach (v1, n1) and (v2, n2) to cells by broadcast lookups in the embedding table, whose
+    size is bounded by ``num_words`` + 1 rows; token norms are computed once per table row."""
+    e = F.broadcast(emb.select("idx", "vec", D.norm("vec").alias("_n")))
+    e1 = e.select(F.col("idx").alias("idx1"), F.col("vec").alias("v1"), F.col("_n").alias("n1"))
+    e2 = e.select(F.col("idx").alias("idx2"), F.col("vec").alias("v2"), F.col("_n").alias("n2"))
+    return c.join(e1, "idx1").join(e2, "idx2")
+
+
+def match(c: DataFrame, keys: list[str], emb: DataFrame, match_type: str = "dot", normalize: bool = False) -> DataFrame:
     """M1 (dot, optionally cosine), M2 (mul / plus / minus, element-wise), M3 (concat)."""
     if match_type not in MATCH_TYPES:
         raise ValueError(f"In `Match` layer, param match_type={match_type} is unknown.")
+    c = with_vectors(c, emb)
     v1, v2 = F.col("v1"), F.col("v2")
     if match_type == "dot":
         score = D.dot(v1, v2)
@@ -94,7 +109,7 @@ def grid_max_pool(scores: DataFrame, keys: list[str], lens: DataFrame, p1: int =
     return pooled.unionByName(empty)
 
 
-def soft_align(c: DataFrame, keys: list[str]) -> DataFrame:
+def soft_align(c: DataFrame, keys: list[str], emb: DataFrame) -> DataFrame:
     """M6: for each token of one side, the softmax of its dot scores over the other side's tokens
     weights that side's vectors (both directions).  Output (keys, side, pos, aligned).
 
@@ -102,6 +117,7 @@ def soft_align(c: DataFrame, keys: list[str]) -> DataFrame:
     collected list is bounded; max, exponentials and the weighted sum are array expressions on
     projected columns.
     """
+    c = with_vectors(c, emb)
     outs = []
     for side, me, other in ((1, "i", "v2"), (2, "j", "v1")):
         g = (c.select(*keys, F.col(me).alias("pos"), D.dot("v1", "v2").alias("score"),

@@ -71,17 +71,17 @@ def _lens(seqs):
 
 def _cells(spark, sf):
     _, seqs, emb = _prep(spark, sf)
-    tv = I.token_vectors(seqs, KEYS, emb).persist()
-    return seqs, emb, tv, I.cells(tv, KEYS).persist()
+    tid = I.token_ids(seqs, KEYS)
+    return seqs, emb, tid, I.cells(tid, KEYS).persist()  # ids only; vectors attached per use
 
 
 @query("match_matrix", f"""WITH {IBASE}
 SELECT pair_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round({_dot('v1', 'v2')}, {R}) AS dot,
        round(coalesce({_dot('v1', 'v2')} / nullif(n1 * n2, 0.0), 0.0), {R}) AS cosine FROM cells""", ("M1", "D6", "D3", "I9"))
 def match_matrix(spark, sf):
-    _, _, _, c = _cells(spark, sf)
-    d = I.match(c, KEYS, "dot").withColumnRenamed("score", "dot")
-    n = I.match(c, KEYS, "dot", normalize=True).withColumnRenamed("score", "cosine")
+    _, emb, _, c = _cells(spark, sf)
+    d = I.match(c, KEYS, emb, "dot").withColumnRenamed("score", "dot")
+    n = I.match(c, KEYS, emb, "dot", normalize=True).withColumnRenamed("score", "cosine")
     return d.join(n, [*KEYS, "i", "j"]).select(*KEYS, F.col("i").cast("int"), F.col("j").cast("int"),
                                                F.round("dot", R).alias("dot"), F.round("cosine", R).alias("cosine"))
 
@@ -93,12 +93,12 @@ SELECT pair_id, round(sum({_sum('list_transform(list_zip(v1, v2), lambda t: t[1]
        CAST(sum(len(list_concat(v1, v2))) AS BIGINT) AS concat_len
 FROM cells GROUP BY pair_id""", ("M2", "M3"))
 def match_elementwise(spark, sf):
-    _, _, _, c = _cells(spark, sf)
+    _, emb, _, c = _cells(spark, sf)
     out = None
     for t in ("mul", "plus", "minus"):
-        m = I.match(c, KEYS, t).groupBy(*KEYS).agg(F.round(F.sum(I.vec_sum("vec")), 4).alias(f"{t}_sum"))
+        m = I.match(c, KEYS, emb, t).groupBy(*KEYS).agg(F.round(F.sum(I.vec_sum("vec")), 4).alias(f"{t}_sum"))
         out = m if out is None else out.join(m, KEYS)
-    cc = I.match(c, KEYS, "concat").groupBy(*KEYS).agg(F.sum(F.size("vec")).cast("long").alias("concat_len"))
+    cc = I.match(c, KEYS, emb, "concat").groupBy(*KEYS).agg(F.sum(F.size("vec")).cast("long").alias("concat_len"))
     return out.join(cc, KEYS)
 
 
@@ -114,8 +114,8 @@ SELECT pair_id, round({_sum('t')}, 5) AS topk_sum, round(list_min(t), {R}) AS to
 
 @query("topk_cells", TOPK_SQL, ("M4", "W3"))
 def topk_cells(spark, sf):
-    seqs, _, _, c = _cells(spark, sf)
-    t = I.topk(I.match(c, KEYS, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 100)
+    seqs, emb, _, c = _cells(spark, sf)
+    t = I.topk(I.match(c, KEYS, emb, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 100)
     return t.select(*KEYS, F.round(I.vec_sum("topk"), 5).alias("topk_sum"),
                     F.round(F.array_min("topk"), R).alias("topk_min"), F.round(F.array_max("topk"), R).alias("topk_max"),
                     F.size("topk").cast("long").alias("topk_n"))
@@ -136,8 +136,8 @@ GROUP BY r.pair_id, r.bi, c.bj"""
 
 @query("dynamic_pooling", POOL_SQL, ("M5",))
 def dynamic_pooling(spark, sf):
-    seqs, _, _, c = _cells(spark, sf)
-    p = I.grid_max_pool(I.match(c, KEYS, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 5, 5)
+    seqs, emb, _, c = _cells(spark, sf)
+    p = I.grid_max_pool(I.match(c, KEYS, emb, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 5, 5)
     return p.select(*KEYS, F.col("bi").cast("int"), F.col("bj").cast("int"), F.round("pooled", R).alias("pooled"))
 
 
@@ -157,8 +157,8 @@ GROUP BY num.pair_id, num.side, num.pos"""
 
 @query("soft_align", ALIGN_SQL, ("M6",))
 def soft_align(spark, sf):
-    _, _, tv, c = _cells(spark, sf)
-    a = I.soft_align(c, KEYS)
+    _, emb, _, c = _cells(spark, sf)
+    a = I.soft_align(c, KEYS, emb)
     return a.select(*KEYS, F.col("side").cast("int"), F.col("pos").cast("int"),
                     F.round(I.vec_sum("aligned"), 4).alias("aligned_sum"), F.size("aligned").cast("long").alias("dims"))
 
