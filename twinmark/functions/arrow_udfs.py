@@ -15,7 +15,10 @@ def spread(df):
     Inputs to these steps are small in bytes but costly per row, so size-based partitioning (one
     file, or AQE coalescing) would leave them on one or two Python workers.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
+        return df
 
 
 @F.pandas_udf(T.LongType())

@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread: bool
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*cols) if cols else df
     if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
+        try:
+            slots = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < slots:
+                df = df.repartition(slots)
+        except Exception:  # sessions without RDD access (e.g. Spark Connect): keep the scan as is
+            pass
     return df
