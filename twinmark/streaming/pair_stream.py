@@ -20,17 +20,11 @@ def pair_stream(spark: SparkSession, source_dir: str, schema: str = PAIR_SCHEMA,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
 
 
-def stream_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = None, lang: str = "spanish") -> DataFrame:
-    """Stateless features per arriving pair; with ``idf`` also the TF-IDF sums (stream-static)."""
+def stream_features(pairs: DataFrame, keys: list[str], lang: str = "spanish") -> DataFrame:
+    """Stateless features per arriving pair (append-mode compatible)."""
     t = X.tokenise(pairs, keys, lang)
-    out = t.select(*keys, X.word_match_share(), *X.length_columns(), *X.negation_columns(),
-                   *X.ngram_jaccard_columns())
-    if idf is None:
-        return out
-    toks = pairs.select(*keys, T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("w"))
-    ex = toks.select(*keys, F.explode_outer("w").alias("word")).where(F.col("word").isNotNull())
-    s = ex.join(idf, "word", "left").groupBy(*keys).agg(F.sum(F.coalesce("idf", F.lit(0.0))).alias("tfidf_sum1"))
-    return out.join(s, keys, "left")
+    return t.select(*keys, X.word_match_share(), *X.length_columns(), *X.negation_columns(),
+                    *X.ngram_jaccard_columns())
 
 
 def run_to_table(features: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool = True):
@@ -41,3 +35,24 @@ def run_to_table(features: DataFrame, sink_dir: str, checkpoint_dir: str, availa
     if available_now:
         q.awaitTermination()
     return q
+
+
+def run_with_tfidf(pairs: DataFrame, keys: list[str], idf: DataFrame, sink_dir: str, checkpoint_dir: str,
+                   lang: str = "spanish", available_now: bool = True):
+    """Stateless features plus TF-IDF against a saved IDF table (stream-static).
+
+    A pair's tokens arrive together, so each micro-batch is scored with the batch bag-of-words job
+    (``foreachBatch``).  Every epoch overwrites its own folder, so a retried epoch replaces its
+    earlier output instead of duplicating it.
+    """
+    def score(batch: DataFrame, epoch_id: int) -> None:
+        t = X.tokenise(batch, keys, lang)
+        base = t.select(*keys, *X.length_columns(), *X.negation_columns(), *X.ngram_jaccard_columns())
+        out = base.join(X.bag_features(batch, keys, idf, lang), keys, "left")
+        out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch_id}")
+
+    w = pairs.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_dir)
+    q = w.trigger(availableNow=True).start() if available_now else w.start()
+    if available_now:
+        q.awaitTermination()
+    return q
