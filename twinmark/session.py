@@ -1,14 +1,15 @@
 """SparkSession helpers.
 
 The library never creates folders of its own on a cluster: anything that cuts lineage goes to the
-shared folder named by ``spark.checkpoint.dir``.  Only ``local_session`` (tests, bench) sets one, and
-only when none is configured.
+shared folder named by ``spark.checkpoint.dir``, and a cluster without that setting is an error.  Only a
+local session (tests, bench) gets a scratch folder, and only when none is configured.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -40,9 +41,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the configured checkpoint folder; set a scratch one only if none is configured.
+    """Return the configured checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder and is used as is.
+    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder and is used as is; a
+    cluster without it is an error.  Only a local session without it gets a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -50,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="twinmark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        conf_dir = tempfile.mkdtemp(prefix="twinmark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -65,3 +69,27 @@ def cut_lineage(df, eager: bool = True):
     out = df.checkpoint(eager=True)
     df.unpersist()
     return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers unpickle functions by module name, so they must be able to import the package wherever the
+    driver was started from.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="twinmark-zip-"), "twinmark_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
