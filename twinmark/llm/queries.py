@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import packing, quality, secret_scan, simhash
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a published tokenizer file; the path is the operators' parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
+
+
+def op8_secrets(spark, sf_dir):
+    """Owners are sources; their repositories are a source's languages."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, F.col("source"), F.struct("source", "lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
 def op9_simhash(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -17,5 +35,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
 SQL: dict[str, str] = {}
