@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, simhash
-from .common import table
+from . import packing, quality, secret_scan, simhash, toxicity
+from .common import held_out, table
+
+
+#: A document with this score or a higher one is toxic.
+TOXIC = 0.3
 
 
 def tokenizer(name: str) -> str:
@@ -15,6 +19,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_field(spark, docs, sf_dir):
+    """Fitted on labels outside the held-out fold (crc32 of the id as text, mod 4, is 2)."""
+    learnable = ~held_out(F.col("doc_id"), 4, 2)
+    return toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learnable))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_field(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+                         "n_toxic_words", "spans")
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
 
@@ -35,5 +52,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
 SQL: dict[str, str] = {}
