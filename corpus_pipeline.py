@@ -10,8 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinmark.llm import quality, simhash
+from twinmark.llm import packing, quality, secret_scan, simhash, toxicity
 from twinmark.llm.common import stored, table
+from twinmark.llm.queries import TOXIC, tokenizer, toxicity_field
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    return toxicity.drop_toxic(docs, toxicity_field(spark, docs, sf_dir), TOXIC)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +32,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
 
 
+def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; the secrets in it are masked."""
+    return secret_scan.mask(docs, F.col("source"), F.struct("source", "lang"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its sequence and its place there."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
+    ("secret_scans", secret_masks),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Trained models, fingerprints and tokenizers are not SQL; the stages are tested against brute force.
