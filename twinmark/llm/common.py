@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract of this subpackage: space and \\x09-\\x0D.
@@ -55,3 +55,18 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod ``modulus`` is ``remainder``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``: 0, 1, ... within each ``group``, without gaps.
+
+    ``rows`` is a stored table whose column ``part`` holds the task that wrote the row.  Rows are numbered
+    by group and part, which a task has written and a task can sort, and the counts of the parts before
+    are added; so a group of any size is spread over its parts.
+    """
+    counts = stored(rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "part").orderBy(*order)
+    return rows.withColumn("_own", F.row_number().over(inside) - 1).join(starts, [group, "part"]) \
+        .withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before")

@@ -11,10 +11,10 @@ import zlib
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ranked, stored
 
 CAPACITY = 2048
 
@@ -121,21 +121,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (a stored table with doc_id, piece, length, part) with sequence_id and offset."""
     spark = rows.sparkSession
-    counts = stored(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length
+    histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     runs, _ = plan(histogram, capacity)
     by_length: dict[int, list] = {}
     for size, *run in runs:
         by_length.setdefault(size, []).append(tuple(run))
     kinds = "length long, runs array<struct<first:long,bins:long,each:long,sequence:long,offset:long>>"
     planned = spark.createDataFrame(list(by_length.items()), kinds)  # bounded by the capacity, so it may be broadcast
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "part").orderBy(*[c for c in rows.columns if c not in ("length", "part")])
-    ranked = rows.withColumn("own", F.row_number().over(inside) - 1).join(starts, ["length", "part"]) \
-        .withColumn("rank", F.col("own") + F.col("before"))
+    numbered = ranked(rows, "length", [c for c in rows.columns if c not in ("length", "part")])
     hit = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["bins"] * r["each"]))
-    found = ranked.join(F.broadcast(planned), "length").withColumn("r", F.get(hit, F.lit(0))).withColumn("j", F.col("rank") - F.col("r.first"))
+    found = numbered.join(F.broadcast(planned), "length").withColumn("r", F.get(hit, F.lit(0))).withColumn("j", F.col("rank") - F.col("r.first"))
     return found.withColumn("sequence_id", F.col("r.sequence") + F.col("j") % F.col("r.bins")) \
         .withColumn("offset", (F.col("r.offset") + F.floor(F.col("j") / F.col("r.bins")) * F.col("length")).cast("long")) \
         .select(*[c for c in rows.columns if c != "part"], "sequence_id", "offset")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, simhash, toxicity
+from . import packing, quality, secret_scan, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -19,6 +19,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sharding(spark, sf_dir):
+    rows = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def toxicity_field(spark, docs, sf_dir):
     """Fitted on labels outside the held-out fold (crc32 of the id as text, mod 4, is 2)."""
     learnable = ~held_out(F.col("doc_id"), 4, 2)
@@ -52,5 +57,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
 SQL: dict[str, str] = {}
