@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, sharding, simhash, toxicity
+from . import bpe, packing, quality, secret_scan, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -19,6 +19,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bpe(spark, sf_dir):
+    path = tokenizer("word_bpe_49k.json")
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_sharding(spark, sf_dir):
     rows = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,5 +64,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
 SQL: dict[str, str] = {}
