@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, chat, lm, packing, quality, secret_scan, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_learned_partitions(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_bpe(spark, sf_dir):
     path = tokenizer("word_bpe_49k.json")
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -44,10 +48,20 @@ def op4_toxicity(spark, sf_dir):
                          "n_toxic_words", "spans")
 
 
+def op5_chat_perspectives(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end=0)
 
 
+def op7_language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = lm.score(docs, lm.fit(docs, ~held_out(F.col("doc_id"), 5, 1)))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_secrets(spark, sf_dir):
     """Owners are sources; their repositories are a source's languages."""
     docs = table(spark, sf_dir, "documents")
@@ -64,5 +78,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_toxicity, op6_packing, op8_secrets, op9_simhash, op10_quality_rules)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_bpe, op3_sharding, op4_toxicity, op5_chat_perspectives, op6_packing, op7_language_model, op8_secrets, op9_simhash, op10_quality_rules)}
+SQL: dict[str, str] = {"op5_chat_perspectives": chat.ROTATE_SQL}
