@@ -45,7 +45,7 @@ def test_query_matches_oracle(spark, con, name):
     assert srows == drows
 
 
-SLOWER = ["pair_features", "sequences", "dynamic_pooling", "smat_roundtrip", "stream_features", "near_duplicates"]
+SLOWER = ["pair_features_sql", "odd_text_features", "evaluate_scores", "fuzzy_part_labels", "embedding_table", "sequences", "dynamic_pooling", "smat_roundtrip", "stream_features", "near_duplicates"]
 
 
 @pytest.mark.parametrize("name", SLOWER)
@@ -53,6 +53,25 @@ def test_more_queries_match_oracle(spark, con, name):
     test_query_matches_oracle(spark, con, name)
 
 
+def test_pair_features_hold_the_longest_common_subsequence(spark):
+    from twinmark.sources.pairs import split_doc_pairs
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    got = {r.pair_id: r.lcs_ratio for r in E.queries()["pair_features"](spark, SF).collect()}
+    pairs = split_doc_pairs(spark, SF).collect()
+    assert set(got) == {p.pair_id for p in pairs}
+    for p in sorted(pairs, key=lambda p: len(p.s1) + len(p.s2))[:60]:
+        a, b = p.s1.lower().split(), p.s2.lower().split()
+        assert abs(got[p.pair_id] - plain(a, b) / max(1, len(a) + len(b))) < 1e-12
+
+
 def test_rows_only_queries(spark):
     from pyspark.sql import functions as F
     q = E.queries()

@@ -95,6 +95,68 @@ def test_fuzzy_self_join_exact(spark):
         assert got == ref
 
 
+def test_fuzzy_candidates_are_few_on_random_strings(spark):
+    rnd = random.Random(6)
+    strs = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(8, 14))) for _ in range(1000)})
+    df = spark.createDataFrame([(s,) for s in strs], "s string").select(F.col("s").alias("id"), "s")
+    n = M.fuzzy_candidates(df, "id", "s", 0.7).count()
+    assert n < 0.06 * len(strs) * (len(strs) - 1) / 2
+
+
+def test_set_joins_lose_nothing_to_rounding(spark):
+    rows = []
+    for n in (100, 180, 200):
+        base = [f"x{n}_{i}" for i in range(n)]
+        share = round(n * 0.55)
+        rows.append((n, base))
+        rows.append((1000 + n, base[n - share:]))  # contained to exactly 0.55 and, as a set, similar to 0.55
+    df = spark.createDataFrame(rows, "id long, g array<string>")
+    got = {(r.id_a, r.id_b) for r in M.jaccard_self_join(df, "id", "g", 0.55).collect()}
+    assert got == {(n, 1000 + n) for n in (100, 180, 200)}
+    small = df.where("id < 1000").withColumnRenamed("id", "item")
+    got = {(r.id, r.item) for r in M.containment_join(df.where("id > 1000"), "id", small, "item", "g", 0.55).collect()}
+    assert got == {(1000 + n, n) for n in (100, 180, 200)}
+
+
+def test_auc_ranks_the_scores_as_they_are(spark):
+    rows = [(1, 0.5000001), (0, 0.5000002), (1, 0.5000003), (0, 0.5000004)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert ST.auc(df).first()[0] == 0.25
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 1), rnd.randint(0, 9) / 10 + rnd.choice([0, 1e-12])) for _ in range(300)] + [(1, None)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    pos, neg = [s for y, s in rows if y and s is not None], [s for y, s in rows if not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(ST.auc(df).first()[0] - want) < 1e-12
+
+
+def test_strict_merge_stops_on_unequal_rows(spark):
+    import pytest
+    two, one = spark.createDataFrame([(0, 1.0), (1, 2.0)], "row_id long, a double"), spark.createDataFrame([(0, 3.0)], "row_id long, b double")
+    with pytest.raises(Exception, match="rows without a partner"):
+        SM.merge_cols(two, one, ["row_id"], strict=True).count()
+    assert SM.merge_cols(two, two.withColumnRenamed("a", "b"), ["row_id"], strict=True).count() == 2
+
+
+def test_embedding_table_has_the_last_row_of_a_binding_cap(spark):
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(1, 8)], "word string, idx long")
+    vectors = spark.createDataFrame([(f"w{i}", [float(i)]) for i in range(1, 8)], "word string, vec array<float>")
+    rows = {r.idx: list(r.vec) for r in C.embedding_table(vocab, vectors, 1, num_words=5).collect()}
+    assert rows == {0: [0.0], **{i: [float(i)] for i in range(1, 6)}}
+
+
+def test_odd_texts_lose_no_pair(spark):
+    from twinmark.operators import features as X
+    from twinmark.operators import udf_jobs as UJ
+    rows = [(0, None, "a b"), (1, "", ""), (2, "¿?", "!!"), (3, None, None), (4, "a b", "a c b")]
+    pairs = spark.createDataFrame(rows, "k long, s1 string, s2 string")
+    assert {r.k: r.lcs_ratio for r in X.lcs_features(pairs, ["k"]).collect()} == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.4}
+    assert {r.k: r.len_char1 for r in X.length_features(pairs, ["k"]).collect()}[0] == 0
+    assert UJ.longest_match(pairs, ["k"]).count() == UJ.compression_distance(pairs, ["k"]).count() == 5
+    fuzzy = {r.k: r.partial_token_sort_ratio for r in UJ.fuzzy_ratios(pairs, ["k"]).collect()}
+    assert fuzzy[1] == fuzzy[2] == fuzzy[3] == 0 and len(fuzzy) == 5
+
+
 def test_jaccard_self_join_exact(spark):
     rnd = random.Random(9)
     sets = [(i, sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))})) for i in range(80)]

@@ -9,28 +9,11 @@ from pyspark.sql import types as T
 from . import pyhelpers as H
 
 
-def spread(df):
-    """Round-robin the rows over all task slots before a Python-heavy step.
-
-    Inputs to these steps are small in bytes but costly per row, so size-based partitioning (one
-    file, or AQE coalescing) would leave them on one or two Python workers.
-    """
-    try:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
-        return df
-
-
 @F.pandas_udf(T.LongType())
 def lcs_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.lcs_len(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-@F.pandas_udf(T.LongType())
-def lcs_len_wrapped_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([H.lcs_len_wrapped(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
-
-
 @F.pandas_udf(T.LongType())
 def longest_match_size_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.longest_match_size(x, y) for x, y in zip(a, b)], dtype="int64")
@@ -47,16 +30,6 @@ def lzma_pair_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([min(H.lzma_len(x + y), H.lzma_len(y + x)) for x, y in zip(a, b)], dtype="int64")
 
 
-@F.pandas_udf(T.LongType())
-def partial_token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([H.partial_token_set_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
-
-
-@F.pandas_udf(T.LongType())
-def partial_token_sort_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([H.partial_token_sort_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
-
-
 @F.pandas_udf(T.StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     from .snowball_es import stem

@@ -33,7 +33,7 @@ def edit_dist(a, b) -> Column:
 def is_str_match(a, b, threshold: float = 1.0) -> Column:
     """equality at threshold 1, else ``1 - edit_dist >= threshold``."""
     if not 0.0 <= threshold <= 1.0:
-        raise ValueError("Wrong threshold.")
+        raise ValueError("threshold must be in [0, 1]")
     a, b = _col(a), _col(b)
     if threshold == 1.0:
         return a == b

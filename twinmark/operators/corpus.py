@@ -87,12 +87,11 @@ def pad(ids, maxlen: int = MAX_SEQUENCE_LENGTH) -> Column:
 def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, num_words: int = MAX_NB_WORDS) -> DataFrame:
     """K4: (idx, vec) for idx 0..min(num_words, |vocab|); row 0 and words without a vector are
     zero vectors.  Built by a left join on the (capped) vocabulary."""
-    nb = vocab.agg(F.least(F.lit(num_words), F.count(F.lit(1))).alias("nb"))
-    rows = vocab.where(F.col("idx") < num_words).select("idx", "word")
+    rows = vocab.where(F.col("idx") <= num_words).select("idx", "word")
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     body = rows.join(vectors, "word", "left").select("idx", F.col("vec").isNotNull().alias("has_vec"),
                                                      F.coalesce("vec", zero).alias("vec"))
-    row0 = nb.select(F.lit(0).cast("long").alias("idx"), F.lit(False).alias("has_vec"), zero.alias("vec"))
+    row0 = vocab.sparkSession.range(1).select(F.lit(0).cast("long").alias("idx"), F.lit(False).alias("has_vec"), zero.alias("vec"))
     return row0.unionByName(body)
 
 

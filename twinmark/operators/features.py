@@ -24,14 +24,19 @@ def _col(c) -> Column:
 
 # ------------------------------------------------------------------------------------------ tokens
 
+def filled(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with absent texts as empty ones: the contract of every feature."""
+    return pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("s1", "s2")})
+
+
 def tokenise(pairs: DataFrame, keys: list[str], lang: str = "spanish") -> DataFrame:
-    """Tokenise both sides once; every stateless feature reads these columns.
+    """Tokenise both sides once; every stateless feature reads these columns.  An absent text is an empty one.
 
     ws1/ws2: whitespace tokens of the lower-cased text (P3 + P5);
     wt1/wt2: word/punctuation tokens of the lower-cased stripped text (P7 + P3 + P6);
     sw1/sw2: ws tokens without stop words (F1).
     """
-    out = pairs.select(
+    out = filled(pairs).select(
         *keys, "s1", "s2",
         T.tokens_ws(T.lower("s1")).alias("ws1"), T.tokens_ws(T.lower("s2")).alias("ws2"),
         T.tokens_word(T.lower(T.as_text("s1"))).alias("wt1"),
@@ -148,9 +153,6 @@ def ngram_jaccard_features(pairs, keys):
 
 def lcs_features(pairs, keys, method: str = "arrow"):
     t = tokenise(pairs, keys).select(*keys, "ws1", "ws2")
-    if method == "arrow":
-        from ..functions.arrow_udfs import spread
-        t = spread(t)
     return t.select(*keys, lcs_ratio(method=method))
 
 
@@ -169,6 +171,7 @@ def distinct_sentences(pairs: DataFrame) -> DataFrame:
 def corpus_idf(pairs: DataFrame) -> DataFrame:
     """``log2(N / (cf + 1))`` with cf the collection frequency over distinct sentences and N the
     number of pair rows (Q5).  Partial aggregation combines frequent words map-side."""
+    pairs = filled(pairs)
     n_rows = pairs.agg(F.count(F.lit(1)).cast("double")).scalar()
     toks = distinct_sentences(pairs).select(T.tokens_ws(T.lower("s")).alias("t"))
     words = toks.select(F.explode_outer("t").alias("word")).where(F.col("word").isNotNull())
@@ -187,6 +190,7 @@ def bag_features(pairs: DataFrame, keys: list[str], idf: DataFrame | None = None
     vocabulary is small at run time, else a shuffle join on ``word`` with skew splitting).
     ``explode_outer`` keeps pairs without any word, so nothing is joined back to the pair table.
     """
+    pairs = filled(pairs)
     sides = (pairs.select(*keys, F.lit(1).alias("side"), T.remove_stopwords(T.tokens_ws(T.lower("s1")), lang).alias("w"))
              .unionByName(pairs.select(*keys, F.lit(2).alias("side"),
                                        T.remove_stopwords(T.tokens_ws(T.lower("s2")), lang).alias("w"))))

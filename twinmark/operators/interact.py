@@ -54,7 +54,7 @@ def with_vectors(c: DataFrame, emb: DataFrame) -> DataFrame:
 def match(c: DataFrame, keys: list[str], emb: DataFrame, match_type: str = "dot", normalize: bool = False) -> DataFrame:
     """M1 (dot, optionally cosine), M2 (mul / plus / minus, element-wise), M3 (concat)."""
     if match_type not in MATCH_TYPES:
-        raise ValueError(f"In `Match` layer, param match_type={match_type} is unknown.")
+        raise ValueError(f"unknown match type {match_type!r}")
     c = with_vectors(c, emb)
     v1, v2 = F.col("v1"), F.col("v2")
     if match_type == "dot":
@@ -89,7 +89,7 @@ def grid_max_pool(scores: DataFrame, keys: list[str], lens: DataFrame, p1: int =
     all-zero blocks.
     """
     if maxlen % p1 or maxlen % p2:
-        raise ValueError(f"DynamicMaxPooling can not generate ({p1} x {p2}) output from {maxlen}")
+        raise ValueError(f"a grid of {p1} x {p2} does not fit sequences of {maxlen}")
     s1, s2 = maxlen // p1, maxlen // p2
     g = F.sequence(F.lit(0), F.lit(maxlen - 1))
 

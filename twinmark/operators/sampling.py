@@ -71,8 +71,8 @@ def first_by_hash(df: DataFrame, id_col: str, m, seed: int = 0, prefix_chars: in
 def balance(df: DataFrame, id_col: str, label: str, positive_rate: float, seed: int = 0) -> DataFrame:
     """Reach ``positive_rate`` by repeating the minority class.
 
-    Class A (the one to keep once) and class B (repeated) are chosen as in the reference; B gets
-    ``floor(k)`` full copies and ``floor(frac * |B|)`` further rows, the first by md5 rank.
+    The class that is too frequent stays as it is; the other needs ``k`` times its rows, which is
+    ``floor(k)`` full copies and ``floor(frac(k) * rows)`` further rows, the first by md5 rank.
     One-class, empty input or a target within 1e-6 of 0 or 1 returns the input unchanged.
     The class counts are one aggregate row; the copy count drives ``explode(sequence)``.
     """
@@ -82,20 +82,14 @@ def balance(df: DataFrame, id_col: str, label: str, positive_rate: float, seed:
     pos, neg = stats["pos"], stats["neg"]
     if pos + neg == 0 or pos == 0 or neg == 0:
         return df.withColumn("copy", F.lit(1))
-    r, p = pos / (pos + neg), positive_rate
-    a_label, b_label = 1, 0
-    if r < p:
-        a_label, b_label, r, p = 0, 1, 1.0 - r, 1.0 - p
-    k = (1.0 - p) * r / p / (1.0 - r)
-    full, rest = 0, 0.0
-    while k > 1e-6:  # the reference's own loop on the scalar k, run on the driver
-        if k > 1.0 - 1e-6:
-            full += 1
-        else:
-            rest = k
-        k -= 1.0
-    n_b = neg if b_label == 0 else pos
-    extra = int(math.floor(rest * n_b + 1e-9)) if rest > 0 else 0
+    few = 1 if pos < positive_rate * (pos + neg) else 0  # the class to repeat
+    n_b, n_a = (pos, neg) if few else (neg, pos)
+    share = positive_rate if few else 1.0 - positive_rate  # its share of the result
+    k = n_a / n_b * share / (1.0 - share)
+    full = math.floor(k + 1e-6)
+    rest = k - full
+    extra = int(math.floor(rest * n_b + 1e-9)) if rest > 1e-6 else 0
+    a_label, b_label = 1 - few, few
     a = df.where(F.col(label) == a_label).withColumn("copy", F.lit(1))
     b = df.where(F.col(label) == b_label)
     out = a
@@ -145,8 +139,9 @@ def merge_cols(left: DataFrame, right: DataFrame, keys: list[str], strict: bool
     out = l.join(r, keys, "full_outer")
     missing = F.col("_l").isNull() | F.col("_r").isNull()
     if strict:
-        out = out.withColumn("_chk", F.when(missing, F.raise_error(F.lit("feature matrices differ in rows"))))
-        return out.drop("_l", "_r", "_chk")
+        # a filter, not a column: a column that nobody reads would be pruned with its check
+        stop = F.when(missing, F.raise_error(F.lit("rows without a partner")).cast("boolean")).otherwise(F.lit(True))
+        return out.where(stop).drop("_l", "_r")
     return out.withColumn("row_missing", missing).drop("_l", "_r")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..session import cut_lineage
 
 VALID_MODES = ("size", "mean", "std", "max", "min", "median")
 
@@ -16,7 +17,7 @@ def _modes(modes) -> list[str]:
     out = []
     for m in modes:
         if m.lower() not in VALID_MODES:
-            raise ValueError(f"Wrong aggregation_mode: {m}")
+            raise ValueError(f"unknown aggregate {m!r}; one of {VALID_MODES}")
         out.append(m.lower())
     return out
 
@@ -49,7 +50,14 @@ def aggregate(df: DataFrame, x: str, modes, by: list[str] | None = None, exact_m
 
 
 def corr_with_label(x, y) -> Column:
-    """Pearson correlation, 0 when either side is constant (no division error under ANSI)."""
+    """Pearson correlation, 0 when either side is constant (no division error under ANSI).
+
+    A list of several columns for ``x`` has no single coefficient; its contract value is 1.
+    """
+    if isinstance(x, (list, tuple)):
+        if len(x) > 1:
+            return F.lit(1.0)
+        x = x[0]
     x, y = F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y
     den = F.stddev_pop(x.cast("double")) * F.stddev_pop(y.cast("double"))
     return F.coalesce(F.covar_pop(x.cast("double"), y.cast("double")) / F.nullif(den, F.lit(0.0)), F.lit(0.0))
@@ -80,19 +88,23 @@ def ensemble_mean(predictions: DataFrame, key: str, score: str = "score") -> Dat
     return predictions.groupBy(key).agg(F.avg(score).alias("score"))
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6) -> DataFrame:
-    """Area under the ROC curve with ties counted half.
+def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve with ties counted half (M11), over the scores as they are.
 
-    Scores are rounded to ``digits`` decimals, so the per-score table has at most 10**digits + 1
-    rows whatever the data size; its running sums are the only ordered step.
+    Rows with one score are one row of counts.  These are range-sorted and checkpointed; negatives
+    below a score are counted within its partition and added to the totals of the partitions
+    before, one row each.  Rows without a score or a label are left out.
     """
-    s = F.round(F.col(score).cast("double"), digits)
-    per = df.groupBy(s.alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                       F.count_if(F.col(label) == 0).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return per.agg(D.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
-                                F.sum("pos") * F.sum("neg")).alias("auc"))
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    per = cut_lineage(per.orderBy("s")).withColumn("part", F.spark_partition_id())
+    totals = per.groupBy("part").agg(F.sum("neg").alias("all"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("neg_before"))
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = per.withColumn("neg_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(totals, "part")
+    return below.agg(D.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg_inside") + F.col("neg") / 2.0)),
+                                  F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def evaluate(df: DataFrame, label: str = "label", score: str = "score", fold: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
     splitting.
     """
     toks = df.select(*keys, F.posexplode_outer(T.tokens_ws(text)).alias("pos", "word"))
-    stems = U.spread(toks.where(F.col("word").isNotNull()).select("word").distinct()).select("word", U.stem_udf("word").alias("stem"))
+    stems = toks.where(F.col("word").isNotNull()).select("word").distinct().select("word", U.stem_udf("word").alias("stem"))
     keep = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
     joined = toks.join(stems, "word", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
     return joined.select(*keys, F.array_join(F.transform("_s", lambda s: s["stem"]), " ").alias(out))
@@ -33,7 +33,7 @@ def stem_job(df: DataFrame, keys: list[str], text: str, out: str = "stemmed") ->
 def stem_tokens(df: DataFrame, keys: list[str], tok_col: str, out: str = "stemmed") -> DataFrame:
     """Stem every element of a token array column (order kept), each distinct word once."""
     toks = df.select(*keys, F.posexplode_outer(tok_col).alias("pos", "word"))
-    stems = U.spread(toks.where(F.col("word").isNotNull()).select("word").distinct()).select("word", U.stem_udf("word").alias("stem"))
+    stems = toks.where(F.col("word").isNotNull()).select("word").distinct().select("word", U.stem_udf("word").alias("stem"))
     keep = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
     agg = toks.join(stems, "word", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
     return agg.select(*keys, F.transform("_s", lambda s: s["stem"]).alias(out))
@@ -49,15 +49,21 @@ def negation_stemmed(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return s1.join(s2, keys).select(*keys, *X.negation_columns("wt1", "wt2"))
 
 
+def _filled(pairs: DataFrame, keys: list[str], s1: str, s2: str) -> DataFrame:
+    """Keys and both sides; an absent text is an empty one, as in every feature job."""
+    return pairs.select(*keys, F.coalesce(F.col(s1), F.lit("")).alias(s1), F.coalesce(F.col(s2), F.lit("")).alias(s2))
+
+
 def _per_distinct_pair(pairs: DataFrame, keys: list[str], a: Column, b: Column, udf, out: str) -> DataFrame:
     """Run a pair UDF once per distinct (a, b) value pair and join the result back."""
     v = pairs.select(*keys, a.alias("_a"), b.alias("_b"))
-    scored = U.spread(v.select("_a", "_b").distinct()).select("_a", "_b", udf(F.col("_a"), F.col("_b")).alias(out))
+    scored = v.select("_a", "_b").distinct().select("_a", "_b", udf(F.col("_a"), F.col("_b")).alias(out))
     return v.join(scored, ["_a", "_b"]).drop("_a", "_b")
 
 
 def longest_match(pairs: DataFrame, keys: list[str], s1: str = "s1", s2: str = "s2") -> DataFrame:
     """Longest matching block (blank as junk) and its ratio to the shorter length."""
+    pairs = _filled(pairs, keys, s1, s2)
     out = _per_distinct_pair(pairs, keys, F.col(s1), F.col(s2), U.longest_match_size_udf, "longest_match")
     lens = pairs.select(*keys, F.least(F.length(s1), F.length(s2)).alias("_m"))
     return (out.join(lens, keys)
@@ -69,11 +75,12 @@ def compression_distance(pairs: DataFrame, keys: list[str], s1: str = "s1", s2:
 
     Equal texts short-circuit to 0 without compressing anything.
     """
+    pairs = _filled(pairs, keys, s1, s2)
     texts = pairs.select(F.col(s1).alias("t")).union(pairs.select(F.col(s2).alias("t"))).distinct()
-    self_len = U.spread(texts).select("t", U.lzma_len_udf("t").alias("l"))
+    self_len = texts.select("t", U.lzma_len_udf("t").alias("l"))
     p = pairs.select(*keys, F.col(s1).alias("_a"), F.col(s2).alias("_b"))
     diff = p.where(F.col("_a") != F.col("_b"))
-    both = U.spread(diff.select("_a", "_b").distinct())
+    both = diff.select("_a", "_b").distinct()
     both = both.select("_a", "_b", U.lzma_pair_len_udf("_a", "_b").alias("lxy"))
     la = self_len.select(F.col("t").alias("_a"), F.col("l").alias("la"))
     lb = self_len.select(F.col("t").alias("_b"), F.col("l").alias("lb"))
@@ -102,6 +109,7 @@ def fuzzy_ratios(pairs: DataFrame, keys: list[str], s1: str = "s1", s2: str = "s
     E6 is 100 natively whenever the cleaned token sets overlap; otherwise, like E7, it is the
     partial ratio of two sorted token strings, computed in Python once per distinct key pair.
     """
+    pairs = _filled(pairs, keys, s1, s2)
     t = pairs.select(*keys, fuzzy_tokens(s1).alias("c1"), fuzzy_tokens(s2).alias("c2"))
     t = t.select(*keys, "c1", "c2",
                  F.array_join(F.array_sort(F.array_distinct("c1")), " ").alias("set1"),

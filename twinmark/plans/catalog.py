@@ -32,11 +32,5 @@ def query(name: str, sql: str | None, covers: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Query]:
     """Import every query module so their ``@query`` registrations run."""
-    from . import q_features, q_text  # noqa: F401
-    for mod in ("q_stats", "q_corpus", "q_matching", "q_interact", "q_udf", "q_store"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # modules added round by round
-            if mod not in str(e):
-                raise
+    from . import q_corpus, q_features, q_interact, q_matching, q_stats, q_store, q_text, q_udf  # noqa: F401
     return QUERIES

@@ -84,7 +84,7 @@ def sequences(spark, sf):
 EMB_SQL = f"""WITH {BASE},
 body AS (SELECT CAST(v.idx AS BIGINT) AS idx, wv.vec IS NOT NULL AS has_vec,
   round(coalesce(list_reduce(list_transform(wv.vec, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b, 0.0), 0.0), 6) AS vec_sum
-  FROM vocab v LEFT JOIN wv ON wv.word = v.word WHERE v.idx < 20000)
+  FROM vocab v LEFT JOIN wv ON wv.word = v.word WHERE v.idx <= 20000)
 SELECT CAST(0 AS BIGINT) AS idx, false AS has_vec, 0.0 AS vec_sum UNION ALL SELECT * FROM body"""
 
 
@@ -105,7 +105,7 @@ def embedding_table(spark, sf):
 COV_SQL = f"""WITH {BASE}
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM vocab WHERE word NOT IN (SELECT word FROM wv)) AS words_without_vector,
        (SELECT CAST(1 + count(*) FILTER (WHERE wv.word IS NULL OR list_reduce(list_transform(wv.vec, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b, 0.0) = 0) AS BIGINT)
-        FROM vocab v LEFT JOIN wv ON wv.word = v.word WHERE v.idx < 20000) AS zero_rows"""
+        FROM vocab v LEFT JOIN wv ON wv.word = v.word WHERE v.idx <= 20000) AS zero_rows"""
 
 
 @query("vocab_coverage", COV_SQL, ("G8",))

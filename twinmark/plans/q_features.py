@@ -8,7 +8,7 @@ from ..operators import features as X
 from ..sources import pairs as P
 from . import sqlbits as S
 from .catalog import query
-from .views import CONV_PAIRS, DOC_PAIRS, LABELLED_DOC_PAIRS, with_views
+from .views import CONV_PAIRS, DOC_PAIRS, LABELLED_DOC_PAIRS, SPLIT_DOC_PAIRS, with_views
 
 CK = ["conv_id", "turn"]
 CKS = "conv_id, turn"
@@ -151,7 +151,7 @@ def tfidf(spark, sf):
     return _round_cols(X.tfidf_features(P.conv_pairs(spark, sf), CK), TFIDF_COLS)
 
 
-PF_SQL = f"""WITH cp AS ({LABELLED_DOC_PAIRS.replace(chr(10), ' ')}),
+PF_SQL = f"""WITH cp AS ({SPLIT_DOC_PAIRS.replace(chr(10), ' ')}),
 tok0 AS ({TOK.replace('conv_id, turn', 'pair_id, label')}),
 tok AS ({TOK_SW}),
 {IDF_CTE},
@@ -181,12 +181,39 @@ SELECT st.pair_id, CAST(c1 AS BIGINT) AS not_cnt1, CAST(c2 AS BIGINT) AS not_cnt
 FROM st JOIN tfidf ON st.pair_id = tfidf.pair_id"""
 
 
-@query("pair_features", PF_SQL, ("E10", "E1", "E2", "E3", "E4", "E8", "E9", "P9", "X1", "X3"))
+@query("pair_features", None, ("E10", "E1", "E2", "E3", "E4", "E5", "E8", "E9", "P9", "X1", "X3"))
 def pair_features(spark, sf):
-    """E10 over labelled whole-document pairs: one tokenising pass, one projection, TF-IDF joined.
+    """Every extractor on every whole-document pair; label -1 where a side is unlabelled.
 
-    The long-text LCS (E5) is left out here; it has its own query over conversation pairs.
+    No SQL: the longest common subsequence of long texts is too slow there.  Its other columns are
+    checked by ``pair_features_sql``, and it by a plain version in the tests.
     """
+    return _round_cols(X.pair_features(P.split_doc_pairs(spark, sf), ["pair_id"]), TFIDF_COLS)
+
+
+@query("pair_features_sql", PF_SQL, ("E10 without E5",))
+def pair_features_sql(spark, sf):
+    """The features of ``pair_features`` that SQL can express, on the same pairs."""
     feats = ("Not", "WordMatchShare", "Length", "NgramJaccardCoef", "TFIDFSpanish")
-    out = X.pair_features(P.labelled_doc_pairs(spark, sf), ["pair_id"], feats)
-    return _round_cols(out, TFIDF_COLS)
+    return _round_cols(X.pair_features(P.split_doc_pairs(spark, sf), ["pair_id"], feats), TFIDF_COLS)
+
+
+# Turns whose texts are absent, empty, blank or punctuation alone, by conversation, on either side.
+ODD = """SELECT conv_id, turn,
+  CASE conv_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN '?!' ELSE s1 END AS s1,
+  CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN s1 ELSE s2 END AS s2
+FROM cp0"""
+ODD_NULLS = "SELECT conv_id, turn, coalesce(s1, '') AS s1, coalesce(s2, '') AS s2 FROM cp1"
+
+
+@query("odd_text_features",
+       with_views(f"SELECT {CKS}, {WMS_SQL} AS word_match_share, {LEN_SQL}, {JAC_SQL}, "
+                  f"CAST({S.count_in('wt1', ('no', 'ni', 'nunca'))} AS BIGINT) AS not_cnt1, CAST({S.count_in('wt2', ('no', 'ni', 'nunca'))} AS BIGINT) AS not_cnt2 FROM tok",
+                  cp0=CONV_PAIRS, cp1=ODD, cp=ODD_NULLS, tok0=TOK, tok=TOK_SW), ("NULL and empty texts",))
+def odd_text_features(spark, sf):
+    """The stateless features where texts are absent, empty, blank or punctuation: no row is lost."""
+    c = F.col("conv_id")
+    s1 = F.when(c % 7 == 0, None).when(c % 7 == 1, "").when(c % 7 == 2, "   ").when(c % 7 == 3, "?!").otherwise(F.col("s1"))
+    s2 = F.when(c % 5 == 0, None).when(c % 5 == 1, "").when(c % 5 == 2, F.col("s1")).otherwise(F.col("s2"))
+    t = X.tokenise(P.conv_pairs(spark, sf).select(*CK, s1.alias("s1"), s2.alias("s2")), CK)
+    return t.select(*CK, X.word_match_share(), *X.length_columns(), *X.ngram_jaccard_columns(), *X.negation_columns()[:2])

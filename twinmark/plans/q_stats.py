@@ -101,17 +101,21 @@ def kfold_exact(spark, sf):
     return SM.kfold_exact(table(spark, sf, "labels", "doc_id"), "doc_id", 5, 123)
 
 
+NEAR = "(0.5 + (doc_id % 7) * 1e-9)"  # ties, and scores that differ in the ninth decimal
 FIXED = "((doc_id % 97 + 1) / 98.0)"
 EVAL_SQL = f"""WITH s AS (SELECT doc_id, CAST(quality AS DOUBLE) AS label, {FIXED} AS score,
     CAST(CAST(('0x' || substr(md5('123:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold FROM labels),
 e AS (SELECT avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) AS log_loss,
              avg(CAST(CAST(score > 0.5 AS INTEGER) = label AS DOUBLE)) AS accuracy, avg(score) AS mean_score FROM s),
 f AS (SELECT avg(fl) AS mean_fold_loss FROM (SELECT fold, avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) AS fl FROM s GROUP BY fold)),
-per AS (SELECT round(score, 6) AS sc, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY 1),
+per AS (SELECT score AS sc, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY 1),
 cum AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM per),
-a AS (SELECT coalesce(sum(pos * (nb + neg / 2.0)) / nullif(CAST(sum(pos) * sum(neg) AS DOUBLE), 0.0), 0.0) AS auc FROM cum)
-SELECT round(log_loss, 6) AS log_loss, round(accuracy, 6) AS accuracy, round(mean_score, 6) AS mean_score,
-       round(mean_fold_loss, 6) AS mean_fold_loss, round(auc, 6) AS auc FROM e, f, a"""
+a AS (SELECT coalesce(sum(pos * (nb + neg / 2.0)) / nullif(CAST(sum(pos) * sum(neg) AS DOUBLE), 0.0), 0.0) AS auc FROM cum),
+near AS (SELECT label, {NEAR} AS sc FROM s),
+per2 AS (SELECT sc, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM near GROUP BY 1),
+a2 AS (SELECT coalesce(sum(p.pos * (coalesce((SELECT sum(q.neg) FROM per2 q WHERE q.sc < p.sc), 0) + p.neg / 2.0)) / nullif(CAST(sum(p.pos) * sum(p.neg) AS DOUBLE), 0.0), 0.0) AS auc_near FROM per2 p)
+SELECT round(auc_near, 6) AS auc_near, round(log_loss, 6) AS log_loss, round(accuracy, 6) AS accuracy, round(mean_score, 6) AS mean_score,
+       round(mean_fold_loss, 6) AS mean_fold_loss, round(auc, 6) AS auc FROM e, f, a, a2"""
 
 
 @query("evaluate_scores", EVAL_SQL, ("M11", "G10", "G11", "I12"))
@@ -119,8 +123,10 @@ def evaluate_scores(spark, sf):
     l = table(spark, sf, "labels", "doc_id", "quality")
     s = SM.kfold(l.select("doc_id", F.col("quality").cast("double").alias("label"),
                           ((F.col("doc_id") % 97 + 1) / 98.0).alias("score")), "doc_id", 5, 123)
-    ev = ST.evaluate(s, "label", "score", "fold").join(ST.auc(s, "label", "score"), how="cross")
-    return ev.select(*[F.round(c, 6).alias(c) for c in ("log_loss", "accuracy", "mean_score", "mean_fold_loss", "auc")])
+    near = s.select("label", (F.lit(0.5) + (F.col("doc_id") % 7) * 1e-9).alias("near"))
+    ev = ST.evaluate(s, "label", "score", "fold").join(ST.auc(s, "label", "score"), how="cross") \
+        .join(ST.auc(near, "label", "near").withColumnRenamed("auc", "auc_near"), how="cross")
+    return ev.select(*[F.round(c, 6).alias(c) for c in ("auc_near", "log_loss", "accuracy", "mean_score", "mean_fold_loss", "auc")])
 
 
 ENS_SQL = """SELECT doc_id, round(avg(score), 9) AS score FROM (

@@ -16,6 +16,13 @@ JOIN labels l1 ON l1.doc_id = dp.prev_id
 JOIN labels l2 ON l2.doc_id = dp.pair_id"""
 
 
+SPLIT_DOC_PAIRS = f"""SELECT dp.*, CASE WHEN l1.doc_id IS NOT NULL AND l2.doc_id IS NOT NULL
+  THEN CAST(l1.quality = l2.quality AS INTEGER) ELSE -1 END AS label
+FROM ({DOC_PAIRS}) dp
+LEFT JOIN labels l1 ON l1.doc_id = dp.prev_id
+LEFT JOIN labels l2 ON l2.doc_id = dp.pair_id"""
+
+
 def with_views(body: str, **views: str) -> str:
     """``WITH name AS (...), ... body``."""
     ctes = ",\n".join(f"{k} AS (\n{v}\n)" for k, v in views.items())

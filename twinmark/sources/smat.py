@@ -9,6 +9,7 @@ first line of the first part.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_ws
@@ -61,7 +62,9 @@ def load_features(spark: SparkSession, folder: str, names: list[str], label_name
         p = os.path.join(folder, f"{n}.smat")
         try:
             ncols = (shapes or {}).get(n) or smat_shape(spark, p).first()["n_cols"]
-        except Exception as e:  # missing file
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise FileNotFoundError(f"feature matrix {n!r} not found under {folder}") from e
         f = read_feature(spark, p, n, int(ncols))
         if out is None:

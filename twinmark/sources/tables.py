@@ -12,23 +12,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, spread: bool = True) -> DataFrame:
-    """Scan one table (columns pruned at the scan).
-
-    A scan with fewer splits than the cluster has task slots (a small file or one large row
-    group) is round-robined over the slots, so per-row CPU work (tokenising whole texts) is not
-    left to a single task; filters and column pruning still reach the scan.  Large inputs, which
-    already have many splits, are left as they are (no extra shuffle at scale).
-    """
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Scan one table (columns pruned at the scan); how it is split is the session's choice."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*cols) if cols else df
-    if spread:
-        try:
-            slots = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < slots:
-                df = df.repartition(slots)
-        except Exception:  # sessions without RDD access (e.g. Spark Connect): keep the scan as is
-            pass
-    return df
+    return df.select(*cols) if cols else df
