@@ -195,7 +195,7 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
     texts = docs.filter(learnable).select(F.col(text).cast("binary").alias("text"))
     counts = stored(word_counts(texts), "words")
     ends = texts.count()
-    group = F.crc32(F.expr(f"right(word, {ENDING})")) % ENDINGS
+    group = F.crc32(F.substring("word", -ENDING, ENDING)) % ENDINGS  # bytes, as in Codes
     groups = counts.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row for each group
     top = frequent(counts, head_words)
     head, c = [w for w, _ in top], np.array([n for _, n in top], float)

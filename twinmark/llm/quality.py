@@ -141,5 +141,6 @@ def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: st
     gone = lambda x: F.array_contains("cut", F.xxhash64(normal(x))) & (normal(x) != "")
     rest = F.array_join(F.filter(F.split("whole", "\n"), lambda x: ~gone(x)), "\n")
     out = keyed.join(verdict, KEY).withColumn("whole", F.when(F.col("cut").isNull(), F.col("whole")).otherwise(rest))
-    fixed = {text: F.col("whole"), n_chars: F.length("whole").cast("long")}
+    count = F.when(F.col("cut").isNull(), F.col("row")[n_chars]).otherwise(F.length("whole")) if n_chars in names else None
+    fixed = {text: F.col("whole"), n_chars: count}
     return out.select(*[(fixed[c] if c in fixed else F.col("row")[c]).alias(c) for c in names])

@@ -138,5 +138,6 @@ def mask(docs: DataFrame, owner: Column, repository: Column, text: str = "text",
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_key(F.col(text)).alias("key"))
     new = F.when(F.col("live").isNull(), F.col("row")[text]).otherwise(masked_text(F.col("row")[text], F.col("live")))
     out = keyed.join(texts, "key", "left").withColumn("new", new)
-    fixed = {text: F.col("new"), n_chars: F.length("new").cast("long")}
+    count = F.when(F.col("live").isNull(), F.col("row")[n_chars]).otherwise(F.length("new")) if n_chars in names else None
+    fixed = {text: F.col("new"), n_chars: count}
     return out.select(*[(fixed[c] if c in fixed else F.col("row")[c]).alias(c) for c in names])
