@@ -210,3 +210,35 @@ def test_negation_stemmed_literal(spark):
     pairs = spark.createDataFrame([(1, "No, nunca ni hablo", "nunca")], "k long, s1 string, s2 string")
     r = negation_stemmed(pairs, ["k"]).first()
     assert r.not_cnt1 == 2 and r.not_cnt2 == 0  # 'nunca' stems to 'nunc' (SURVEY Q2)
+
+
+def test_matrix_pool_equals_the_cell_form(spark):
+    m = [[float(10 * i + j) for j in range(3)] for i in range(2)]
+    rows = spark.createDataFrame([(0, m, [[1.0]] * 2, [[1.0]] * 3), (1, [], [], [[1.0]])], "pair_id long, m array<array<double>>, v1 array<array<double>>, v2 array<array<double>>")
+    got = {(r.pair_id, r.bi, r.bj): r.pooled for r in I.matrix_pool(rows, ["pair_id"], 3, 3, maxlen=6).collect()}
+    for bi in range(3):
+        for bj in range(3):
+            assert got[0, bi, bj] == max(10 * int(g / 3.0) + int(h / 2.0) for g in (2 * bi, 2 * bi + 1) for h in (2 * bj, 2 * bj + 1))
+            assert got[1, bi, bj] == 0.0
+    # shrunk twice: a grid of 3 x 3 over 2 // 2 and 3 // 2 places reads the first cell alone
+    half = I.matrix_pool(rows.where("pair_id = 0"), ["pair_id"], 3, 3, maxlen=6, compress_ratio=2).collect()
+    assert [r.pooled for r in half] == [0.0] * 9
+
+
+def test_document_vocabulary_equals_the_pair_form(spark):
+    docs = spark.createDataFrame([(1, "casa roja casa"), (2, "perro casa azul"), (3, "gato perro perro")], "doc_id long, text string")
+    links = spark.createDataFrame([(2, 1), (3, 2)], "pair_id long, prev_id long")
+    texts = docs.select(F.col("doc_id").alias("d"), "text")
+    pairs = links.join(texts.select(F.col("d").alias("prev_id"), F.col("text").alias("s1")), "prev_id").join(
+        texts.select(F.col("d").alias("pair_id"), F.col("text").alias("s2")), "pair_id")
+    vectors = spark.createDataFrame([("casa",), ("perro",), ("azul",)], "word string")
+    sides = C.prepare_tokens(pairs, ["pair_id"], vectors)
+    want = C.fit_vocabulary(sides)
+    tokens = C.document_tokens(docs, "doc_id", "text")
+    ends = links.select(F.explode(F.array("prev_id", "pair_id")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("w"))
+    got = C.document_vocabulary(tokens, "doc_id", ends, vectors)
+    key = lambda df: {(r.word, r.n, r.idx) for r in df.collect()}
+    assert key(got) == key(want)
+    ids = C.pair_sides(links, ["pair_id"], C.document_sequences(tokens, "doc_id", got), "doc_id")
+    seq = lambda df: {(r.pair_id, r.side, tuple(r.ids)) for r in df.collect()}
+    assert seq(ids) == seq(C.to_sequences(sides, ["pair_id"], want))

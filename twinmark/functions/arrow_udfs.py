@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +40,14 @@ def stem_udf(words: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.partial_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def dot_matrix_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """All dot products of two lists of vectors, in double precision."""
+    def dots(x, y):
+        if len(x) == 0 or len(y) == 0:
+            return [[] for _ in x]
+        return list(np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T)
+
+    return pd.Series([dots(x, y) for x, y in zip(a, b)])

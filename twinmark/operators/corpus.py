@@ -25,7 +25,11 @@ def rank_words(words: DataFrame, word: str = "word") -> DataFrame:
     checkpointed (fixing partition order) and numbered by per-partition offsets, so no single
     task holds the vocabulary.
     """
-    counts = words.groupBy(word).agg(F.count(F.lit(1)).alias("n"))
+    return rank_counts(words.groupBy(word).agg(F.count(F.lit(1)).alias("n")), word)
+
+
+def rank_counts(counts: DataFrame, word: str = "word") -> DataFrame:
+    """(word, n, idx) from (word, n), see ``rank_words``."""
     ordered = cut_lineage(counts.orderBy(F.col("n").desc(), F.col(word).asc()))
     return dense_ids(ordered, "idx").withColumn("idx", F.col("idx") + 1)
 
@@ -62,6 +66,43 @@ def fit_vocabulary(sides: DataFrame) -> DataFrame:
     return rank_words(sides.select(F.explode_outer("toks").alias("word")).where(F.col("word").isNotNull()))
 
 
+def document_tokens(docs: DataFrame, key: str, text: str, lang: str = "spanish") -> DataFrame:
+    """(key, toks): the content words (F2) of each document, once however many pairs it is in."""
+    d = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_s"))
+    return T.with_content_words(d, "_s", "toks", lang).select(key, "toks")
+
+
+def document_vocabulary(tokens: DataFrame, key: str, weights: DataFrame, vectors: DataFrame, word: str = "word") -> DataFrame:
+    """K1 over pairs of documents: (word, n, idx) for the words with a vector.
+
+    A document counts as often as it is a side of a pair (``weights``: key, w).  Words are counted
+    first, combined map-side, and only the counts meet the vector table.
+    """
+    words = tokens.join(weights, key).select("w", F.explode_outer("toks").alias(word)).where(F.col(word).isNotNull())
+    counts = words.groupBy(word).agg(F.sum("w").cast("long").alias("n"))
+    known = counts.join(vectors.select(word), word)
+    return rank_counts(known, word)
+
+
+def document_sequences(tokens: DataFrame, key: str, vocab: DataFrame, num_words: int = MAX_NB_WORDS) -> DataFrame:
+    """F3, K2 and T1 in one pass: (key, ids), order kept, unknown words and ids >= num_words dropped.
+
+    The vocabulary holds only words with a vector, so one lookup of at most ``num_words`` rows does.
+    """
+    lookup = F.broadcast(vocab.where(F.col("idx") < num_words).select("word", F.col("idx").cast("int").alias("idx")))
+    ex = tokens.select(key, F.posexplode_outer("toks").alias("pos", "word")).join(lookup, "word", "left")
+    keep = F.when(F.col("idx").isNotNull(), F.struct("pos", "idx"))
+    ids = ex.groupBy(key).agg(F.sort_array(F.collect_list(keep)).alias("_s"))
+    return ids.select(key, F.transform("_s", lambda s: s["idx"]).alias("ids"))
+
+
+def pair_sides(links: DataFrame, keys: list[str], values: DataFrame, key: str) -> DataFrame:
+    """(keys, side, ...): both documents of every link (prev_id, pair_id) with their row of ``values``."""
+    sides = links.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("prev_id").alias(key)),
+                                                  F.struct(F.lit(2).alias("side"), F.col("pair_id").alias(key)))).alias("_d"))
+    return sides.select(*keys, "_d.side", f"_d.{key}").join(values, key).drop(key)
+
+
 def to_sequences(sides: DataFrame, keys: list[str], vocab: DataFrame, num_words: int = MAX_NB_WORDS) -> DataFrame:
     """K2 + T1: tokens -> ids, ids >= num_words and unknown tokens dropped, order kept.
 

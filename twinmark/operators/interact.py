@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..functions.arrow_udfs import dot_matrix_udf
 from .corpus import MAX_SEQUENCE_LENGTH, pad
 
 MATCH_TYPES = ("dot", "mul", "plus", "minus", "concat")
@@ -135,6 +136,81 @@ def soft_align(c: DataFrame, keys: list[str], emb: DataFrame) -> DataFrame:
     return outs[0].unionByName(outs[1])
 
 
+def side_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
+    """One row per pair: (keys, v1, v2, k1, k2), each side's vectors in order and their norms.
+
+    At most ``maxlen`` vectors a side, so a row is bounded; all interactions of a pair are then array
+    expressions on its row, without a shuffle of cells.
+    """
+    ids = F.slice("ids", F.greatest(F.size("ids") - maxlen + 1, F.lit(1)), maxlen)
+    e = F.broadcast(emb.select("idx", "vec", D.norm("vec").alias("_n")))
+    tok = seqs.select(*keys, "side", F.posexplode_outer(ids).alias("pos", "idx")).join(e, "idx", "left")
+
+    def of(side):
+        entry = F.when((F.col("side") == side) & F.col("idx").isNotNull(), F.struct("pos", "vec", "_n"))
+        return F.sort_array(F.collect_list(entry)).alias(f"_{side}")
+
+    rows = tok.groupBy(*keys).agg(of(1), of(2))
+    return rows.select(*keys, *[F.transform(f"_{i}", lambda t: t[f]).alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("_n", "k"))])
+
+
+def score_matrix(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """M1 on ``side_vectors``: adds ``m``, the dot products [i][j] of the pair's tokens.
+
+    One small matrix product per pair, in an Arrow batch.  (As nested lambdas it would be put into
+    the lambdas that read it, and computed anew for each cell.)
+    """
+    return rows.withColumn("m", dot_matrix_udf("v1", "v2"))
+
+
+def matrix_topk(rows: DataFrame, keys: list[str], k: int = 100, maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
+    """M4 / W3 on ``score_matrix``: the k largest cells of the padded matrix, descending."""
+    padded = F.concat(F.flatten("m"), F.array_repeat(F.lit(0.0), F.lit(maxlen * maxlen) - F.size("v1") * F.size("v2")))
+    return rows.select(*keys, F.slice(F.sort_array(padded, asc=False), 1, k).alias("topk"))
+
+
+def matrix_pool(rows: DataFrame, keys: list[str], p1: int = 5, p2: int = 5, maxlen: int = MAX_SEQUENCE_LENGTH,
+                compress_ratio: int = 1) -> DataFrame:
+    """M5 on ``score_matrix``: (keys, bi, bj, pooled), see ``grid_max_pool``.
+
+    With a ``compress_ratio`` r, ``m`` is a matrix that a layer before has shrunk r times: a side of n
+    tokens has n // r places in it, and the grid has maxlen / r (rounded up) rows and columns.
+    """
+    side = -(-maxlen // compress_ratio)
+    if side % p1 or side % p2:
+        raise ValueError(f"a grid of {p1} x {p2} does not fit sequences of {side}")
+    s1, s2 = side // p1, side // p2
+
+    def place(g, v):
+        places = F.nullif(F.floor(F.size(v) / compress_ratio), F.lit(0))  # an empty side reads nothing
+        return F.floor(g / (F.lit(float(side)) / places)).cast("int")
+
+    def block(bi, bj):
+        inside = lambda b, s: F.sequence(b * s, b * s + (s - 1))
+        cell = lambda g: F.transform(inside(bj, s2), lambda h: F.get(F.get(F.col("m"), place(g, "v1")), place(h, "v2")))
+        return F.array_max(F.flatten(F.transform(inside(bi, s1), cell)))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(p1 - 1)), lambda bi: F.transform(F.sequence(F.lit(0), F.lit(p2 - 1)), lambda bj: block(bi, bj)))
+    pooled = rows.select(*keys, F.posexplode(grid).alias("bi", "_r")).select(*keys, "bi", F.posexplode("_r").alias("bj", "pooled"))
+    return pooled.withColumn("pooled", F.coalesce("pooled", F.lit(0.0)))
+
+
+def matrix_align(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """M6 on ``score_matrix``: (keys, side, pos, aligned), see ``soft_align``."""
+    outs = []
+    turned = F.transform(F.sequence(F.lit(0), F.size("v2") - 1), lambda j: F.transform("m", lambda r: F.get(r, j)))
+    for side, scores, other in ((1, F.col("m"), "v2"), (2, F.when(F.size("v2") > 0, turned), "v1")):
+        e = F.transform("_s", lambda r: F.transform(r, lambda x: F.exp(x - F.array_max(r))))
+        r = rows.where((F.size("v1") > 0) & (F.size("v2") > 0)).select(*keys, F.col(other).alias("_v"), scores.alias("_s"))
+        r = r.select(*keys, "_v", F.posexplode(e).alias("pos", "_e"))
+        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
+        zero = F.array_repeat(F.lit(0.0), F.size(F.get("_v", F.lit(0))))
+        summed = F.aggregate(F.arrays_zip("_e", "_v"), zero, lambda acc, t: F.zip_with(acc, t["_v"], lambda a, x: a + t["_e"] * x))
+        r = r.select(*keys, "pos", total.alias("_z"), summed.alias("_w"))
+        outs.append(r.select(*keys, F.lit(side).alias("side"), "pos", F.transform("_w", lambda x: x / F.col("_z")).alias("aligned")))
+    return outs[0].unionByName(outs[1])
+
+
 def sentence_vectors(tv: DataFrame, keys: list[str]) -> DataFrame:
     """M7: element-wise mean, max and sum of each sentence's token vectors (exploded by dimension,
     so a sentence is never one task's whole matrix)."""

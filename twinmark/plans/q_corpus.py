@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..sources import pairs as P
+from ..sources.tables import table
 from . import sqlbits as S
 from .catalog import query
 from .views import DOC_PAIRS
@@ -32,11 +33,19 @@ vocab AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC,
           FROM (SELECT unnest(toks) AS word FROM f3) GROUP BY word)"""
 
 
-def _prepared(spark, sf):
-    pairs = P.split_doc_pairs(spark, sf)
+def prepared(spark, sf):
+    """Links with labels, word vectors, the documents' tokens, and the vocabulary over the links' sides."""
+    links = P.with_labels(P.doc_links(spark, sf), spark, sf)
     vectors = P.word_vectors(spark, sf)
-    sides = C.prepare_tokens(pairs, KEYS, vectors).persist()  # read by the vocabulary and the sequences
-    return pairs, vectors, sides
+    tokens = C.document_tokens(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    ends = links.select(F.explode(F.array("prev_id", "pair_id")).alias("doc_id"))
+    vocab = C.document_vocabulary(tokens, "doc_id", ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("w")), vectors)
+    return links, vectors, tokens, vocab
+
+
+def sequences_of(links, tokens, vocab):
+    """(pair_id, side, ids): sequences are made once for each document and then paired."""
+    return C.pair_sides(links, KEYS, C.document_sequences(tokens, "doc_id", vocab), "doc_id")
 
 
 @query("word_vectors", f"""WITH {BASE}
@@ -50,8 +59,7 @@ def word_vectors(spark, sf):
 @query("vocabulary", f"WITH {BASE}\nSELECT word, CAST(n AS BIGINT) AS n, CAST(idx AS BIGINT) AS idx FROM vocab",
        ("K1", "G7", "W1", "F2", "F3"))
 def vocabulary(spark, sf):
-    _, _, sides = _prepared(spark, sf)
-    return C.fit_vocabulary(sides).select("word", F.col("n").cast("long"), F.col("idx").cast("long"))
+    return prepared(spark, sf)[-1].select("word", F.col("n").cast("long"), F.col("idx").cast("long"))
 
 
 SEQ_SQL = f"""WITH {BASE},
@@ -71,10 +79,8 @@ FROM padded p JOIN dp ON dp.pair_id = p.pair_id"""
 
 @query("sequences", SEQ_SQL, ("K2", "K3", "K5", "T1", "F2", "F3", "D3", "S4 (test rows)"))
 def sequences(spark, sf):
-    pairs, _, sides = _prepared(spark, sf)
-    vocab = C.fit_vocabulary(sides)
-    seq = C.to_sequences(sides, KEYS, vocab)
-    out = seq.join(pairs.select("pair_id", "split", "label"), "pair_id")
+    links, _, tokens, vocab = prepared(spark, sf)
+    out = sequences_of(links, tokens, vocab).join(links.select("pair_id", "split", "label"), "pair_id")
     return out.select("pair_id", "side", "split", F.col("label").cast("int"),
                       F.array_join("ids", " ").alias("ids_text"),
                       F.array_join(C.pad("ids"), " ").alias("padded_text"),
@@ -89,8 +95,7 @@ SELECT CAST(0 AS BIGINT) AS idx, false AS has_vec, 0.0 AS vec_sum UNION ALL SELE
 
 
 def _emb(spark, sf):
-    _, vectors, sides = _prepared(spark, sf)
-    vocab = C.fit_vocabulary(sides)
+    _, vectors, _, vocab = prepared(spark, sf)
     dim = 64
     return vocab, vectors, C.embedding_table(vocab, vectors, dim)
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import distance as D
 from ..operators import corpus as C
 from ..operators import features as X
 from ..operators import interact as I
 from ..operators import stacking as SK
 from ..sources import pairs as P
 from .catalog import query
-from .q_corpus import BASE, KEYS
+from .q_corpus import BASE, KEYS, prepared, sequences_of
 
 DIM = 64
 R = 6
@@ -53,37 +54,24 @@ def _sum(a):
 
 
 def _prep(spark, sf):
-    pairs = P.split_doc_pairs(spark, sf)
-    vectors = P.word_vectors(spark, sf)
-    sides = C.prepare_tokens(pairs, KEYS, vectors).persist()  # read by the vocabulary and the sequences
-    vocab = C.fit_vocabulary(sides)
-    # sequences and the embedding table feed several branches (lengths, cells, vectors): persist
-    seqs = C.to_sequences(sides, KEYS, vocab).persist()
-    emb = C.embedding_table(vocab, vectors, DIM).persist()
-    return pairs, seqs, emb
-
-
-def _lens(seqs):
-    n = F.least(F.size("ids"), F.lit(C.MAX_SEQUENCE_LENGTH))
-    return seqs.groupBy(*KEYS).agg(F.max(F.when(F.col("side") == 1, n)).alias("n1"),
-                                   F.max(F.when(F.col("side") == 2, n)).alias("n2"))
+    links, vectors, tokens, vocab = prepared(spark, sf)
+    return sequences_of(links, tokens, vocab), C.embedding_table(vocab, vectors, DIM)
 
 
-def _cells(spark, sf):
-    _, seqs, emb = _prep(spark, sf)
-    tid = I.token_ids(seqs, KEYS)
-    return seqs, emb, tid, I.cells(tid, KEYS).persist()  # ids only; vectors attached per use
+def _matrix(spark, sf):
+    """One row per pair with its score matrix."""
+    seqs, emb = _prep(spark, sf)
+    return I.score_matrix(I.side_vectors(seqs, KEYS, emb), KEYS)
 
 
 @query("match_matrix", f"""WITH {IBASE}
 SELECT pair_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round({_dot('v1', 'v2')}, {R}) AS dot,
        round(coalesce({_dot('v1', 'v2')} / nullif(n1 * n2, 0.0), 0.0), {R}) AS cosine FROM cells""", ("M1", "D6", "D3", "I9"))
 def match_matrix(spark, sf):
-    _, emb, _, c = _cells(spark, sf)
-    d = I.match(c, KEYS, emb, "dot").withColumnRenamed("score", "dot")
-    n = I.match(c, KEYS, emb, "dot", normalize=True).withColumnRenamed("score", "cosine")
-    return d.join(n, [*KEYS, "i", "j"]).select(*KEYS, F.col("i").cast("int"), F.col("j").cast("int"),
-                                               F.round("dot", R).alias("dot"), F.round("cosine", R).alias("cosine"))
+    rows = _matrix(spark, sf).select(*KEYS, "k1", "k2", F.posexplode("m").alias("i", "_r")).select(
+        *KEYS, "i", "k1", "k2", F.posexplode("_r").alias("j", "dot"))
+    cosine = D.try_divide("dot", F.get("k1", F.col("i")) * F.get("k2", F.col("j")))
+    return rows.select(*KEYS, "i", "j", F.round("dot", R).alias("dot"), F.round(cosine, R).alias("cosine"))
 
 
 @query("match_elementwise", f"""WITH {IBASE}
@@ -93,13 +81,17 @@ SELECT pair_id, round(sum({_sum('list_transform(list_zip(v1, v2), lambda t: t[1]
        CAST(sum(len(list_concat(v1, v2))) AS BIGINT) AS concat_len
 FROM cells GROUP BY pair_id""", ("M2", "M3"))
 def match_elementwise(spark, sf):
-    _, emb, _, c = _cells(spark, sf)
-    out = None
-    for t in ("mul", "plus", "minus"):
-        m = I.match(c, KEYS, emb, t).groupBy(*KEYS).agg(F.round(F.sum(I.vec_sum("vec")), 4).alias(f"{t}_sum"))
-        out = m if out is None else out.join(m, KEYS)
-    cc = I.match(c, KEYS, emb, "concat").groupBy(*KEYS).agg(F.sum(F.size("vec")).cast("long").alias("concat_len"))
-    return out.join(cc, KEYS)
+    """All kinds of a cell in one pass; the sums are taken in the pair's row."""
+    seqs, emb = _prep(spark, sf)
+    rows = I.side_vectors(seqs, KEYS, emb).where((F.size("v1") > 0) & (F.size("v2") > 0))
+
+    def total(op):
+        of = lambda a, b: I.vec_sum(F.zip_with(a, b, lambda x, y: op(x.cast("double"), y.cast("double"))))
+        return F.round(I.vec_sum(F.flatten(F.transform("v1", lambda a: F.transform("v2", lambda b: of(a, b))))), 4)
+
+    kinds = {"mul": lambda x, y: x * y, "plus": lambda x, y: x + y, "minus": lambda x, y: x - y}
+    length = I.vec_sum(F.flatten(F.transform("v1", lambda a: F.transform("v2", lambda b: F.size(F.concat(a, b))))))
+    return rows.select(*KEYS, *[total(op).alias(f"{k}_sum") for k, op in kinds.items()], length.cast("long").alias("concat_len"))
 
 
 TOPK_SQL = f"""WITH {IBASE},
@@ -114,8 +106,7 @@ SELECT pair_id, round({_sum('t')}, 5) AS topk_sum, round(list_min(t), {R}) AS to
 
 @query("topk_cells", TOPK_SQL, ("M4", "W3"))
 def topk_cells(spark, sf):
-    seqs, emb, _, c = _cells(spark, sf)
-    t = I.topk(I.match(c, KEYS, emb, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 100)
+    t = I.matrix_topk(_matrix(spark, sf), KEYS, 100)
     return t.select(*KEYS, F.round(I.vec_sum("topk"), 5).alias("topk_sum"),
                     F.round(F.array_min("topk"), R).alias("topk_min"), F.round(F.array_max("topk"), R).alias("topk_max"),
                     F.size("topk").cast("long").alias("topk_n"))
@@ -136,8 +127,7 @@ GROUP BY r.pair_id, r.bi, c.bj"""
 
 @query("dynamic_pooling", POOL_SQL, ("M5",))
 def dynamic_pooling(spark, sf):
-    seqs, emb, _, c = _cells(spark, sf)
-    p = I.grid_max_pool(I.match(c, KEYS, emb, "dot"), KEYS, _lens(seqs).na.fill(0, ["n1", "n2"]), 5, 5)
+    p = I.matrix_pool(_matrix(spark, sf), KEYS, 5, 5)
     return p.select(*KEYS, F.col("bi").cast("int"), F.col("bj").cast("int"), F.round("pooled", R).alias("pooled"))
 
 
@@ -157,8 +147,7 @@ GROUP BY num.pair_id, num.side, num.pos"""
 
 @query("soft_align", ALIGN_SQL, ("M6",))
 def soft_align(spark, sf):
-    _, emb, _, c = _cells(spark, sf)
-    a = I.soft_align(c, KEYS, emb)
+    a = I.matrix_align(_matrix(spark, sf), KEYS)
     return a.select(*KEYS, F.col("side").cast("int"), F.col("pos").cast("int"),
                     F.round(I.vec_sum("aligned"), 4).alias("aligned_sum"), F.size("aligned").cast("long").alias("dims"))
 
@@ -182,7 +171,7 @@ FROM sv JOIN pv ON pv.pair_id = sv.pair_id"""
 
 @query("sentence_vectors", SENT_SQL, ("M7", "M8"))
 def sentence_vectors(spark, sf):
-    _, seqs, emb = _prep(spark, sf)
+    seqs, emb = _prep(spark, sf)
     tv = I.token_vectors(seqs, KEYS, emb, padded=True)
     sv = I.sentence_vectors(tv, KEYS)
     pv = I.pair_vectors(sv, KEYS, "mean")

@@ -27,39 +27,51 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"], "inner").select("conv_id", "turn", "s1", "s2")
 
 
-def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the previous doc_id of its language; ``pair_id`` is the later doc_id."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, prev_id, lang): each document with the previous doc_id of its language; no text is read."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang")
     prev = previous_in_group(docs, "lang", "doc_id", out="prev_id").where(F.col("prev_id").isNotNull())
-    d1 = docs.select(F.col("doc_id").alias("prev_id"), F.col("text").alias("s1"))
-    d2 = docs.select("doc_id", F.col("text").alias("s2"))
-    return (prev.join(d1, "prev_id").join(d2, "doc_id")
-            .select(F.col("doc_id").alias("pair_id"), "prev_id", "lang", "s1", "s2"))
+    return prev.select(F.col("doc_id").alias("pair_id"), "prev_id", "lang")
 
 
-def labelled_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_pairs`` where both documents are labelled; label = same quality (synthetic is_duplicate)."""
-    lab = table(spark, sf_dir, "labels", "doc_id", "quality")
-    l1 = lab.select(F.col("doc_id").alias("prev_id"), F.col("quality").alias("q1"))
-    l2 = lab.select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("q2"))
-    return (doc_pairs(spark, sf_dir).join(l1, "prev_id").join(l2, "pair_id")
-            .withColumn("label", (F.col("q1") == F.col("q2")).cast("int"))
-            .drop("q1", "q2"))
-
-
-def split_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_pairs`` with ``split``: 'train' when both documents are labelled (label = same
+def with_labels(links: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``links`` with ``label`` and ``split``: 'train' when both documents are labelled (label = same
     quality), else 'test' with label -1 (the reference's test rows)."""
     lab = table(spark, sf_dir, "labels", "doc_id", "quality")
     l1 = lab.select(F.col("doc_id").alias("prev_id"), F.col("quality").alias("q1"))
     l2 = lab.select(F.col("doc_id").alias("pair_id"), F.col("quality").alias("q2"))
     both = F.col("q1").isNotNull() & F.col("q2").isNotNull()
-    return (doc_pairs(spark, sf_dir).join(l1, "prev_id", "left").join(l2, "pair_id", "left")
+    return (links.join(l1, "prev_id", "left").join(l2, "pair_id", "left")
             .withColumn("label", F.when(both, (F.col("q1") == F.col("q2")).cast("int")).otherwise(F.lit(-1)))
             .withColumn("split", F.when(both, F.lit("train")).otherwise(F.lit("test")))
             .drop("q1", "q2"))
 
 
+def with_texts(links: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``links`` with s1 (of ``prev_id``) and s2 (of ``pair_id``)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    d1 = docs.select(F.col("doc_id").alias("prev_id"), F.col("text").alias("s1"))
+    d2 = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("s2"))
+    return links.join(d1, "prev_id").join(d2, "pair_id")
+
+
+def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the previous doc_id of its language; ``pair_id`` is the later doc_id."""
+    return with_texts(doc_links(spark, sf_dir), spark, sf_dir).select("pair_id", "prev_id", "lang", "s1", "s2")
+
+
+def split_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_pairs`` with ``label`` and ``split``; labels are joined before the texts."""
+    out = with_texts(with_labels(doc_links(spark, sf_dir), spark, sf_dir), spark, sf_dir)
+    return out.select("pair_id", "prev_id", "lang", "s1", "s2", "label", "split")
+
+
+def labelled_doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_pairs`` where both documents are labelled; label = same quality (synthetic is_duplicate)."""
+    links = with_labels(doc_links(spark, sf_dir), spark, sf_dir).where("split = 'train'").drop("split")
+    return with_texts(links, spark, sf_dir).select("pair_id", "prev_id", "lang", "s1", "s2", "label")
+
+
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vector table (word, vec): the word ranked i-th by frequency over all document tokens
     (count desc, word asc; i from 1) owns ``embeddings.vec_id = i - 1``.  Words ranked past the
