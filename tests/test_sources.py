@@ -82,3 +82,27 @@ def test_merge_parts_and_oof_writer(spark, tmp_path):
     SMT.write_oof_feature(scores, str(tmp_path / "oof.smat"), "pair_id")
     lines = [r.value for r in read_lines(spark, str(tmp_path / "oof.smat")).orderBy("pos").collect()]
     assert lines == ["2 1", "0:0.5", "0:0.25"]
+
+
+def test_finite_cache_and_metadata(spark, tmp_path):
+    import pytest
+    df = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, float("-inf"))], "row_id long, a double")
+    assert [r.row_id for r in SMT.finite(df, ["a"], reject=True).collect()] == [0, 2]
+    with pytest.raises(Exception, match="not finite"):
+        SMT.finite(df, ["a"]).count()
+    built = []
+
+    def build():
+        built.append(1)
+        return df
+
+    for names in (["A", "B"], ["A", "B"], ["A"]):
+        assert SMT.cached_features(spark, str(tmp_path), names, build).count() == 4
+    assert len(built) == 2
+    for name, n in (("X", 2), ("Label_0", 1)):
+        SMT.write_smat(SMT.dense_lines(spark.createDataFrame([(i, 1.0 * i, 2.0) for i in range(3)], "row_id long, a double, b double"), "row_id", ["a", "b"][:n]),
+                       str(tmp_path / f"{name}.smat"), n)
+    got = SMT.load_matrices(spark, str(tmp_path), ["X"])
+    assert (got.names, got.n_features, got.label_name) == (["X"], {"X": 2}, "Label_0") and got.features.count() == 3
+    with pytest.raises(FileNotFoundError):
+        SMT.load_features(spark, str(tmp_path), ["Absent"])

@@ -13,6 +13,8 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import pairs as P
 from ..sources import smat as SMT
 from ..sources import textfiles as TF
+from ..sources.lines import write_lines
+from ..sources.tables import table
 from .catalog import query
 from .q_corpus import BASE
 from .q_features import CONV_PAIRS, LEN_SQL, TOK, TOK_SW, WMS_SQL
@@ -97,3 +99,54 @@ def stream_features(spark, sf):
     feats = feats.select(*CK, "word_match_share", *LEN_COLS)
     PS.run_to_table(feats, sink, ck)
     return spark.read.parquet(sink)
+
+
+CLEAN = "translate(p_name, ',' || chr(9), '  ')"
+FILES_SQL = f"""WITH p AS (SELECT {CLEAN} AS a, p_brand || ' ' || p_type AS b, CAST(p_partkey % 2 AS VARCHAR) AS l FROM part)
+SELECT 'S1' AS layout, a AS s1, b AS s2, l AS label FROM p
+UNION ALL SELECT 'S2', a, b, l FROM p
+UNION ALL SELECT 'S3', a, b, l FROM p UNION ALL SELECT 'S3', a, b, l FROM p
+UNION ALL SELECT 'S4', a, b, '-1' FROM p"""
+
+
+@query("pair_files_roundtrip", FILES_SQL, ("S1", "S2", "S3", "S4"))
+def pair_files_roundtrip(spark, sf):
+    """Part names and labels written in each pair layout and read back with its reader."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type").select(
+        F.translate("p_name", ",\t", "  ").alias("a"), F.concat_ws(" ", "p_brand", "p_type").alias("b"),
+        (F.col("p_partkey") % 2).cast("string").alias("l"))
+    other = F.lit("otro")  # stands for the translations, which the readers drop
+    layouts = {"csv": (",", "l", "a", "b"), "tsv": ("\t", "a", other, "b", other, "l"), "swapped": ("\t", other, "a", other, "b", "l"),
+               "test": ("\t", "a", "b")}
+    paths = {}
+    for name, (sep, *cols) in layouts.items():
+        paths[name] = scratch(spark, f"pairs-{name}")
+        write_lines(p.select(F.concat_ws(sep, *cols).alias("value")), paths[name])
+    read = [("S1", TF.read_pairs_csv(spark, paths["csv"])[0]), ("S2", TF.read_pairs_tsv5(spark, paths["tsv"])[0]),
+            ("S3", TF.read_bilingual_pairs(spark, paths["swapped"], paths["tsv"])), ("S4", TF.read_test_pairs(spark, paths["test"]))]
+    out = None
+    for layout, rows in read:
+        rows = rows.select(F.lit(layout).alias("layout"), "s1", "s2", F.col("label").cast("string").alias("label"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+LABELS_SQL = """SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id, CAST(toxic AS DOUBLE) AS Toxic_0,
+  (doc_id % 97 + 1) / 98.0 AS Oof_0, CAST(quality AS DOUBLE) AS Label_0_0 FROM labels"""
+
+
+@query("label_matrix_roundtrip", LABELS_SQL, ("S9", "S10", "S13", "S16"))
+def label_matrix_roundtrip(spark, sf):
+    """A label matrix merged from two row parts (S16), a feature and an out-of-fold matrix (S13), loaded
+    by name and stacked with the label (S9, S10)."""
+    rows = SM.dense_ids(cut_lineage(table(spark, sf, "labels", "doc_id", "quality", "toxic").orderBy("doc_id")), "row_id")
+    rows = cut_lineage(rows)
+    folder, half = scratch(spark, "labels"), rows.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
+    first = rows.where(F.col("row_id") < half).select("row_id", "quality")
+    second = rows.where(F.col("row_id") >= half).select((F.col("row_id") - half).alias("row_id"), "quality")
+    for i, part in enumerate((first, second)):
+        SMT.write_smat(SMT.dense_lines(part, "row_id", ["quality"]), f"{folder}/parts/{i}", 1)
+    SMT.merge_parts(spark, [f"{folder}/parts/0", f"{folder}/parts/1"], f"{folder}/Label_0.smat", 1)
+    SMT.write_smat(SMT.dense_lines(rows, "row_id", ["toxic"]), f"{folder}/Toxic.smat", 1)
+    SMT.write_oof_feature(rows.select("doc_id", ((F.col("doc_id") % 97 + 1) / 98.0).alias("score")), f"{folder}/Oof.smat", "doc_id")
+    return SMT.load_matrices(spark, folder, ["Toxic", "Oof"], "Label_0").features

@@ -8,11 +8,14 @@ first line of the first part.
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_ws
+from ..functions.text import is_finite, tokens_ws
 from .lines import read_lines, write_lines
 
 
@@ -75,6 +78,45 @@ def load_features(spark: SparkSession, folder: str, names: list[str], label_name
     return out
 
 
+class Matrices(NamedTuple):
+    """What a load returns besides the rows: the matrices' names and widths, and the label's name."""
+
+    features: DataFrame
+    names: list[str]
+    n_features: dict[str, int]
+    label_name: str | None
+
+
+def load_matrices(spark: SparkSession, folder: str, names: list[str], label_name: str | None = "Label_0") -> Matrices:
+    """S8 + S9 + S10: ``load_features`` with the names and widths of what was loaded."""
+    out = load_features(spark, folder, names, label_name)
+    widths = {n: sum(c.rpartition("_")[0] == n for c in out.columns) for n in names}
+    return Matrices(out, list(names), widths, label_name)
+
+
+def finite(df: DataFrame, cols: list[str], reject: bool = False) -> DataFrame:
+    """F4 as a step before writing: rows with a NaN or infinite value stop the job, or go if ``reject``."""
+    good = F.lit(True)
+    for c in cols:
+        good = good & F.coalesce(is_finite(c), F.lit(True))
+    if reject:
+        return df.where(good)
+    return df.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("a feature value is not finite")).cast("boolean")))
+
+
+def cached_features(spark: SparkSession, folder: str, names: list[str], build) -> DataFrame:
+    """The merged feature set of ``names``, kept under a key of that list; ``build()`` makes it once."""
+    key = hashlib.sha256("\n".join(names).encode()).hexdigest()[:32]
+    path = f"{folder.rstrip('/')}/features-{key}"
+    try:
+        return load_cache(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.parquet(path)
+    return load_cache(spark, path)
+
+
 def dense_lines(df: DataFrame, row_id: str, cols: list[str]) -> DataFrame:
     """S12 rows: ``0:v0 1:v1 ..`` for every feature column (dense)."""
     arr = F.array(*[F.col(c).cast("double") for c in cols])
