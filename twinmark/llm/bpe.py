@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import BLANK, CACHE, PLAIN, byte_letters
 
 #: Stands for the word-end suffix inside pieces; no byte-level letter is a line feed.
@@ -25,7 +26,7 @@ END = "\n"
 
 
 class Vocabulary:
-    """Tokens of a byte-level BPE file with a word-end suffix: automaton, merge pairs, splits and offsets."""
+    """Tokens of a byte-level BPE file with a word-end suffix: automaton, merge pairs and splits."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -53,10 +54,6 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.letters = {b: c for c, b in byte_letters().items()}
-        names = {i: t.encode() for t, i in ids.items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        shown = [names.get(i, b"") + b" " for i in range(size)]
-        self.bytes = np.frombuffer(b"".join(shown), np.uint8)
-        self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in shown])))
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` can stand side by side; found once for each pair.
@@ -117,6 +114,28 @@ class Vocabulary:
         return out
 
 
+class Offsets:
+    """The texts of all tokens in one run of bytes, a blank behind each, and where each begins."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: t.encode() for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        shown = [names.get(i, b"") + b" " for i in range(max(names) + 1)]
+        self.bytes = np.frombuffer(b"".join(shown), np.uint8)
+        self.starts = np.concatenate(([0], np.cumsum([len(t) for t in shown])))
+
+    def decode(self, ids: bytes) -> bytes:
+        """The tokens' texts, joined by blanks: one gather over the bytes."""
+        which = np.frombuffer(ids, "<u4").astype(np.int64)
+        if not len(which):
+            return b""
+        start = self.starts[which]
+        size = self.starts[which + 1] - start
+        ends = np.cumsum(size)
+        return self.bytes[np.arange(ends[-1]) + np.repeat(start - ends + size, size)][:-1].tobytes()
+
+
 class Encoder(dict):
     """ids by lower-case piece, as little-endian unsigned 32-bit integers; pieces are encoded once per worker."""
 
@@ -159,17 +178,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def decode_ids(ids: bytes, table: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The tokens' texts, joined by blanks: one gather over the byte table."""
-    which = np.frombuffer(ids, "<u4").astype(np.int64)
-    if not len(which):
-        return b""
-    start = offsets[which]
-    size = offsets[which + 1] - start
-    ends = np.cumsum(size)
-    return table[np.arange(ends[-1]) + np.repeat(start - ends + size, size)][:-1].tobytes()
-
-
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (binary: little-endian unsigned 32-bit integers).
 
@@ -178,7 +186,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """
     def run(batches):
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in slices(batches):
             ids = [encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -189,9 +197,9 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``decoded``: the text of the ids, as UTF-8 bytes."""
     def run(batches):
-        vocabulary = Vocabulary(path)
-        for batch in batches:
-            texts = [decode_ids(i, vocabulary.bytes, vocabulary.offsets) for i in batch.column(1).to_pylist()]
+        decode = Offsets(path).decode
+        for batch in slices(batches):
+            texts = [decode(i) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """The same rows in smaller record batches, so that a task holds few whole texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the scan's columns are pruned by what the caller selects."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 #: Frequent words whose counts every task holds; of these, words that are clustered one by one.
 HEAD, SINGLE = 50_000, 700
@@ -64,7 +64,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
         counts = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(words_of(text))
                 if len(counts) >= CACHE:
@@ -101,7 +101,7 @@ def unit_bigrams(texts: DataFrame, head: list[bytes], single: int) -> np.ndarray
 
     def run(batches):
         codes, table = Codes(head), np.zeros(size * size, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.array([len(head) + ENDINGS])] + [codes.of(words_of(t)) for t in batch.column(0).to_pylist()]
             units = unit[np.concatenate(found)]
             table += np.bincount(units[:-1] * size + units[1:], minlength=size * size)
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         import xxhash
 
         codes = Codes(head)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words_of(t)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored
+from .common import ranked, slices, stored
 
 CAPACITY = 2048
 
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, w
         from .tokens import byte_tokens
 
         vocabulary = byte_tokens(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in names]
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, start = vocabulary.encode(t or "") + last, 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import slices, stored
 from .graph import components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns (doc_id, bits): one row per input row, texts read whole, one batch in memory at a time."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             bits = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "bits"])
 

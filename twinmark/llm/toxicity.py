@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 #: Labelled documents that the field and its calibration are fitted on, at most.
 SAMPLE_DOCS = 20_000
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "te
     """
     def run(batches):
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             tags = [model.tag(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([model.score(m, c) for m, c, _ in tags], pa.float64()), pa.array([c for _, c, _ in tags], pa.int64()),
@@ -311,7 +311,7 @@ def drop_toxic(docs: DataFrame, model: Field, threshold: float, text: str = "tex
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept = [model.score(*model.tag(t or "")[:2]) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
