@@ -23,6 +23,13 @@ def test_read_lines_positions(spark, tmp_path):
     assert os.path.exists(p1)
 
 
+def test_part_numbers_are_numbers(spark, tmp_path):
+    for n in (99999, 100000, 2):
+        write(tmp_path / f"part-{n:05d}-x.txt", f"{n}\n")
+    got = [r.value for r in read_lines(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == ["2", "99999", "100000"]
+
+
 def test_smat_read_sparse_and_check(spark, tmp_path):
     p = write(tmp_path / "f.smat", "3 2\n0:1.5 1:2\n\n1:-1\n")
     cells = sorted((r.row_id, r.col, r.value) for r in SMT.read_smat(spark, str(p)).collect())

@@ -75,7 +75,7 @@ def pairs_csv_roundtrip(spark, sf):
     p = P.conv_pairs(spark, sf).select(F.col("s1").alias("spanish_sentence1"), F.col("s2").alias("spanish_sentence2"),
                                        F.col("turn").cast("string").alias("is_duplicate"))
     TF.write_pairs_csv(p, path)
-    return TF.read_pair_table(spark, path)
+    return TF.read_pair_table(spark, path, multiline=True)  # turns hold line breaks
 
 
 @query("parquet_cache_roundtrip", with_views(f"SELECT conv_id, turn, {WMS_SQL} AS word_match_share FROM tok",

@@ -64,10 +64,13 @@ def read_test_pairs(spark: SparkSession, path) -> DataFrame:
 
 
 def read_pair_table(spark: SparkSession, path, s1: str = "spanish_sentence1", s2: str = "spanish_sentence2",
-                    label: str | None = "is_duplicate") -> DataFrame:
-    """Headered CSV with an explicit schema; NULL text becomes ''."""
+                    label: str | None = "is_duplicate", multiline: bool = False) -> DataFrame:
+    """Headered CSV with an explicit schema; NULL text becomes ''.
+
+    A file is split over tasks unless ``multiline`` says that quoted fields hold line breaks.
+    """
     schema = f"`{s1}` STRING, `{s2}` STRING" + (f", `{label}` STRING" if label else "")
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=multiline, escape='"')
     df = df.na.fill("", subset=[s1, s2])
     out = df.select(F.col(s1).alias("s1"), F.col(s2).alias("s2"),
                     *([T.label_int(label).alias("label")] if label else []))
