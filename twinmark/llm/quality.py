@@ -144,3 +144,39 @@ def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: st
     count = F.when(F.col("cut").isNull(), F.col("row")[n_chars]).otherwise(F.length("whole")) if n_chars in names else None
     fixed = {text: F.col("whole"), n_chars: count}
     return out.select(*[(fixed[c] if c in fixed else F.col("row")[c]).alias(c) for c in names])
+
+
+#: ``rate`` as DuckDB SQL; document ids must be unique, and windows and lines are compared as texts, not by hash.
+RATE_SQL = f"""WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, host, text, regexp_extract_all(text, '{WORD}+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v) AS n
+  FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, host, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN repeated r ON r.doc_id = w.doc_id
+), texts AS (
+  SELECT DISTINCT host, text FROM d
+), lines AS (
+  SELECT host, text, lower(trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))) AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS x FROM texts)
+), above AS (
+  SELECT c.host, c.line FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines WHERE line <> '' GROUP BY host, line) c
+  JOIN (SELECT host, count(*) AS texts FROM texts GROUP BY host) h ON h.host = c.host
+  WHERE docs > {LINE_DOCS} AND docs > texts * CAST({LINE_SHARE} AS DOUBLE)
+), cut AS (
+  SELECT l.host, l.text, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS al,
+    sum(CASE WHEN a.line IS NULL THEN length(l.line) - length(replace(l.line, ' ', '')) + 1 ELSE 0 END) AS rest
+  FROM lines l LEFT JOIN above a ON a.host = l.host AND a.line = l.line WHERE l.line <> '' GROUP BY l.host, l.text
+), v AS (
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    coalesce(rest < al AND (rest < al * CAST({LEFT_SHARE} AS DOUBLE) OR rest * n_words < al * {LEFT_WORDS}), false) AS depleted
+  FROM m LEFT JOIN cut ON cut.host = m.host AND cut.text = m.text
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, depleted, NOT base_failed AND NOT depleted AS kept FROM v"""

@@ -79,4 +79,4 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_bpe, op3_sharding, op4_toxicity, op5_chat_perspectives, op6_packing, op7_language_model, op8_secrets, op9_simhash, op10_quality_rules)}
-SQL: dict[str, str] = {"op5_chat_perspectives": chat.ROTATE_SQL}
+SQL: dict[str, str] = {"op5_chat_perspectives": chat.ROTATE_SQL, "op8_secrets": secret_scan.SCAN_SQL, "op10_quality_rules": quality.RATE_SQL}

@@ -141,3 +141,35 @@ def mask(docs: DataFrame, owner: Column, repository: Column, text: str = "text",
     count = F.when(F.col("live").isNull(), F.col("row")[n_chars]).otherwise(F.length("new")) if n_chars in names else None
     fixed = {text: F.col("new"), n_chars: count}
     return out.select(*[(fixed[c] if c in fixed else F.col("row")[c]).alias(c) for c in names])
+
+
+def _sql_kind(kind: int, pattern: str, group: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"SELECT doc_id, {kind} AS kind, string_split_regex(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}', 0) AS a, regexp_extract_all(t, '{quoted}', {group}) AS v FROM d"
+
+
+#: ``scan`` with sources as owners, as DuckDB SQL; document ids must be unique.
+SCAN_SQL = f"""WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents
+), found AS (
+  {' UNION ALL '.join(_sql_kind(k, p, g) for k, (p, g) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (OTHER, 0))))}
+), each AS (
+  SELECT doc_id, kind, i, length(g[i]) AS gap, length(a[i]) AS len, v[i] AS value FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM found)
+), placed AS (
+  SELECT doc_id, kind, len, value, sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM each
+), kept AS (
+  SELECT doc_id, kind, value, e - len AS s, e FROM placed WHERE CASE kind WHEN 0 THEN length(value) >= {ASSIGN_CHARS}
+    WHEN 3 THEN regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]') ELSE true END
+), owned AS (
+  SELECT value, count(DISTINCT owner) AS owners FROM kept JOIN d ON d.doc_id = kept.doc_id GROUP BY value
+), spans AS (
+  SELECT kept.*, owners <= {LIVE_OWNERS} AS live, ({list(KINDS)})[kind + 1] || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS x
+  FROM kept JOIN owned ON owned.value = kept.value WHERE kind < 3 OR owners <= {LIVE_OWNERS}
+), per AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+    count(*) FILTER (WHERE live) AS nl, count(*) FILTER (WHERE kind < 3 AND NOT live) AS ne,
+    string_agg(x, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind, e) AS al FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(al, '') AS spans, CAST(coalesce(nl, 0) AS BIGINT) AS n_live, CAST(coalesce(ne, 0) AS BIGINT) AS n_example
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
