@@ -263,3 +263,12 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
     for table in (docs(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, SF).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["op8_secrets", "op10_quality_rules"])
+def test_native_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    df = QUERIES[name](spark, SF)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(want)
