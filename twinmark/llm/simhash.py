@@ -122,16 +122,18 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(prints: DataFrame, distance: int) -> list[tuple[list[int], int]]:
     """The (bits, threshold) of each part that is probed, for all fingerprints of ``prints``.
 
-    Equal part values are counted exactly (pre-aggregated); how many pairs come within t more bits is
+    Equal part values are counted exactly (pre-aggregated).  A bucket costs its pairs, or for a large one
+    the values around its members, as ``links`` verifies it.  How much comes within t more bits is
     estimated from each bit's share of ones.
     """
+    around = sum(comb(BITS, j) for j in range(distance - distance // 2 + 1))
     n, both = bit_statistics(prints)
     options = {m: correlated_parts(n, both, m) for m in range(2, distance + 3)}
     keys = [(m, i, _mask(part)) for m, parts in options.items() for i, part in enumerate(parts)]
     probe = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.lit(mask).alias("mask")) for m, i, mask in keys]))
     counts = (prints.select("bits", probe.alias("k")).groupBy("k.m", "k.i", F.col("bits").bitwiseAND(F.col("k.mask")).alias("v"))
-              .agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("m", "i").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).collect())
-    equal = {(r.m, r.i): r.pairs for r in counts}
+              .agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("m", "i").agg(F.sum(F.least(F.col("c") * (F.col("c") - 1) / 2, F.col("c") * around)).alias("work")).collect())
+    equal = {(r.m, r.i): r.work for r in counts}
     p = np.diag(both) / max(n, 1)
     odds = (2 * p * (1 - p)) / np.clip(1 - 2 * p * (1 - p), 1e-9, None)
     found = []
