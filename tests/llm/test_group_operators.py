@@ -259,6 +259,14 @@ def test_pipeline_stages(spark):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == Counter(map(tuple, out.drop("sequence_id", "offset").collect()))
 
 
+def test_near_dedup_keeps_one_of_each_group_and_rows_without_an_id(spark):
+    table = docs(spark)
+    out = corpus_pipeline.near_dedup(spark, table, SF)
+    kept = Counter(r.doc_id for r in out.collect())
+    assert kept.pop(None) == 2 and set(kept.values()) == {1}
+    assert set(kept) == {r.component_id for r in simhash.near_duplicates(table).collect() if r.component_id is not None}
+
+
 def test_pipeline_stages_on_odd_and_empty_tables(spark):
     for table in (docs(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
