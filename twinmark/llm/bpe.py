@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import BLANK, CACHE, PLAIN, byte_letters
+from .tokens import BLANK, PLAIN, byte_letters
 
 #: Stands for the word-end suffix inside pieces; no byte-level letter is a line feed.
 END = "\n"
+#: Pieces, and pairs of tokens, that a worker remembers at most.
+CACHE = 250_000
 
 
 class Vocabulary:

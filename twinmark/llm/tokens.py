@@ -12,7 +12,7 @@ import numpy as np
 PLAIN = "[^\x00-įı-ɏ‐-‧€]"
 BLANK, OTHER = r"\p{White_Space}", r"\P{White_Space}"
 #: Entries that a worker keeps at most; the cache is emptied when it is full.
-CACHE = 250_000
+CACHE = 500_000
 
 
 @lru_cache(maxsize=1)
