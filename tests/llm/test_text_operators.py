@@ -298,6 +298,55 @@ def test_exchange_never_lowers_the_likelihood():
     assert len(set(end[:10])) == 1 and len(set(end[10:20])) == 1
 
 
+def test_gains_are_differences_of_likelihood():
+    r = np.random.default_rng(3)
+    n, own = r.poisson(1.0, (20, 20)).astype(float), np.append(r.integers(1, 5, 19), 0)
+
+    def table(own):
+        t = np.zeros((5, 5))
+        np.add.at(t, (own[:, None], own[None, :]), n)
+        return t
+
+    right, left = (np.array([np.bincount(own, x * (np.arange(20) != i), 5) for i, x in enumerate(m)]) for m in (n, n.T))
+    gain = lm.gains(right, left, np.diag(n), own, table(own))
+    for w in range(20):
+        for k in range(5):
+            other = np.where(np.arange(20) == w, k, own)
+            assert math.isclose(gain[w, k], lm.likelihood(table(other)) - lm.likelihood(table(own)), abs_tol=1e-6)
+
+
+def test_every_repeated_word_has_a_class_by_its_neighbours(spark):
+    """Words beyond the head, with one ending, of two kinds: they part by their neighbours, not by their ending."""
+    r = np.random.default_rng(5)
+    kinds = [[f"{kind}{i}zz" for i in range(1200)] for kind in ("noun", "verb")]
+    rows = [(i, " ".join(f"{a}{i % 7} {w}" for w, a in zip(r.choice(kinds[i % 2], 40), [("the", "will")[i % 2]] * 40))) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(table, F.lit(True), head_words=40, classes=6)
+    counts = {bytes(w.word): w.c for w in lm.word_counts(table.select(F.col("text").cast("binary").alias("text"))).collect()}
+    got = {w.h: (w.c, w.k) for w in model.counts.collect()}
+    words = {w: n for w, n in counts.items() if w not in model.head}
+    assert len(words) > lm.SINGLE and got.keys() == {lm.word_id(w) for w in words} and all(got[lm.word_id(w)][0] == n for w, n in words.items())
+    found = [Counter(got[lm.word_id(w)][1] for w, n in words.items() if n >= lm.LEAST and w.startswith(x)) for x in (b"noun", b"verb")]
+    assert not set(found[0]) & set(found[1])
+    ending = model.classes[len(model.head) + zlib.crc32(b"zz") % lm.ENDINGS]
+    assert all(got[lm.word_id(w)][1] == ending for w, n in words.items() if n < lm.LEAST)
+    # brute force: every token by its own class
+    own = {**{w: int(model.classes[i]) for i, w in enumerate(model.head)}, **{w: got[lm.word_id(w)][1] for w in words}}
+    mass = np.zeros(len(model.moves))
+    for w, n in counts.items():
+        mass[own[w]] += n + 0.5
+    mass[0] += len(rows) + 0.5
+    assert np.allclose(mass + 0.5, 10 ** model.inside)
+    for r in lm.score(table.filter("doc_id < 9"), model).collect():
+        before, want, base = 0, 0.0, 0.0
+        for w in [*rows[r.doc_id][1].encode().split(), None]:
+            k, n = (own[w], counts[w]) if w else (0, len(rows))
+            want, before = want + model.moves[before, k] + math.log10(n + 0.5) - model.inside[k], k
+            base += math.log10(n + 0.5) - model.base
+        assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert r.n_known == r.n_tokens
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_marginals_equal_a_sum_over_all_paths():

@@ -1,9 +1,11 @@
 """Language-model scoring with a Brown class-based bigram.
 
 P(word | history) = P(class | class before) * P(word | class).  Exchange clustering finds the classes:
-each unit (a frequent word, or a group of rarer words with the same ending) moves to the class that
-raises the likelihood of all class bigrams most.  Counts of words and of bigrams of units cover every
-training document.  Frequent words' counts go to every task, a fixed number of them; those of all other
+each word seen more than once in training moves to the class that raises the likelihood of all class
+bigrams most.  The most frequent words and the groups of endings are dealt first, exactly, on the driver;
+then sweeps over the stored counts of neighbouring words move all words, given only the table of classes
+by classes.  Words seen once or never have their ending's class.  Counts cover every training document.
+The most frequent words' counts and classes go to every task, a fixed number of them; those of all other
 words are joined, so the vocabulary may be of any size.
 """
 
@@ -20,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-#: Frequent words whose counts every task holds; of these, words that are clustered one by one.
+#: Frequent words whose counts every task holds; of these, words that the driver deals before the sweeps.
 HEAD, SINGLE = 50_000, 700
 #: Groups of rarer words, by the hash of the last bytes, and that number of bytes.
 ENDINGS, ENDING = 128, 2
 CLASSES, SWEEPS = 64, 12
+#: Words of this count or more have a class of their own choice; sweeps over all of them, at most.
+LEAST, WORD_SWEEPS = 2, 2
+#: Pairs of neighbouring words that a task sorts at once.
+PAIRS = 4_000_000
 #: Distinct words that a task counts or remembers at once.
 CACHE = 400_000
 SEED = 42
@@ -90,25 +96,89 @@ def frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
     return sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def unit_bigrams(texts: DataFrame, head: list[bytes], single: int) -> np.ndarray:
-    """Counts of neighbouring units, over all rows; a document starts behind the end of another.
+def word_id(word: bytes) -> int:
+    """Key of a word outside the head: negative, from its 64-bit hash; the lowest bits are its ending's group."""
+    import xxhash
 
-    Units are the ``single`` most frequent words, the endings' groups, and the end.  Tasks add up their
-    own table, and the tables' cells are summed by key; their number is fixed.
-    """
-    size = single + ENDINGS + 1
-    unit = code_units(head, single)
+    key = (xxhash.xxh64_intdigest(word, SEED) << 7 | zlib.crc32(word[-ENDING:]) % ENDINGS) & (1 << 63) - 1
+    return key - (1 << 63)
+
+
+def id_column(word: Column) -> Column:
+    """``word_id`` as an expression."""
+    group = F.crc32(F.substring(word, -ENDING, ENDING)) % ENDINGS  # bytes, as in Codes
+    return F.shiftleft(F.xxhash64(word), 7).bitwiseOR(group).bitwiseOR(F.lit(-(1 << 63)))
+
+
+class Places(dict):
+    """Number of a word within a task: its place in the head, or one behind the end's; ``ids`` names the numbers."""
+
+    def __init__(self, head: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.head, self.rare = len(head), []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = self.head + 1 + len(self.rare)
+        self.rare.append(word_id(word))
+        return place
+
+    def ids(self) -> np.ndarray:
+        return np.concatenate((np.arange(self.head + 1), np.array(self.rare, np.int64)))
 
+
+def word_bigrams(texts: DataFrame, head: list[bytes]) -> DataFrame:
+    """(a, b, n): counts of neighbouring words, over all rows; a document starts behind the end of another.
+
+    A word is its place in the head or its ``word_id``; the end is the number of words in the head.
+    """
     def run(batches):
-        codes, table = Codes(head), np.zeros(size * size, np.int64)
+        def flush(places, parts):
+            tokens = np.concatenate(parts)
+            keys, n = np.unique(tokens[:-1] << 32 | tokens[1:], return_counts=True)
+            ids = places.ids()
+            for at in range(0, len(keys), CACHE):
+                k = keys[at:at + CACHE]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k >> 32]), pa.array(ids[k & (1 << 32) - 1]), pa.array(n[at:at + CACHE])], ["a", "b", "n"])
+
+        end = np.array([len(head)])
+        places, parts, held = Places(head), [end], 0
         for batch in slices(batches):
-            found = [np.array([len(head) + ENDINGS])] + [codes.of(words_of(t)) for t in batch.column(0).to_pylist()]
-            units = unit[np.concatenate(found)]
-            table += np.bincount(units[:-1] * size + units[1:], minlength=size * size)
-        at = np.nonzero(table)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["cell", "n"])
+            for text in batch.column(0).to_pylist():
+                found = words_of(text)
+                parts += [np.fromiter(map(places.__getitem__, found), np.int64, len(found)), end]
+                held += len(found) + 1
+                if held >= PAIRS or len(places.rare) >= CACHE:
+                    yield from flush(places, parts)
+                    if len(places.rare) >= CACHE:
+                        places = Places(head)
+                    parts, held = [end], 0
+        if held:
+            yield from flush(places, parts)
+
+    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
 
-    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+def _numbered(spark, values: np.ndarray, name: str, value: str) -> DataFrame:
+    """(name, value): the values by place, at most the head, the endings and the end; for a broadcast."""
+    values = np.asarray(values, np.int32)
+    rows = pa.table({name: pa.array(np.arange(len(values))), value: pa.array(values)})
+    return F.broadcast(spark.createDataFrame(rows))
+
+
+def unit_bigrams(pairs: DataFrame, head: list[bytes], single: int) -> np.ndarray:
+    """Counts of neighbouring units: the ``single`` most frequent words, the endings' groups, and the end."""
+    size = single + ENDINGS + 1
+    unit = np.append(code_units(head, single)[:len(head)], size - 1)
+
+    def of(name):
+        group = F.col(name).bitwiseAND(F.lit(ENDINGS - 1)).cast("int")
+        return F.coalesce(f"u{name}", group + single)
+
+    both = pairs
+    for name in ("a", "b"):
+        both = both.join(_numbered(pairs.sparkSession, unit, f"_{name}", f"u{name}"), F.col(name) == F.col(f"_{name}"), "left")
+    cell = (of("a") * size + of("b")).cast("long").alias("cell")
+    rows = both.select(cell, "n").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -166,6 +236,124 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return own
 
 
+@dataclass
+class Classes:
+    """Class of every training word: arrays for the head, the endings and the end; a stored table (id, k) for the rest.
+
+    The table holds the words of ``LEAST`` or more outside the head; all others have their ending's class.
+    """
+
+    head: np.ndarray  # of each word of the head, then of the end
+    endings: np.ndarray
+    rest: DataFrame
+
+    def joined(self, rows: DataFrame, word: str, name: str) -> DataFrame:
+        """``rows`` with the class of the word in column ``word``, and whether it is one of the table's or the head's."""
+        near = rows.filter(F.col(word) >= 0).join(_numbered(rows.sparkSession, self.head, "_id", "_k"), F.col(word) == F.col("_id"))
+        far = rows.filter(F.col(word) < 0).join(self.rest.select(F.col("id").alias("_id"), F.col("k").alias("_k")), F.col(word) == F.col("_id"), "left")
+        endings = F.array(*[F.lit(int(k)) for k in self.endings])
+        other = F.get(endings, F.col(word).bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
+        return near.unionByName(far).withColumn(name, F.coalesce("_k", other)).withColumn(f"{name}_own", F.col("_id").isNotNull()).drop("_id", "_k")
+
+
+def neighbours(pairs: DataFrame, classes: Classes) -> DataFrame:
+    """(w, k, k_own, e): each word with its class and its neighbours' classes, stored.
+
+    ``e`` lists (side, l, n): n neighbours of class l on the right (0) or left (1), and n times itself (2):
+    two entries a class at most, however frequent the word is.
+    """
+    other = pairs.filter("a != b")
+    sides = [classes.joined(other.select(F.col(x).alias("w"), F.col(y).alias("nb"), "n"), "nb", "l").groupBy("w", "l").agg(F.sum("n").alias("n"))
+             .select("w", F.struct(F.lit(side).alias("side"), "l", "n").alias("e")) for side, x, y in ((0, "a", "b"), (1, "b", "a"))]
+    self = pairs.filter("a = b").select(F.col("a").alias("w"), F.struct(F.lit(2).alias("side"), F.lit(0).alias("l"), "n").alias("e"))
+    rows = sides[0].unionByName(sides[1]).unionByName(self).groupBy("w").agg(F.collect_list("e").alias("e"))
+    return stored(classes.joined(rows, "w", "k"), "neighbours")
+
+
+def class_bigrams(near: DataFrame, k: int) -> np.ndarray:
+    """Counts of neighbouring classes."""
+    each = near.select("k", F.explode("e").alias("e")).filter("e.side != 1")
+    to = F.when(F.col("e.side") == 2, F.col("k")).otherwise(F.col("e.l"))
+    rows = each.groupBy("k", to.alias("l")).agg(F.sum("e.n").alias("n")).collect()  # at most k * k rows
+    table = np.zeros((k, k))
+    for r in rows:
+        table[r.k, r.l] = r.n
+    return table
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: the log likelihood of all class bigrams, up to a constant."""
+    return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
+
+
+def gains(right: np.ndarray, left: np.ndarray, twice: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Gain in likelihood of moving each word alone to each class; 0 for its own.
+
+    ``right`` and ``left`` count a word's neighbours by class, without itself; ``twice`` counts itself
+    beside itself.  Rows and columns of the old and the new class change; the four cells where they cross
+    are put right afterwards.
+    """
+    at, k = np.arange(len(own)), len(table)
+    out, gone = np.zeros((len(own), k)), np.zeros(len(own))
+    for near, t in ((right, table), (left, table.T)):
+        w, l = np.nonzero(near)  # noqa: E741
+        n, cells = near[w, l], t.T[l]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        if len(w):
+            out[w[first]] += np.add.reduceat(_f(cells + n[:, None]) - _f(cells), first, axis=0)
+            cell = t[own[w], l]
+            gone += np.bincount(w, _f(cell - n) - _f(cell), len(own))
+        total, side = near.sum(1) + twice, t.sum(1)
+        out -= _f(side + total[:, None]) - _f(side)
+        gone -= _f(side[own] - total) - _f(side[own])
+    out += gone[:, None]
+    r_a, q_a, s = right[at, own][:, None], left[at, own][:, None], twice[:, None]
+    aa, ab, ba, bb = table[own, own][:, None], table[own], table.T[own], np.diag(table)[None, :]
+    out += _f(aa - r_a - q_a - s) - _f(aa - r_a) - _f(aa - q_a) + _f(aa)
+    out += _f(bb + right + left + s) - _f(bb + right) - _f(bb + left) + _f(bb)
+    out += _f(ab - right + q_a) - _f(ab - right) - _f(ab + q_a) + _f(ab)
+    out += _f(ba + r_a - left) - _f(ba + r_a) - _f(ba - left) + _f(ba)
+    out[at, own] = 0
+    return out
+
+
+def moved(near: DataFrame, table: np.ndarray) -> DataFrame:
+    """(id, k): the best class of every word of the head and of the classes' table; the end keeps class 0 for itself."""
+    k = len(table)
+
+    def run(batches):
+        for batch in slices(batches):
+            own, e = batch.column(1).to_numpy(), batch.column(2)
+            w, (side, l, n) = e.value_parent_indices().to_numpy(), (x.to_numpy() for x in e.flatten().flatten())  # noqa: E741
+            counts = np.zeros((3, len(own), k))
+            counts[side, w, l] = n
+            gain = gains(counts[0], counts[1], counts[2, :, 0], own, table)
+            gain[:, 0] = -np.inf
+            best = gain.argmax(1)
+            best = np.where(gain[np.arange(len(own)), best] > 1e-6, best, own).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["id", "k"])
+
+    return near.filter("k_own and k != 0").select("w", "k", "e").mapInArrow(run, "id long, k int")
+
+
+def sweep(pairs: DataFrame, classes: Classes, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
+    """Classes after at most ``sweeps`` sweeps over all words, and their table; stops when the likelihood no longer rises."""
+    near = neighbours(pairs, classes)
+    table = class_bigrams(near, k)
+    for _ in range(sweeps):
+        rows = stored(moved(near, table), "classes")
+        head = classes.head.copy()
+        top = rows.filter("id >= 0").toArrow()  # the head
+        head[top["id"].to_numpy()] = top["k"].to_numpy()
+        new = Classes(head, classes.endings, rows.filter("id < 0"))
+        near = neighbours(pairs, new)
+        new_table = class_bigrams(near, k)
+        if likelihood(new_table) <= likelihood(table):
+            break
+        classes, table = new, new_table
+    return classes, table
+
+
 @dataclass
 class Model:
     """What scoring needs in every task, and the joined rest: counts of all words as a stored table."""
@@ -178,7 +366,7 @@ class Model:
     inside: np.ndarray  # log10 of the denominator of P(word | class)
     total: int
     kinds: int
-    counts: DataFrame
+    counts: DataFrame  # (h, c, k): id, count and class of the words outside the head
 
     @property
     def base(self) -> float:
@@ -186,62 +374,64 @@ class Model:
         return float(np.log10(self.total + 0.5 * (self.kinds + 1)))
 
 
-def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int = HEAD, single: int = SINGLE, classes: int = CLASSES) -> Model:
+def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int = HEAD, single: int | None = None, classes: int = CLASSES,
+        sweeps: int = WORD_SWEEPS) -> Model:
     """Counts, classes and probabilities from the rows of ``docs`` for which ``learnable`` holds.
 
     Within a class, words have c + 0.5 and all unseen words together 0.5, over the class's total;
     transitions are smoothed by the classes' own frequencies.  Without training rows every count is 0.
+    ``single`` limits clustering to so many frequent words; all others then have their ending's class.
     """
     texts = docs.filter(learnable).select(F.col(text).cast("binary").alias("text"))
     counts = stored(word_counts(texts), "words")
     ends = texts.count()
-    group = F.crc32(F.substring("word", -ENDING, ENDING)) % ENDINGS  # bytes, as in Codes
-    groups = counts.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row for each group
     top = frequent(counts, head_words)
     head, c = [w for w, _ in top], np.array([n for _, n in top], float)
-    single = min(single, len(head))
-    unit = code_units(head, single)
-    units = single + ENDINGS + 1
-    n_unit, v_unit = np.zeros(units), np.zeros(units)
-    for r in groups:
-        n_unit[single + r.g], v_unit[single + r.g] = r.n, r.v
-    for i in range(single):  # clustered by themselves, so not in their ending's group
-        g = single + zlib.crc32(head[i][-ENDING:]) % ENDINGS
-        n_unit[i], v_unit[i], n_unit[g], v_unit[g] = c[i], 1, n_unit[g] - c[i], v_unit[g] - 1
-    n_unit[-1], v_unit[-1] = ends, int(ends > 0)
-    bigrams = unit_bigrams(texts, head, single)
+    dealt = min(SINGLE if single is None else single, len(head))
+    pairs = stored(word_bigrams(texts, head), "pairs")
+    bigrams = unit_bigrams(pairs, head, dealt)
     own = exchange(bigrams, classes)
     k = int(own.max()) + 1
-    n_class, v_class = np.bincount(own, n_unit, k), np.bincount(own, v_unit, k)
     table = np.zeros((k, k))
     np.add.at(table, (own[:, None], own[None, :]), bigrams)
+    of_code = own[code_units(head, dealt)]
+    endings = of_code[len(head):-1]
+    held = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(head, pa.binary())})))
+    tail = counts.join(held, "word", "left_anti").select(id_column(F.col("word")).alias("h"), "c")
+    start = F.get(F.array(*[F.lit(int(x)) for x in endings]), F.col("h").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
+    rest = stored(tail.withColumn("k", start), "tail")
+    if single is None and ends:
+        first = Classes(np.append(of_code[:len(head)], of_code[-1]), endings, rest.filter(F.col("c") >= LEAST).select(F.col("h").alias("id"), "k"))
+        last, table = sweep(pairs, first, k, sweeps)
+        of_code[:len(head)] = last.head[:-1]
+        rest = stored(last.joined(rest.drop("k"), "h", "k").select("h", "c", "k"), "rest")
+    n_class, v_class = np.bincount(of_code[:len(head)], c, k), np.bincount(of_code[:len(head)], minlength=k).astype(float)
+    for r in rest.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row for each class
+        n_class[r.k], v_class[r.k] = n_class[r.k] + r.n, v_class[r.k] + r.v
+    n_class[0], v_class[0] = n_class[0] + ends, v_class[0] + int(ends > 0)
     overall = (table.sum(0) + 0.5) / (table.sum() + 0.5 * k)
     moves = (table + k * overall) / (table.sum(1, keepdims=True) + k)
-    code_class = own[unit]
-    logc = np.zeros(len(unit))
+    logc = np.zeros(len(of_code))
     logc[:len(head)] = np.log10(c + 0.5)
     logc[-1] = np.log10(ends + 0.5)
-    known = np.zeros(len(unit), np.int64)
+    known = np.zeros(len(of_code), np.int64)
     known[:len(head)], known[-1] = 1, int(ends > 0)
-    rest = counts.select(F.xxhash64("word").alias("h"), "c")
-    return Model(head, code_class, logc, known, np.log10(moves), np.log10(n_class + 0.5 * (v_class + 1)), int(n_unit.sum()), int(v_unit.sum()), rest)
+    return Model(head, of_code, logc, known, np.log10(moves), np.log10(n_class + 0.5 * (v_class + 1)), int(n_class.sum()), int(v_class.sum()), rest)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    A task adds up what it knows of a document and lists its rarer words, by 64-bit hash; their counts
-    are joined by that hash, and the sums go back to the row.  Null and empty texts are their end alone;
-    a null id is kept; repeated rows each get a row; an empty table gives an empty result; other columns
-    are not read.
+    A task adds up what it knows of a document and lists its rarer words, by id, with their places; their
+    counts and classes are joined by that id, and go back to the row.  Null and empty texts are their end
+    alone; a null id is kept; repeated rows each get a row; an empty table gives an empty result; other
+    columns are not read.
     """
-    head, classes, logc, known, moves = model.head, model.classes, model.logc, model.known, model.moves
-    emitted = logc - model.inside[classes]
-    first, last, base = len(head), len(head) + ENDINGS, model.base
+    head, classes, logc, known, moves, inside = model.head, model.classes, model.logc, model.known, model.moves, model.inside
+    emitted = logc - inside[classes]
+    first, last, base, total = len(head), len(head) + ENDINGS, model.base, model.total
 
     def run(batches):
-        import xxhash
-
         codes = Codes(head)
         for batch in slices(batches):
             out = []
@@ -250,22 +440,46 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 c = codes.of(found)
                 k = classes[c]
                 before = np.concatenate((k[-1:], k[:-1]))  # a document starts behind an end
-                rare = Counter([found[i] for i in np.nonzero((c >= first) & (c < last))[0].tolist()])
-                keys = np.array([xxhash.xxh64_intdigest(w, SEED) for w in rare], np.uint64).view(np.int64)
+                far = (c >= first) & (c < last)
+                far_before = np.concatenate((far[-1:], far[:-1]))
+                places = np.nonzero(far)[0]
+                rare: dict[bytes, int] = {}
+                at = [rare.setdefault(found[i], len(rare)) for i in places.tolist()]
+                near = ~far & ~far_before
                 out.append((doc, len(c), int(known[c].sum()), float(logc[c].sum() - len(c) * base),
-                            float(moves[before, k].sum() + emitted[c].sum()), keys, list(rare.values())))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "h", "tf"]
+                            float(moves[before[near], k[near]].sum() + emitted[c[~far]].sum()), [word_id(w) for w in rare], at,
+                            np.where(far_before[places], -1, before[places]), np.where(far[places + 1], -1, k[places + 1])))
+            long, number, ints = pa.int64(), pa.float64(), pa.list_(pa.int32())
+            kinds = (long, long, long, number, number, pa.list_(long), ints, ints, ints)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
+    def finish(batches):
+        for batch in slices(batches):
+            col = {n: batch.column(i) for i, n in enumerate([*names, "found"])}
+            h, of_h, rows = col["h"].flatten().to_numpy(), col["h"].value_parent_indices().to_numpy(), batch.num_rows
+            start = np.concatenate(([0], np.cumsum(np.bincount(of_h, minlength=rows))))
+            k, c = classes[first + (h & ENDINGS - 1)], np.zeros(len(h))  # unseen words: 0.5 in their ending's class
+            j, n, own = (x.to_numpy() for x in col["found"].flatten().flatten())
+            j = j + start[col["found"].value_parent_indices().to_numpy()]
+            c[j], k[j] = n, own
+            row = col["at"].value_parent_indices().to_numpy()
+            at = col["at"].flatten().to_numpy() + start[row]
+            before, after = (col[x].flatten().to_numpy() for x in ("before", "after"))
+            here, weight = k[at], np.log10(c + 0.5)
+            before = np.where(before < 0, np.roll(here, 1), before)
+            gain = moves[before, here] + np.where(after < 0, 0, moves[here, after]) + (weight - inside[k])[at]
+            add = lambda name, x: pa.array(col[name].to_numpy() + np.bincount(row, x, rows))
+            known_too = col["n_known"].to_numpy() + np.bincount(row, c[at] > 0, rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([col["doc_id"], col["n_tokens"], pa.array(known_too), pa.array(np.full(rows, total)),
+                                              add("base_score", weight[at]), add("score", gain)], final)
+
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "h", "at", "before", "after"]
+    final = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, h array<long>, tf array<long>"
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, h array<long>, at array<int>, before array<int>, after array<int>"
     rows = stored(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("h", "tf")).alias("w")).select("row", "w.h", "w.tf")
-    found = rare.join(model.counts, "h").groupBy("row").agg(  # unseen words: log10(0.5) each, added below
-        F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("more"), F.sum("tf").alias("seen"))
-    unseen = F.coalesce(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) * F.log10(F.lit(0.5))
-    more = F.coalesce("more", F.lit(0.0)) + F.col("unseen")
-    return rows.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score", unseen.alias("unseen")).join(found, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    rare = rows.select("row", F.posexplode("h").alias("j", "h"))
+    found = rare.join(model.counts, "h").groupBy("row").agg(F.collect_list(F.struct("j", "c", "k")).alias("found"))
+    none = F.array().cast("array<struct<j:int,c:bigint,k:int>>")
+    whole = rows.join(found, "row", "left").select(*names, F.coalesce("found", none).alias("found"))
+    return whole.mapInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
