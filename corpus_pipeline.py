@@ -21,8 +21,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted go; lines above their host's limits go."""
-    return quality.clean(docs)
+    """Documents that fail the base rules or are depleted go; lines above their host's limits go.
+
+    Long lines are judged by the number of their documents alone, however large the host is.
+    """
+    return quality.clean(docs, long_words=quality.LONG_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

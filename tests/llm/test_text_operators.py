@@ -185,6 +185,19 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert filtered == len(out)
 
 
+def test_long_lines_go_by_their_documents_in_a_large_host(spark):
+    import corpus_pipeline
+
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    notice, short = "this notice of ten words stands in very many documents", "see also below"
+    rows = [(i, own(i, 60) + (f"\n{notice}\n{short}" if i < 30 else ""), "h") for i in range(1000)]  # 3 % of the host
+    rows += [(2000 + i, own(2000 + i, 20) + f"\n{notice}" * 12, "h") for i in range(3)]  # depleted
+    rows += [(3000 + i, own(3000 + i, 60) + f"\n{notice}", "small") for i in range(quality.LINE_DOCS)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, table, "").collect()}
+    assert out == {i: t.replace("\n" + notice, "") if i < 30 else t for i, t, _ in rows if not 2000 <= i < 3000}
+
+
 # ---------------------------------------------------------------- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\f\r"
 LINE_SHARE = 0.05
 #: ... and in more than this many of them.
 LINE_DOCS = 20
+#: Lines of this many words or more need no share in the pipeline: prose does not repeat them by chance.
+LONG_WORDS = 8
 #: A document is depleted if less than this share of its words is left, or fewer words than this.
 LEFT_SHARE = 0.3
 LEFT_WORDS = 50
@@ -78,21 +80,23 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("_key"), F.length(t).alias("_len")]
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The line table, and the lines above their host's limits.
 
     First: (host, _key, _len, line, words), a row for each distinct line of each distinct text of a host;
     ``words`` adds up the words of its repetitions.  Second: (host, line).  Equal texts count as one
     document, so copies of a clean document do not turn its lines into boilerplate.  A null host is a
-    host of its own.
+    host of its own.  Lines of ``long_words`` or more are judged by their documents alone, not by the share.
     """
+    once = lambda c: [] if long_words is None else [F.max(c).alias("once")]
     each = F.transform("_n", lambda x: F.struct(F.xxhash64(x).alias("line"), (_blanks(x) + 1).alias("words")))
     rows = docs.select(_host(host), *text_key(F.col(text)), F.filter(F.transform(_lines(F.col(text)), normal), lambda x: x != "").alias("_n")) \
         .select("host", "_key", "_len", each.alias("_e")).select("host", "_key", "_len", F.explode("_e").alias("e"))
-    lines = stored(rows.groupBy("host", "_key", "_len", "e.line").agg(F.sum("e.words").alias("words")), "lines")
+    lines = stored(rows.groupBy("host", "_key", "_len", "e.line").agg(F.sum("e.words").alias("words"), *once("e.words")), "lines")
     hosts = docs.select(_host(host), *text_key(F.col(text))).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LINE_DOCS)
-    above = counts.join(hosts, "host").filter(F.col("docs") > F.col("texts") * LINE_SHARE).select("host", "line")
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), *once("once")).filter(F.col("docs") > LINE_DOCS)
+    shared = F.col("docs") > F.col("texts") * LINE_SHARE
+    above = counts.join(hosts, "host").filter(shared if long_words is None else shared | (F.col("once") >= long_words)).select("host", "line")
     return lines, stored(above, "frequent")
 
 
@@ -127,7 +131,7 @@ def rate(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: st
                       (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
 
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: str = "n_chars", long_words: int | None = None) -> DataFrame:
     """The documents that are kept, without the lines above their host's limits; columns as in ``docs``.
 
     A document without such lines keeps its text untouched.  Verdicts are made once for each distinct
@@ -136,7 +140,7 @@ def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: st
     names = docs.columns
     base = docs.select(_host(host), F.col(text).alias("text"), *text_key(F.col(text)))
     rated = stored(measures(base, "text").select(*KEY, "n_words", "base_failed"), "measures").dropDuplicates(KEY)
-    verdict = rated.join(cut_texts(*frequent_lines(docs, host, text)), KEY, "left").filter(~F.col("base_failed") & ~_depleted()).select(*KEY, "cut")
+    verdict = rated.join(cut_texts(*frequent_lines(docs, host, text, long_words)), KEY, "left").filter(~F.col("base_failed") & ~_depleted()).select(*KEY, "cut")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row"), F.col(text).alias("whole"), _host(host), *text_key(F.col(text)))
     gone = lambda x: F.array_contains("cut", F.xxhash64(normal(x))) & (normal(x) != "")
     rest = F.array_join(F.filter(F.split("whole", "\n"), lambda x: ~gone(x)), "\n")
