@@ -40,8 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the secrets in it are masked."""
-    return secret_scan.mask(docs, F.col("source"), F.struct("source", "lang"))
+    """Every document stays; the secrets in it are masked.
+
+    A repository is a distinct text, so a value copied all over one hot source is told from a live one.
+    """
+    return secret_scan.mask(docs, F.col("source"), secret_scan.text_key(F.col("text")), repositories=secret_scan.LIVE_REPOSITORIES)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

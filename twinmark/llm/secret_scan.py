@@ -21,6 +21,8 @@ KINDS = ("assign", "access", "hex", "live")
 ASSIGN_CHARS = 8
 #: A value that more owners than this have is a copied example; one of fewer is owner-specific and looks live.
 LIVE_OWNERS = 2
+#: The same for repositories, where the caller's repositories are fine enough to tell copies apart.
+LIVE_REPOSITORIES = 20
 MASK = "[SECRET]"
 
 
@@ -76,16 +78,19 @@ def ownership(found: DataFrame, docs: DataFrame, owner: Column, repository: Colu
         .select("value", "owners", "repositories")
 
 
-def scan_texts(docs: DataFrame, owner: Column, repository: Column, text: str = "text") -> DataFrame:
+def scan_texts(docs: DataFrame, owner: Column, repository: Column, text: str = "text", repositories: int | None = None) -> DataFrame:
     """One row per distinct text with a span: key, n_assign, n_access, n_hex, n_live, n_example, base, spans, masked.
 
     ``base`` and ``spans`` are arrays of (start, kind, end) in order; ``spans`` adds the long mixed
     tokens that few owners have.  ``masked`` holds the values of those.  n_example counts the base spans
-    whose value is widely copied, n_live all other spans.
+    whose value is widely copied, n_live all other spans.  With ``repositories``, a value found in more
+    repositories than that is widely copied too, however few owners it has.
     """
     found = stored(candidates(docs, text), "candidates")
     known = found.join(ownership(found, docs, owner, repository, text), "value")
     live = F.col("owners") <= LIVE_OWNERS
+    if repositories is not None:
+        live = live & (F.col("repositories") <= repositories)
     span = F.struct("start", "kind", "end")
     base = F.col("kind") < 3
     count = lambda c: F.count(F.when(c, 1))
@@ -131,10 +136,10 @@ def masked_text(t: Column, live: Column) -> Column:
     return rebuilt(out, OTHER, 0, lambda v: F.array_contains(live, v))
 
 
-def mask(docs: DataFrame, owner: Column, repository: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def mask(docs: DataFrame, owner: Column, repository: Column, text: str = "text", n_chars: str = "n_chars", repositories: int | None = None) -> DataFrame:
     """``docs`` with its secrets masked; texts without a span are untouched, and no document is dropped."""
     names = docs.columns
-    texts = scan_texts(docs, owner, repository, text).select("key", F.col("masked").alias("live"))
+    texts = scan_texts(docs, owner, repository, text, repositories).select("key", F.col("masked").alias("live"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_key(F.col(text)).alias("key"))
     new = F.when(F.col("live").isNull(), F.col("row")[text]).otherwise(masked_text(F.col("row")[text], F.col("live")))
     out = keyed.join(texts, "key", "left").withColumn("new", new)
