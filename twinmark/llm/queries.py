@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, collocations, divergence, lm, packing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, chat, collocations, divergence, lm, packing, quality, secret_scan, sharding, simhash, suffix, toxicity
 from .common import held_out, table
 
 
@@ -78,6 +78,12 @@ def op10_quality_rules(spark, sf_dir):
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    """No copy stays, the first included."""
+    rows = suffix.dedup(table(spark, sf_dir, "documents"), keep=None)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -87,6 +93,6 @@ def op13_collocations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_bpe, op3_sharding, op4_toxicity, op5_chat_perspectives, op6_packing, op7_language_model, op8_secrets, op9_simhash, op10_quality_rules,
-                                  op12_source_divergence, op13_collocations)}
+                                  op11_suffix_dedup, op12_source_divergence, op13_collocations)}
 SQL: dict[str, str] = {"op5_chat_perspectives": chat.ROTATE_SQL, "op8_secrets": secret_scan.SCAN_SQL, "op10_quality_rules": quality.RATE_SQL,
                        "op12_source_divergence": divergence.AUDIT_SQL, "op13_collocations": collocations.MINE_SQL}
