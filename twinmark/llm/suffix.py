@@ -102,7 +102,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     parts.append(np.stack((np.full(len(lo), i), lo, w, off, g)))
             if parts:
                 i, lo, w, off, g = np.concatenate(parts, axis=1)
-                doc = batch.take(pa.array(i))
+                doc = batch.select([0, 1, 2]).take(pa.array(i))  # without the texts
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.array(c, np.uint64).view(np.int64)), doc.column(0), doc.column(1), doc.column(2),
                                                   *[pa.array(x.astype(np.int32)) for x in (lo, w, off)]], [x.split()[0] for x in ANCHOR.split(", ")])
 
