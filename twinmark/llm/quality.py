@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\f\r"
 LINE_SHARE = 0.05
 #: ... and in more than this many of them.
 LINE_DOCS = 20
-#: Lines of this many words or more need no share in the pipeline: prose does not repeat them by chance.
+#: Lines of this many words or more need no share: prose does not repeat them by chance.
 LONG_WORDS = 8
 #: A document is depleted if less than this share of its words is left, or fewer words than this.
 LEFT_SHARE = 0.3
@@ -80,13 +80,14 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("_key"), F.length(t).alias("_len")]
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", long_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", long_words: int | None = LONG_WORDS) -> tuple[DataFrame, DataFrame]:
     """The line table, and the lines above their host's limits.
 
     First: (host, _key, _len, line, words), a row for each distinct line of each distinct text of a host;
     ``words`` adds up the words of its repetitions.  Second: (host, line).  Equal texts count as one
     document, so copies of a clean document do not turn its lines into boilerplate.  A null host is a
-    host of its own.  Lines of ``long_words`` or more are judged by their documents alone, not by the share.
+    host of its own.  Lines of ``long_words`` or more are judged by their documents alone, not by the share
+    (None: all lines need the share).
     """
     once = lambda c: [] if long_words is None else [F.max(c).alias("once")]
     each = F.transform("_n", lambda x: F.struct(F.xxhash64(x).alias("line"), (_blanks(x) + 1).alias("words")))
@@ -117,7 +118,7 @@ def _depleted() -> Column:
     return F.coalesce(few, F.lit(False))
 
 
-def rate(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+def rate(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, depleted, kept.
 
     Null text has no words and fails the base rule; a null id is kept as it is; repeated rows each get a
@@ -126,16 +127,18 @@ def rate(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: st
     base = docs.select(F.col(doc_id).alias("doc_id"), _host(host), F.col(text).alias("text"), *text_key(F.col(text)))
     # Stored: a filter on the result must not be pushed into the array expressions and repeated for each element.
     rated = stored(measures(base, "text"), "measures")
-    out = rated.join(cut_texts(*frequent_lines(docs, host, text)).drop("cut"), KEY, "left").withColumn("depleted", _depleted())
+    out = rated.join(cut_texts(*frequent_lines(docs, host, text, long_words)).drop("cut"), KEY, "left").withColumn("depleted", _depleted())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted",
                       (~F.col("base_failed") & ~F.col("depleted")).alias("kept"))
 
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: str = "n_chars", long_words: int | None = None) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", text: str = "text", n_chars: str = "n_chars", long_words: int | None = LONG_WORDS) -> DataFrame:
     """The documents that are kept, without the lines above their host's limits; columns as in ``docs``.
 
     A document without such lines keeps its text untouched.  Verdicts are made once for each distinct
-    text of a host and joined to the documents.
+    text of a host and joined to the documents.  Null, empty and wordless texts fail the base rule and go; a
+    null id or host is kept as it is; repeated rows share their text's verdict; an empty table gives an
+    empty result; other columns are passed on, whatever their names.
     """
     names = docs.columns
     base = docs.select(_host(host), F.col(text).alias("text"), *text_key(F.col(text)))
@@ -173,7 +176,7 @@ RATE_SQL = f"""WITH d AS (
 ), above AS (
   SELECT c.host, c.line FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines WHERE line <> '' GROUP BY host, line) c
   JOIN (SELECT host, count(*) AS texts FROM texts GROUP BY host) h ON h.host = c.host
-  WHERE docs > {LINE_DOCS} AND docs > texts * CAST({LINE_SHARE} AS DOUBLE)
+  WHERE docs > {LINE_DOCS} AND (docs > texts * CAST({LINE_SHARE} AS DOUBLE) OR length(c.line) - length(replace(c.line, ' ', '')) + 1 >= {LONG_WORDS})
 ), cut AS (
   SELECT l.host, l.text, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS al,
     sum(CASE WHEN a.line IS NULL THEN length(l.line) - length(replace(l.line, ' ', '')) + 1 ELSE 0 END) AS rest

@@ -63,9 +63,9 @@ def op7_language_model(spark, sf_dir):
 
 
 def op8_secrets(spark, sf_dir):
-    """Owners are sources; their repositories are a source's languages."""
+    """Owners are sources; a repository is a distinct text, so a value copied all over one hot source is an example."""
     docs = table(spark, sf_dir, "documents")
-    found = secret_scan.scan(docs, F.col("source"), F.struct("source", "lang"))
+    found = secret_scan.scan(docs, F.col("source"), secret_scan.text_key(F.col("text")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
 
 

@@ -208,3 +208,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, doc_id
     labels = components(links(nodes, distance, plan(nodes, distance)), "a", "b")
     named = nodes.join(labels, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "bits", "left").select("doc_id", "bits", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, then of the least text hash.
+
+    Groups go by the texts, so rows with a repeated or null id follow their own text; a null id is the last
+    choice; of rows equal in id and text one stays.  Null, empty and wordless texts are copies of each
+    other; an empty table gives an empty result; other columns are passed on, whatever their names.
+    """
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    keyed = docs.select(row, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    groups = near_duplicates(keyed, shingle, distance, doc_id="key", text="text").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    own = keyed.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    best = own.join(groups, "key").groupBy("component_id").agg(F.min(F.struct("first", "key")).alias("best")).select("best.key", F.col("best.first.id").alias("id"))
+    kept = keyed.select("row", "key", "id").join(best.select(F.col("key").alias("_key"), F.col("id").alias("_id")), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["key"]).select(*[F.col("row")[c].alias(c) for c in names])
