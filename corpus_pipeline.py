@@ -25,18 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Long lines are judged by the number of their documents alone, however large the host is.
     """
-    return quality.clean(docs, long_words=quality.LONG_WORDS)
+    return quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group; a repeated id stays once.
-
-    Documents without an id can name no group, and stay.
-    """
-    groups = simhash.near_duplicates(docs, shingle=3, distance=2)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group stays: that of the smallest id; groups go by text, whatever the ids are."""
+    return simhash.keep_one(docs, shingle=3, distance=2)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +38,7 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A repository is a distinct text, so a value copied all over one hot source is told from a live one.
     """
-    return secret_scan.mask(docs, F.col("source"), secret_scan.text_key(F.col("text")), repositories=secret_scan.LIVE_REPOSITORIES)
+    return secret_scan.mask(docs, F.col("source"), secret_scan.text_key(F.col("text")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
