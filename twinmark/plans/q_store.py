@@ -12,8 +12,10 @@ from ..operators import sampling as SM
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import pairs as P
 from ..sources import smat as SMT
+from ..sources import smat_source as SRC
 from ..sources import textfiles as TF
 from ..sources.lines import write_lines
+from ..sources.store import FeatureStore, identity
 from ..sources.tables import table
 from .catalog import query
 from .q_corpus import BASE
@@ -51,6 +53,37 @@ def smat_roundtrip(spark, sf):
     return out.drop("row_missing")
 
 
+@query("smat_source_roundtrip", SMAT_SQL, ("S7", "S8", "S10", "S11", "S12", "D4"))
+def smat_source_roundtrip(spark, sf):
+    """The same matrices through the data source: a dense and a sparse one written, read by stretches and stacked."""
+    t = X.tokenise(P.conv_pairs(spark, sf), CK)
+    f = cut_lineage(SM.dense_ids(cut_lineage(t.select(*CK, X.word_match_share(), *X.length_columns()).orderBy(*CK)), "row_id"))
+    folder = scratch(spark, "smat-source")
+    SRC.write_matrix(f, f"{folder}/WordMatchShare.smat", ["word_match_share"])
+    SRC.write_matrix(f, f"{folder}/Length.smat", LEN_COLS, sparse=True)
+    one, many = SRC.read_matrix(spark, f"{folder}/WordMatchShare.smat", "WordMatchShare"), SRC.read_matrix(spark, f"{folder}/Length.smat", "Length")
+    return SM.merge_cols(one, many, ["row_id"], strict=True)
+
+
+STACK_SQL = with_views(f"""SELECT conv_id, turn, {WMS_SQL} AS word_match_share, {LEN_SQL} FROM tok""", cp=CONV_PAIRS, tok0=TOK, tok=TOK_SW)
+#: Buckets of the stored features.
+BUCKETS = 8
+
+
+@query("stacked_features", STACK_SQL, ("D4", "E10", "X3", "X4", "S17"))
+def stacked_features(spark, sf):
+    """E10 from a store: each group of features made once from its input, kept in buckets by pair, and stacked without a shuffle."""
+    pairs = P.conv_pairs(spark, sf)
+    of = identity(pairs)
+    store = FeatureStore(spark, scratch(spark, "store"), CK, BUCKETS)
+    t = X.tokenise(pairs, CK)
+    lengths = X.length_columns()
+    groups = [("WordMatchShare", [X.word_match_share()]), *[(f"Length{i // 2}", lengths[i:i + 2]) for i in range(0, len(lengths), 2)]]
+    for name, columns in groups:
+        store.get(name, of, lambda columns=columns: t.select(*CK, *columns))
+    return store.stack([(name, of) for name, _ in groups])
+
+
 VEC_SQL = f"""WITH {BASE}
 SELECT word, round(list_reduce(list_transform(vec, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b, 0.0), 6) AS vec_sum,
        CAST(len(vec) AS BIGINT) AS dim FROM wv"""
