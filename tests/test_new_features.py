@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from twinmark.operators import extractors as XT
 from twinmark.operators import features as X
+from twinmark.operators import interact as I
 from twinmark.operators import matching as M
+from twinmark.operators import neighbors as N
+from twinmark.operators import stats as ST
 from twinmark.sources import smat as SMT
 from twinmark.sources import smat_source as SRC
 from twinmark.sources.store import FeatureStore, identity
@@ -22,7 +25,8 @@ from twinmark.sources.tables import TABLES
 from .conftest import SF
 
 
-@pytest.mark.parametrize("name", ["fuzzy_words", "near_duplicates_minhash", "python_features", "smat_source_roundtrip", "stacked_features"])
+@pytest.mark.parametrize("name", ["fuzzy_words", "near_duplicates_minhash", "python_features", "smat_source_roundtrip", "stacked_features",
+                                  "aggregate_modes", "length_quantiles", "blocked_dots", "doc_pairs"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -204,3 +208,56 @@ def test_an_entry_belongs_to_its_input(spark, tmp_path):
     for df in (one, one, two, one):
         assert store.get("f", identity(df), lambda: build(df)).count() == df.count()
     assert len(built) == 2  # changed data is made anew, the same is read
+
+
+# ---------------------------------------------------------------- rank selection
+
+@pytest.mark.parametrize("buckets", [2, 7, 4096])
+def test_quantiles_of_one_large_group_with_ties(spark, buckets):
+    rng = random.Random(buckets)
+    values = [rng.choice([0.0, 1.0, 1.0, -5.5, rng.random(), rng.random() * 1e9, -1e-300]) for _ in range(400)]
+    rows = [("hot", v) for v in values] + [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None), (None, 4.0), (None, 6.0)]
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.g: tuple(r)[1:] for r in ST.exact_quantiles(spark.createDataFrame(rows, "g string, x double"), "x", shares, ["g"], buckets=buckets).collect()}
+    assert np.allclose(got["hot"], np.quantile(values, shares), rtol=1e-12, atol=0)
+    assert got["one"] == (3.25,) * 5 and got["same"] == (2.0,) * 5 and got[None][2] == 5.0 and "none" not in got
+
+
+def test_quantiles_of_odd_values_and_all_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(x,) for x in (inf, -inf, nan, 1.0, 2.0, 1.7e308, -1.7e308, 5e-324, 0.0)], "x double")
+    got = ST.exact_quantiles(rows, "x", [i / 8 for i in range(9)]).first()
+    assert tuple(got)[:8] == (-inf, -1.7e308, 0.0, 5e-324, 1.0, 2.0, 1.7e308, inf) and np.isnan(got[8])
+    assert ST.exact_quantiles(rows.limit(0), "x", [0.5], None).count() == 0
+    both = ST.aggregate(spark.createDataFrame([("a", [1.0, 4.0, 10.0]), ("b", None)], "g string, v array<double>"), "v", ["size", "median"], by=["g"])
+    assert {tuple(r) for r in both.collect()} == {("a", 3, 4.0)}
+    assert ST.aggregate(rows.filter("x > 0 and x < 10"), "x", "median", exact_median=False).columns == ["x_median"]
+
+
+# ---------------------------------------------------------------- previous row, blocks of dimensions
+
+def test_previous_row_for_random_ids_needs_few_blocks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.getrandbits(63) - (1 << 62)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    want, last = {}, {}
+    for g, k in sorted(rows, key=lambda r: r[1]):
+        want[g, k], last[g] = last.get(g), k
+    assert {(r.g, r.k): r.prev for r in N.previous_in_group(df, "g", "k", partitions=9).collect()} == want
+    ranged = N.range_sorted(df, ["g", "k"], 9)
+    assert N.handed_on(ranged, "g", "k").count() <= 9 + 3
+    assert max(r["count"] for r in ranged.groupBy("part").count().collect()) < 700  # the hot group is cut
+
+
+def test_blocked_products_are_plain_dot_products(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(20, 37)), rng.normal(size=(20, 37))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(99, None), (98, [])], "id long, v array<double>")
+    right = spark.createDataFrame([(i, d, float(x)) for i, v in enumerate(b) for d, x in enumerate(v) if d % 5], "id long, d int, x double")
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(20)] + [(99, 0), (0, 77)], "p long, q long")
+    one, two = I.blocks(left, "id", "v", 8), I.blocks_from_cells(right, "id", "d", "x", 8)
+    assert one.filter("size(values) > 8").count() == 0 and two.filter("size(values) != 8").count() == 0
+    got = {(r.p, r.q): r.dot for r in I.blocked_dots(pairs, one, two, "p", "q", "id").collect()}
+    b[:, ::5] = 0
+    assert len(got) == 402 and got[99, 0] == got[0, 77] == 0.0
+    assert all(abs(got[i, j] - a[i] @ b[j]) < 1e-9 for i in range(20) for j in range(20))

@@ -17,7 +17,7 @@ def test_previous_in_group_matches_lag(spark):
     rnd = random.Random(1)
     rows = [(rnd.choice(["a", "b", "c"]), i) for i in rnd.sample(range(500), 200)]
     df = spark.createDataFrame(rows, "g string, k long")
-    got = {(r.g, r.k): r.prev for r in N.previous_in_group(df, "g", "k", block_bits=3).collect()}
+    got = {(r.g, r.k): r.prev for r in N.previous_in_group(df, "g", "k", partitions=7).collect()}
     ref = {(r.g, r.k): r.prev for r in df.withColumn("prev", F.lag("k").over(Window.partitionBy("g").orderBy("k"))).collect()}
     assert got == ref
 

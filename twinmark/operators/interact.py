@@ -235,3 +235,36 @@ def pair_vectors(sv: DataFrame, keys: list[str], kind: str = "mean") -> DataFram
 def vec_sum(v) -> Column:
     """Left-to-right sum of an array (checksums for the oracle)."""
     return F.aggregate(F.col(v) if isinstance(v, str) else v, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+
+# ------------------------------------------------------------------ vectors of many dimensions
+
+def blocks(vectors: DataFrame, key: str, vec: str, size: int) -> DataFrame:
+    """(key, block, values): each vector cut into stretches of ``size`` dimensions, one to a row."""
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(vec), F.lit(1)) - 1) / size).cast("int")), lambda b: F.struct(
+        b.alias("block"), F.slice(vec, b * size + 1, F.lit(size)).cast("array<double>").alias("values")))
+    return vectors.where(F.col(vec).isNotNull()).select(key, F.explode(cuts).alias("c")).select(key, "c.block", "c.values")
+
+
+def blocks_from_cells(cells: DataFrame, key: str, dim: str, value: str, size: int) -> DataFrame:
+    """``blocks`` from long form (key, dim, value), absent cells 0: no row ever holds a whole vector."""
+    block = F.floor(F.col(dim) / size).cast("int")
+    held = cells.select(key, block.alias("block"), F.struct((F.col(dim) - block * size).cast("int").alias("d"), F.col(value).cast("double").alias("x")).alias("c"))
+    found = held.groupBy(key, "block").agg(F.map_from_entries(F.collect_list("c")).alias("m"))
+    at = F.sequence(F.lit(0), F.lit(size - 1))
+    return found.select(key, "block", F.transform(at, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("values"))
+
+
+def blocked_dots(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, key: str) -> DataFrame:
+    """M1 for vectors of any dimension: (a, b, dot) for each row of ``pairs`` (a, b).
+
+    ``left`` and ``right`` hold (key, block, values).  A pair meets its vectors block by block; the partial
+    products of the blocks are summed by an aggregate, map-side first.  A vector without a row for a block is
+    0 there; a pair with a vector that is not there at all has dot 0.
+    """
+    one = left.select(F.col(key).alias(a), "block", F.col("values").alias("_x"))
+    two = right.select(F.col(key).alias(b), "block", F.col("values").alias("_y"))
+    met = pairs.select(a, b).join(one, a).join(two, [b, "block"])
+    product = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    summed = met.select(a, b, product.alias("_p")).groupBy(a, b).agg(F.sum("_p").alias("dot"))
+    return pairs.select(a, b).join(summed, [a, b], "left").select(a, b, F.coalesce("dot", F.lit(0.0)).alias("dot"))

@@ -1,15 +1,15 @@
-"""Previous row within a group, without a one-task-per-group window.
+"""Previous row within a group, for any key, without a one-task-per-group window.
 
 ``lag(order) OVER (PARTITION BY group ORDER BY order)`` puts a whole group into one task; with a
-group holding a third of all rows that task is the job.  Here the ordering key is cut into blocks of
-``2**block_bits`` values:
+group holding a third of all rows that task is the job.  Here rows are range-partitioned and sorted by
+(group, order), which cuts a large group into as many partitions as it fills, whatever its keys look like:
 
-1. ``lag`` inside each (group, block): partitions hold at most one block of keys;
-2. per (group, block) the maximum key, a table ``blocks/2**block_bits`` times smaller, and ``lag``
-   over it gives the last key of the nearest earlier block;
-3. the first row of a block takes that value.
+1. ``lag`` inside each (partition, group), so a task sorts one partition's rows at most;
+2. the last key of each (partition, group), a row or two for each partition, is handed on to the
+   next partition that holds the group;
+3. the first row of a partition's group takes that key.
 
-Exact for integer order keys, and only the narrow (group, key) columns are shuffled.
+Only the narrow (group, key) columns are shuffled; equal keys stay in one partition.
 """
 
 from __future__ import annotations
@@ -17,16 +17,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def previous_in_group(df: DataFrame, group: str, order: str, block_bits: int = 16,
-                      out: str = "prev") -> DataFrame:
-    """Return ``(group, order, out)`` where ``out`` is the previous ``order`` value in the group."""
-    keys = df.select(group, order).withColumn("_blk", F.shiftright(F.col(order), block_bits))
-    inner = keys.withColumn(
-        "_prev_local", F.lag(order).over(Window.partitionBy(group, "_blk").orderBy(order)))
-    block_max = keys.groupBy(group, "_blk").agg(F.max(order).alias("_bmax"))
-    prev_block = block_max.withColumn(
-        "_prev_block", F.lag("_bmax").over(Window.partitionBy(group).orderBy("_blk"))
-    ).select(group, "_blk", "_prev_block")
-    return (inner.join(prev_block, [group, "_blk"], "left")
-            .select(group, order, F.coalesce("_prev_local", "_prev_block").alias(out)))
+
+def range_sorted(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` sorted by ``keys`` over all partitions, stored, with ``part``: the partition's place in that order."""
+    dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return cut_lineage(dealt.sortWithinPartitions(*keys)).withColumn("part", F.spark_partition_id())
+
+
+def handed_on(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """(part, group, carried): the last key of the group in the partitions before; a row for each partition and group."""
+    last = rows.groupBy("part", group).agg(F.max(order).alias("_last"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("part", group, F.max("_last").over(before).alias("carried"))
+
+
+def previous_in_group(df: DataFrame, group: str, order: str, out: str = "prev", partitions: int | None = None) -> DataFrame:
+    """Return ``(group, order, out)`` where ``out`` is the previous ``order`` value in the group; null keys are left out."""
+    rows = range_sorted(df.select(group, order).where(F.col(order).isNotNull()), [group, order], partitions)
+    inner = rows.withColumn("_own", F.lag(order).over(Window.partitionBy("part", group).orderBy(order)))
+    carry = handed_on(rows, group, order).select(F.col("part").alias("_part"), F.col(group).alias("_group"), "carried")
+    both = inner.join(carry, (F.col("part") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")), "left")
+    return both.select(group, order, F.coalesce("_own", "carried").alias(out))

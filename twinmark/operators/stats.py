@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import distance as D
 from ..session import cut_lineage
@@ -22,7 +23,7 @@ def _modes(modes) -> list[str]:
     return out
 
 
-def mode_column(mode: str, x: str, exact_median: bool = True) -> Column:
+def mode_column(mode: str, x: str) -> Column:
     c = F.col(x).cast("double")
     return {
         "size": F.count(c),
@@ -30,23 +31,81 @@ def mode_column(mode: str, x: str, exact_median: bool = True) -> Column:
         "std": F.stddev_pop(c),
         "max": F.max(c),
         "min": F.min(c),
-        # exact median keeps one counter per distinct value of a group; percentile_approx is
-        # the bounded-memory choice for high-cardinality values in a hot group
-        "median": F.median(c) if exact_median else F.percentile_approx(c, 0.5, 10000),
+        "median": F.percentile_approx(c, 0.5, 10000),  # bounded memory; the exact one is ``exact_quantiles``
     }[mode]
 
 
 def aggregate(df: DataFrame, x: str, modes, by: list[str] | None = None, exact_median: bool = True) -> DataFrame:
     """Size, mean, std (population), max, min, median of ``x``, per group when ``by`` is given.
 
-    An array column is exploded first.  All but the exact median combine map-side (partial
-    aggregation), so a hot group costs no more than a cold one.
+    An array column is exploded first.  All combine map-side (partial aggregation), so a hot group costs
+    no more than a cold one; the exact median is selected by rank (``exact_quantiles``).
     """
     ms = _modes(modes)
-    if isinstance(df.schema[x].dataType, __import__("pyspark.sql.types", fromlist=["ArrayType"]).ArrayType):
-        df = df.select(*(by or []), F.explode(x).alias(x))
-    g = df.groupBy(*by) if by else df
-    return g.agg(*[mode_column(m, x, exact_median).alias(f"{x}_{m}") for m in ms])
+    by = list(by or [])
+    if isinstance(df.schema[x].dataType, ArrayType):
+        df = df.select(*by, F.explode(x).alias(x))
+    plain = [m for m in ms if m != "median" or not exact_median]
+    out = (df.groupBy(*by) if by else df).agg(*[mode_column(m, x).alias(f"{x}_{m}") for m in plain] or [F.count(F.lit(1)).alias("_n")])
+    if len(plain) == len(ms):
+        return out
+    half = exact_quantiles(df, x, [0.5], by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("q0").alias(f"{x}_median"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out.join(half, same, "left").select(*by, *[f"{x}_{m}" for m in ms])
+
+
+def _bucket(x: Column, low: Column, high: Column, buckets: int) -> Column:
+    """A bucket that never goes down as x goes up: the infinities and NaN (last) have their own."""
+    step = high / buckets - low / buckets
+    step = F.when(step > 0, step).otherwise(high - low)
+    inner = F.when(high > low, F.least(F.greatest(F.floor((x - low) / step), F.lit(0)), F.lit(buckets - 1))).otherwise(F.lit(0))
+    return (F.when(F.isnan(x), F.lit(buckets + 1)).when(x == float("inf"), F.lit(buckets)).when(x == float("-inf"), F.lit(-1)).otherwise(inner)).cast("int")
+
+
+def exact_quantiles(df: DataFrame, x: str, shares: list[float], by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
+    """(by.., q0, q1, ..): the quantiles of ``x`` at ``shares`` for each group, exact, interpolated between neighbours.
+
+    Selection by rank: a histogram of every group's range (one partial aggregate) tells the bucket of each
+    wanted rank; only rows of such buckets go on, in ranges narrowed to what the bucket holds, until a bucket
+    has one value.  Ranges narrow ``buckets`` times a pass, and equal values end it at once, so a group of any
+    size, ties included, is never gathered in one task.  Nulls are left out; a group of nulls has none; NaN is
+    the largest value.
+    """
+    by = list(by or [])
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = cut_lineage(df.select(key.alias("k"), F.lit(0).alias("part"), F.col(x).cast("double").alias("x")).where(F.col("x").isNotNull()))
+    finite = F.when(~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))
+    groups = cut_lineage(rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high")))
+    place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    ranks = [F.struct(F.lit(2 * i + j).alias("t"), f(place(q)).cast("long").alias("r")) for i, q in enumerate(shares) for j, f in enumerate((F.floor, F.ceil))]
+    targets = groups.select("k", "part", F.explode(F.array(*ranks)).alias("w")).select("k", "part", "w.t", "w.r")
+    ranges, found = groups.select("k", "part", "low", "high"), None
+    while True:
+        placed = rows.join(ranges, ["k", "part"]).select("k", "part", "x", _bucket(F.col("x"), F.col("low"), F.col("high"), buckets).alias("bucket"))
+        cells = placed.groupBy("k", "part", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        up_to = Window.partitionBy("k", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # ``buckets`` + 3 rows at most
+        cells = cells.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
+        hit = targets.join(cells, ["k", "part"]).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n")))
+        hit = cut_lineage(hit.select("k", "part", "t", (F.col("r") - F.col("before")).alias("r"), "bucket", "low", "high"))
+        one = F.col("low") == F.col("high")  # in Spark, NaN equals NaN
+        done = hit.where(one).select("k", "t", F.col("low").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        left = hit.where(~one)
+        if left.isEmpty():
+            break
+        chosen = left.groupBy("k", "part", "bucket").agg(F.min("t").alias("next"), F.first("low").alias("low"), F.first("high").alias("high"))
+        rows = cut_lineage(placed.join(chosen.select("k", "part", "bucket", "next"), ["k", "part", "bucket"]).select("k", F.col("next").alias("part"), "x"))
+        targets = left.join(chosen.select("k", "part", "bucket", "next"), ["k", "part", "bucket"]).select("k", F.col("next").alias("part"), "t", "r")
+        ranges = chosen.select("k", F.col("next").alias("part"), "low", "high")
+    at = groups.select("k", "n")
+    each = found.groupBy("k").agg(*[F.max(F.when(F.col("t") == t, F.col("v"))).alias(f"v{t}") for t in range(2 * len(shares))]).join(at, "k")
+    def between(i):
+        low, high, share = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), place(shares[i]) - F.floor(place(shares[i]))
+        return F.when(low == high, low).otherwise(low + (high - low) * share).alias(f"q{i}")
+
+    return each.select(*[F.col("k")[c].alias(c) for c in by], *[between(i) for i in range(len(shares))])
 
 
 def corr_with_label(x, y) -> Column:

@@ -9,7 +9,9 @@ from ..operators import corpus as C
 from ..operators import features as X
 from ..operators import interact as I
 from ..operators import stacking as SK
+from ..session import cut_lineage
 from ..sources import pairs as P
+from ..sources.tables import table
 from .catalog import query
 from .q_corpus import BASE, KEYS, prepared, sequences_of
 
@@ -214,3 +216,19 @@ def assembled_features(spark, sf):
     arr = vector_to_array("features")
     return a.select("pair_id", F.size(arr).cast("long").alias("n_features"),
                     F.round(I.vec_sum(arr), 6).alias("feature_sum"))
+
+
+#: Dimensions of a block.
+BLOCK = 16
+BLOCKED_SQL = """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+
+
+@query("blocked_dots", BLOCKED_SQL, ("M1 (large d)",))
+def blocked_dots(spark, sf):
+    """M1 by blocks of dimensions: each embedding with the next one, no row holding more than one block."""
+    v = table(spark, sf, "embeddings", "vec_id", "embedding")
+    cut = cut_lineage(I.blocks(v, "vec_id", "embedding", BLOCK))
+    ids = v.select(F.col("vec_id").alias("a"))
+    pairs = ids.join(ids.select((F.col("a") - 1).alias("a")), "a").select("a", (F.col("a") + 1).alias("b"))
+    return I.blocked_dots(pairs, cut, cut, "a", "b", "vec_id").select("a", "b", F.round("dot", 6).alias("dot"))

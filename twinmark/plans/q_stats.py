@@ -29,6 +29,18 @@ def aggregate_modes(spark, sf):
                       "value_max", "value_min", "value_median")
 
 
+QUANTILES = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
+QUANTILE_SQL = f"""SELECT source, {', '.join(f'round(quantile_cont(CAST(n_chars AS DOUBLE), {q}), 6) AS q{i}' for i, q in enumerate(QUANTILES))}
+FROM documents GROUP BY source"""
+
+
+@query("length_quantiles", QUANTILE_SQL, ("G4 (quantiles)",))
+def length_quantiles(spark, sf):
+    """Exact quantiles of the texts' lengths by source, selected by rank; one source holds a third of them."""
+    out = ST.exact_quantiles(table(spark, sf, "documents", "source", "n_chars"), "n_chars", list(QUANTILES), ["source"])
+    return out.select("source", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(len(QUANTILES))])
+
+
 CORR_SQL = """SELECT round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0.0), 0.0), 6) AS corr_chars,
   round(coalesce(covar_pop(t, y) / nullif(stddev_pop(t) * stddev_pop(y), 0.0), 0.0), 6) AS corr_toxic,
   round(coalesce(covar_pop(c, y) / nullif(stddev_pop(c) * stddev_pop(y), 0.0), 0.0), 6) AS corr_const
