@@ -14,8 +14,9 @@ at equal places, and the windows of one anchor follow one another, so a row for
    and as ties are in the order of places, that is the suffix just before it.  In the same way, the suffix
    just behind it is a later copy.
 
-Groups of rows that are cut by the edge of a task, or too many for its memory, are counted by Spark's
-aggregates and joined instead, so a passage may stand in any share of all documents.
+Groups that are cut by the edge of a task, or too many for its memory, are done piece by piece; one row for
+each content or window of a piece is then counted by Spark's aggregates and joined, so a passage may stand
+in any share of all documents.
 """
 
 from __future__ import annotations
@@ -177,9 +178,6 @@ def copies(anchored: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *batch.columns, pa.array(m.astype(np.int64))], ["kind", *names, "m"])
 
         for whole, batch in whole_groups(batches, "g", lambda b: b.num_rows, HELD_ROWS, HELD_ROWS // 4):
-            if not whole:
-                yield rows(2, batch, np.zeros(batch.num_rows))
-                continue
             own, first, n, several = _runs(batch)
             copied = np.flatnonzero(n[own] > 1)
             origin = first[own[copied]]
@@ -188,16 +186,16 @@ def copies(anchored: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                 v = batch.column(x).to_numpy()
                 same &= v[copied] == v[origin]
             yield rows(0, batch.take(pa.array(copied)), ~same)
-            some = first[several]
-            yield rows(1, batch.take(pa.array(some)), n[several])
+            some = several if whole else np.ones(len(first), bool)
+            yield rows(1 if whole else 2, batch.take(pa.array(first[some])), n[some])
 
     found = stored(placed.mapInArrow(run, f"kind int, {ANCHOR}, m long"), "copies")
     spans = found.filter("kind = 0").select(*PLACE, "lo", "w", (F.col("m") > 0).alias("later"))
     contents = found.filter("kind = 1").select(*names, "m")
-    edge = found.filter("kind = 2").select(*names)
+    edge = found.filter("kind = 2").select(*names, "m")  # a row for each content and task
     place = F.struct(*PLACE, "lo")
-    counted = stored(edge.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(place.alias("place"), "w", "off")).alias("first")), "edges")
-    again = edge.join(counted.filter("m > 1").select("g", "c", "first.place"), ["g", "c"]).select(*PLACE, "lo", "w", (place != F.col("place")).alias("later"))
+    counted = stored(edge.groupBy("g", "c").agg(F.sum("m").alias("m"), F.min(F.struct(place.alias("place"), "w", "off")).alias("first")), "edges")
+    again = edge.join(counted.filter("m > 1").select("g", "c", F.col("first.place").alias("place")), ["g", "c"]).select(*PLACE, "lo", "w", (place != F.col("place")).alias("later"))
     several = counted.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
     more = counted.join(several, "g").select("g", "c", "first.place.id", "first.place.h", "first.place.n", "first.place.lo", "first.w", "first.off", "m")
     return spans.unionByName(again), contents.unionByName(more)
@@ -270,15 +268,6 @@ def partial_copies(docs: DataFrame, contents: DataFrame, length: int) -> DataFra
         import xxhash
 
         for whole, batch in whole_groups(slices(batches, 4_096), "g", lambda b: pc.sum(pc.binary_length(b.column("body"))).as_py() or 0, HELD_BYTES, SORTED_BYTES):
-            if not whole:  # windows are counted by Spark
-                for row in batch.to_pylist():
-                    digest = b"".join(xxhash.xxh3_128_digest(row["body"][i:i + length]) for i in range(row["w"]))
-                    xy, k = np.frombuffer(digest, "<i8").reshape(-1, 2), row["w"]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row[x]] * k, t) for x, t in (("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()))]
-                        + [pa.array(np.arange(row["lo"], row["lo"] + k, dtype=np.int32)), pa.array([1] * k, pa.int32()), pa.array([False] * k),
-                           pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array([row["m"]] * k, pa.int64())], [x.split()[0] for x in SPAN.split(", ")])
-                continue
             doc = pa.RecordBatch.from_struct_array(batch.select([*PLACE, "lo"]).to_struct_array())
             order = pc.sort_indices(doc, sort_keys=[(x, "ascending") for x in (*PLACE, "lo")])
             batch = batch.take(order)
@@ -297,6 +286,14 @@ def partial_copies(docs: DataFrame, contents: DataFrame, length: int) -> DataFra
             previous, following = factors(text, start + (np.cumsum(size) - size)[row], length)
             yield _spans(doc, row, start, previous, True)
             yield _spans(doc, row, start, previous | following, False)
+            if not whole:  # each window once, to be counted by Spark over all tasks
+                at = np.flatnonzero(~previous)
+                bodies, many = batch.column("body").to_pylist(), batch.column("m").to_numpy()
+                digest = b"".join(xxhash.xxh3_128_digest(bodies[r][i:i + length]) for r, i in zip(row[at].tolist(), start[at].tolist()))
+                xy, own, k = np.frombuffer(digest, "<i8").reshape(-1, 2), doc.take(pa.array(row[at])), len(at)
+                lo = pa.array((own.column("lo").to_numpy() + start[at]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("h"), own.column("n"), lo, pa.array(np.ones(k, np.int32)), pa.array([False] * k), pa.array(xy[:, 0]),
+                                                  pa.array(xy[:, 1]), pa.array(np.where(following[at], 2, many[row[at]]).astype(np.int64))], [x.split()[0] for x in SPAN.split(", ")])
 
     found = stored(bodies.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, SPAN), "factors")
     spans = [*PLACE, "lo", "w", "later"]
