@@ -74,7 +74,7 @@ def test_dedup_is_that_of_all_strings(spark, keep, length):
 def test_passages_of_any_share_are_counted_by_spark(spark, monkeypatch, keep):
     """Groups beyond a task's memory, and those at its edges, give the same rows."""
     monkeypatch.setattr(suffix, "HELD_ROWS", 5)
-    monkeypatch.setattr(suffix, "HELD_BYTES", 400)
+    monkeypatch.setattr(suffix, "HELD_CONTENTS", 3)
     texts = passages(7)
     assert got_dedup(rows(spark, texts).repartition(3), keep, 60) == plain_dedup([(i, t.encode()) for i, t in enumerate(texts)], keep, 60)
 

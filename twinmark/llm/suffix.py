@@ -14,9 +14,9 @@ at equal places, and the windows of one anchor follow one another, so a row for
    and as ties are in the order of places, that is the suffix just before it.  In the same way, the suffix
    just behind it is a later copy.
 
-Groups that are cut by the edge of a task, or too many for its memory, are done piece by piece; one row for
-each content or window of a piece is then counted by Spark's aggregates and joined, so a passage may stand
-in any share of all documents.
+Groups that are cut by the edge of a task, or too large for it, are done piece by piece; one row for each
+content or window of a piece is then counted by Spark's aggregates and joined, so a passage may stand in any
+share of all documents.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ LENGTH, GRAM = 200, 32
 SEED = 42
 #: Windows of a text that are hashed at once.
 BLOCK = 1 << 20
-#: Rows of one gram, and bytes of contents, that a task holds at most before Spark counts them instead.
-HELD_ROWS, HELD_BYTES = 200_000, 4 << 20
+#: Rows of one gram that a task holds at most, and contents of one gram that it compares at once (some 2 MB).
+HELD_ROWS, HELD_CONTENTS = 200_000, 4_096
 #: Bytes whose suffixes are sorted at once.
 SORTED_BYTES = 2 << 20
 PLACE = ["id", "h", "n"]
@@ -110,13 +110,13 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(*PLACE, "text").mapInArrow(run, ANCHOR)
 
 
-def whole_groups(batches, key: str, weight, most: int, least: int):
+def whole_groups(batches, key: str, weight, most: float, least: int, edges: bool):
     """Pieces of rows sorted by ``key``: (True, all rows of one or more keys) or (False, rows of a key that may go on elsewhere).
 
-    The first and the last key of a task may go on in another one, and a key of more than ``most`` (as
-    ``weight`` counts rows) is not held; other keys are gathered up to ``least``.
+    With ``edges`` the first and the last key of a task may go on in another one, and a key of more than
+    ``most`` (as ``weight`` counts rows) is not held; other keys are gathered up to ``least``.
     """
-    rest, first, open_key = None, True, None
+    rest, first, open_key = None, edges, None
     for batch in batches:
         rest = batch if rest is None else pa.concat_batches([rest, batch])
         keys = rest.column(key).to_numpy()
@@ -144,10 +144,11 @@ def whole_groups(batches, key: str, weight, most: int, least: int):
             rest = None
     if rest is not None:
         keys = rest.column(key).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
+        last = int(np.searchsorted(keys, keys[-1])) if edges else rest.num_rows
         if last:
             yield True, rest.slice(0, last)
-        yield False, rest.slice(last)
+        if edges:
+            yield False, rest.slice(last)
 
 
 def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -177,7 +178,7 @@ def copies(anchored: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             n = batch.num_rows
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *batch.columns, pa.array(m.astype(np.int64))], ["kind", *names, "m"])
 
-        for whole, batch in whole_groups(batches, "g", lambda b: b.num_rows, HELD_ROWS, HELD_ROWS // 4):
+        for whole, batch in whole_groups(batches, "g", lambda b: b.num_rows, HELD_ROWS, HELD_ROWS // 4, True):
             own, first, n, several = _runs(batch)
             copied = np.flatnonzero(n[own] > 1)
             origin = first[own[copied]]
@@ -254,20 +255,23 @@ def partial_copies(docs: DataFrame, contents: DataFrame, length: int) -> DataFra
         for batch in slices(batches):
             parts = batch.column(4)
             at = parts.value_parent_indices()
-            g, lo, w, m = parts.flatten().flatten()
+            s, split, lo, w, m = parts.flatten().flatten()
             texts = batch.column(3).to_pylist()
             body = [texts[i][a:a + n - 1 + length] for i, a, n in zip(at.to_pylist(), lo.to_pylist(), w.to_pylist())]
             own = batch.select([0, 1, 2]).take(at)
-            yield pa.RecordBatch.from_arrays([g, *own.columns, lo, w, m, pa.array(body, pa.binary())], ["g", *PLACE, "lo", "w", "m", "body"])
+            yield pa.RecordBatch.from_arrays([s, split, *own.columns, lo, w, m, pa.array(body, pa.binary())], ["s", "split", *PLACE, "lo", "w", "m", "body"])
 
-    needed = contents.groupBy(*PLACE).agg(F.collect_list(F.struct("g", "lo", "w", "m")).alias("parts"))
-    bodies = docs.join(needed, PLACE).select(*PLACE, "text", "parts").mapInArrow(cut, "g long, id long, h long, n int, lo int, w int, m long, body binary")
-    keys = ["g", *PLACE, "lo"]
+    many = contents.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD_CONTENTS).alias("pieces")).filter("pieces > 1")
+    dealt = contents.join(many, "g", "left").withColumn("salt", F.pmod(F.xxhash64(*PLACE, "lo"), F.coalesce("pieces", F.lit(1))))
+    part = F.struct(F.xxhash64("g", "salt").alias("s"), F.col("pieces").isNotNull().alias("split"), "lo", "w", "m")
+    needed = dealt.groupBy(*PLACE).agg(F.collect_list(part).alias("parts"))
+    bodies = docs.join(needed, PLACE).select(*PLACE, "text", "parts").mapInArrow(cut, "s long, split boolean, id long, h long, n int, lo int, w int, m long, body binary")
 
     def run(batches):
         import xxhash
 
-        for whole, batch in whole_groups(slices(batches, 4_096), "g", lambda b: pc.sum(pc.binary_length(b.column("body"))).as_py() or 0, HELD_BYTES, SORTED_BYTES):
+        size_of = lambda b: pc.sum(pc.binary_length(b.column("body"))).as_py() or 0
+        for _, batch in whole_groups(slices(batches, 4_096), "s", size_of, float("inf"), SORTED_BYTES, False):
             doc = pa.RecordBatch.from_struct_array(batch.select([*PLACE, "lo"]).to_struct_array())
             order = pc.sort_indices(doc, sort_keys=[(x, "ascending") for x in (*PLACE, "lo")])
             batch = batch.take(order)
@@ -286,8 +290,8 @@ def partial_copies(docs: DataFrame, contents: DataFrame, length: int) -> DataFra
             previous, following = factors(text, start + (np.cumsum(size) - size)[row], length)
             yield _spans(doc, row, start, previous, True)
             yield _spans(doc, row, start, previous | following, False)
-            if not whole:  # each window once, to be counted by Spark over all tasks
-                at = np.flatnonzero(~previous)
+            at = np.flatnonzero(~previous & batch.column("split").to_numpy(zero_copy_only=False)[row])
+            if len(at):  # each window of a gram in several pieces once, to be counted by Spark over all tasks
                 bodies, many = batch.column("body").to_pylist(), batch.column("m").to_numpy()
                 digest = b"".join(xxhash.xxh3_128_digest(bodies[r][i:i + length]) for r, i in zip(row[at].tolist(), start[at].tolist()))
                 xy, own, k = np.frombuffer(digest, "<i8").reshape(-1, 2), doc.take(pa.array(row[at])), len(at)
@@ -295,7 +299,7 @@ def partial_copies(docs: DataFrame, contents: DataFrame, length: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([own.column("id"), own.column("h"), own.column("n"), lo, pa.array(np.ones(k, np.int32)), pa.array([False] * k), pa.array(xy[:, 0]),
                                                   pa.array(xy[:, 1]), pa.array(np.where(following[at], 2, many[row[at]]).astype(np.int64))], [x.split()[0] for x in SPAN.split(", ")])
 
-    found = stored(bodies.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, SPAN), "factors")
+    found = stored(bodies.repartition("s").sortWithinPartitions("s").mapInArrow(run, SPAN), "factors")
     spans = [*PLACE, "lo", "w", "later"]
     done = found.filter("x is null").select(*spans)
     far = found.filter("x is not null")
