@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,50 +65,51 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def numbered(words: DataFrame, held: int) -> tuple[DataFrame, Callable[[], Callable[[str, bytes], int]]]:
-    """(id, lang, word, f), and what makes a task's function from a word to its id (-1: in no phrase).
+class Numbered(dict):
+    """Ids of the words of one language that a phrase may hold; -1 for all others."""
 
-    Up to ``held`` words, ids are places in the order of language and word, and all other words are left
-    out.  Beyond that, an id is 63 bits of the word's hash, and every word has one.
-    """
-    if words.count() <= held:
-        table = words.sort("lang", "word").toArrow()
-        ids = pa.array(range(table.num_rows), pa.int64())
-        frame = words.sparkSession.createDataFrame(table.append_column("id", ids).select(["id", "lang", "word", "f"]))
-        langs, found = table["lang"].to_pylist(), table["word"].to_pylist()
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
-        def known():
-            places = {key: i for i, key in enumerate(zip(langs, found))}
-            return lambda lang, word: places.get((lang, word), -1)
 
-        return stored(frame, "numbered"), known
+class Hashed(dict):
+    """Ids of all words of one language: 63 bits of the hash; a bounded number is remembered."""
 
-    def hashed():
+    def __init__(self, lang: str):
         import xxhash
 
-        def of(lang, word):
-            return -1 if word == MARK else xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), SEED)) >> 1
-
-        return of
-
-    return words.select(F.shiftrightunsigned(F.xxhash64("lang", "word"), 1).alias("id"), "lang", "word", "f"), hashed
-
-
-class Ids(dict):
-    """Ids of one language's words, bounded."""
-
-    def __init__(self, lang: str, of: Callable[[str, bytes], int]):
         super().__init__()
-        self.lang, self.of = lang, of
+        self.of, self.seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode(), SEED)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        out = self[word] = self.of(self.lang, word)
+        out = self[word] = -1 if word == MARK else self.of(word, self.seed) >> 1
         return out
 
 
-def phrases(texts: DataFrame, coder: Callable[[], Callable[[str, bytes], int]], size: int, pairs: np.ndarray | None = None) -> DataFrame:
+def numbered(words: DataFrame, held: int) -> tuple[DataFrame, Callable[[str], dict]]:
+    """(id, lang, word, f), and what gives a language's ids by word (-1: in no phrase).
+
+    Up to ``held`` words, ids are places in the order of language and word, and all other words are left
+    out.  Beyond that, an id is a hash, and every word has one.
+    """
+    if words.count() > held:
+        return words.select(F.shiftrightunsigned(F.xxhash64("lang", "word"), 1).alias("id"), "lang", "word", "f"), Hashed
+    table = words.sort("lang", "word").toArrow()
+    frame = table.append_column("id", pa.array(range(table.num_rows), pa.int64())).select(["id", "lang", "word", "f"])
+    lists = {lang: (pc.index(table["lang"], lang).as_py(), table.filter(pc.equal(table["lang"], lang))["word"].combine_chunks()) for lang in table["lang"].unique().to_pylist()}
+
+    def places(lang):
+        at, own = lists.get(lang, (0, pa.array([], pa.binary())))
+        out = Numbered(zip(own.to_pylist(), range(at, at + len(own))))
+        out[MARK] = -1
+        return out
+
+    return stored(words.sparkSession.createDataFrame(frame), "numbered"), places
+
+
+def phrases(texts: DataFrame, coder: Callable[[str], dict], size: int, pairs: np.ndarray | None = None) -> DataFrame:
     """(a, b, n) or (a, b, c, n): counts of phrases of ``size`` words by id, over all rows of ``texts``.
 
     ``pairs``, sorted a << 32 | b of numbered words, are those that a triple may hold; without it any may be held.
@@ -134,11 +136,13 @@ def phrases(texts: DataFrame, coder: Callable[[], Callable[[str, bytes], int]],
             for at in range(0, len(keys), CACHE):
                 yield pa.RecordBatch.from_arrays([pa.array(v[at:at + CACHE]) for v in (*columns, n)], [*names, "n"])
 
-        of, langs, parts, held = coder(), {}, [np.array([-1, -1])], 0
+        langs, parts, held = {}, [np.array([-1, -1])], 0
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = tokens(text)
-                parts.append(np.fromiter(map(langs.setdefault(lang, Ids(lang, of)).__getitem__, found), np.int64, len(found)))
+                if lang not in langs:
+                    langs[lang] = coder(lang)
+                parts.append(np.fromiter(map(langs[lang].__getitem__, found), np.int64, len(found)))
                 held += len(found)
                 if held >= CHUNK:
                     yield from flush(parts)
