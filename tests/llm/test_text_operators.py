@@ -355,12 +355,65 @@ def test_gains_are_differences_of_likelihood():
             assert math.isclose(gain[w, k], lm.likelihood(table(other)) - lm.likelihood(table(own)), abs_tol=1e-6)
 
 
-def test_every_repeated_word_has_a_class_by_its_neighbours(spark):
-    """Words beyond the head, with one ending, of two kinds: they part by their neighbours, not by their ending."""
+def two_kinds(spark):
     r = np.random.default_rng(5)
     kinds = [[f"{kind}{i}zz" for i in range(1200)] for kind in ("noun", "verb")]
     rows = [(i, " ".join(f"{a}{i % 7} {w}" for w, a in zip(r.choice(kinds[i % 2], 40), [("the", "will")[i % 2]] * 40))) for i in range(600)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_classes_do_not_depend_on_how_many_words_tasks_look_up(spark, monkeypatch):
+    """All, some or none of the words outside the head looked up, and lists cut at a few pairs."""
+    r = np.random.default_rng(6)
+    words = [f"{x}{i}" for i in range(60) for x in ("ab", "cd", "ef")]
+    rows = [(i, " ".join([*r.choice(words, 12 + i % 9), "ab1 ab1 cd2 cd2 cd2"])) for i in range(150)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for wide, pairs in ((10_000, 1_000_000), (40, 100), (0, 7)):
+        monkeypatch.setattr(lm, "WIDE", wide)
+        monkeypatch.setattr(lm, "PAIRS", pairs)
+        model = lm.fit(table, F.lit(True), head_words=20, classes=5)
+        found.append((model.classes.tolist(), sorted(map(tuple, model.counts.collect())), model.moves.tolist()))
+    assert found[0] == found[1] == found[2] and len({k for _, _, k in found[0][1]}) > 1
+
+
+def test_class_table_counts_all_neighbours(spark, monkeypatch):
+    """Units and classes beside each other, against plain counts, with words looked up or joined."""
+    rows, table = two_kinds(spark)
+    texts = table.select(F.col("text").cast("binary").alias("text"))
+    counts = {bytes(w.word): w.c for w in lm.word_counts(texts).collect()}
+    head = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    lists = lm.word_lists(texts, head)
+    unit = lambda w: head.index(w) if w in head[:9] else 9 + zlib.crc32(w[-lm.ENDING:]) % lm.ENDINGS
+    size, tail = 9 + lm.ENDINGS + 1, {lm.word_id(w): c for w, c in counts.items() if w not in head and c >= lm.LEAST}
+    own = {i: 1 + i % 4 for i in tail}
+    ends = [int(k) for k in np.random.default_rng(1).integers(1, 5, lm.ENDINGS)]
+    top = np.array([1 + i % 3 for i in range(len(head))] + [0])
+
+    def of(w):
+        return top[head.index(w)] if w in head else own.get(lm.word_id(w), ends[zlib.crc32(w[-lm.ENDING:]) % lm.ENDINGS])
+
+    units, classes = np.zeros((size, size)), np.zeros((5, 5))
+    for _, text in rows:
+        found = text.encode().split()
+        for a, b in zip([None, *found], [*found, None]):
+            units[size - 1 if a is None else unit(a), size - 1 if b is None else unit(b)] += 1
+            classes[0 if a is None else of(a), 0 if b is None else of(b)] += 1
+    assert (lm.unit_bigrams(lists, head, 9) == units).all()
+    rest = spark.createDataFrame(list(own.items()), "id long, k int")
+    for wide in (10_000, 1_500, 0):
+        monkeypatch.setattr(lm, "WIDE", wide)
+        found = lm.Classes(top, np.array(ends), rest)
+        held = lm.widest(lists, found, spark.createDataFrame(list(tail.items()), "id long, c long"))
+        near = lm.neighbours(lists, found, held, 5)
+        assert held.whole == (wide == 10_000) and near.groupBy("w").count().filter("count > 1").isEmpty()
+        assert {r.w for r in near.filter("own and w < 0").collect()} == set(tail)
+        assert (lm.class_bigrams(near, 5) == classes).all()
+
+
+def test_every_repeated_word_has_a_class_by_its_neighbours(spark):
+    """Words beyond the head, with one ending, of two kinds: they part by their neighbours, not by their ending."""
+    rows, table = two_kinds(spark)
     model = lm.fit(table, F.lit(True), head_words=40, classes=6)
     counts = {bytes(w.word): w.c for w in lm.word_counts(table.select(F.col("text").cast("binary").alias("text"))).collect()}
     got = {w.h: (w.c, w.k) for w in model.counts.collect()}

@@ -29,8 +29,10 @@ ENDINGS, ENDING = 128, 2
 CLASSES, SWEEPS = 64, 12
 #: Words of this count or more have a class of their own choice; sweeps over all of them, at most.
 LEAST, WORD_SWEEPS = 2, 2
-#: Pairs of neighbouring words that a task sorts at once.
-PAIRS = 4_000_000
+#: Words of the sweeps, beside the head, whose classes every task looks up; the others' are joined.
+WIDE = 1_000_000
+#: Pairs of neighbouring words that a task sorts at once, and pieces of the most frequent word's lists.
+PAIRS, PIECES = 2_000_000, 256
 #: Distinct words that a task counts or remembers at once.
 CACHE = 400_000
 SEED = 42
@@ -81,15 +83,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
-    """At most ``limit`` words, the most frequent first: all above a count that a histogram of counts gives."""
-    step = lambda: F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
-    bars = sorted(((r.b, r.n) for r in counts.groupBy(step().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 1,024 at most
+def step() -> Column:
+    """Step of a count ``c`` on a scale of 1,024 steps."""
+    return F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+
+
+def bar(counts: DataFrame, limit: int) -> int | None:
+    """The lowest step so that at most ``limit`` rows are on it or above; None if that holds for no step."""
+    bars = sorted(((r.b, r.n) for r in counts.groupBy(step().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     least, held = None, 0
     for b, n in bars:
         if held + n > limit:
             break
         least, held = b, held + n
+    return least
+
+
+def frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """At most ``limit`` words, the most frequent first: all above a count that a histogram of counts gives."""
+    least = bar(counts, limit)
     if least is None:
         return []
     rows = counts.filter(step() >= least).toArrow()
@@ -126,19 +138,42 @@ class Places(dict):
         return np.concatenate((np.arange(self.head + 1), np.array(self.rare, np.int64)))
 
 
-def word_bigrams(texts: DataFrame, head: list[bytes]) -> DataFrame:
-    """(a, b, n): counts of neighbouring words, over all rows; a document starts behind the end of another.
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The values as binary cells; a cell starts at each place in ``first``."""
+    offsets = np.append(first, len(values)).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-    A word is its place in the head or its ``word_id``; the end is the number of words in the head.
+
+def _entries(cells: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binary cells, one behind the other, and how many each cell holds."""
+    if not len(cells):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset:cells.offset + len(cells) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind), np.diff(offsets).astype(np.int64) // size
+
+
+def word_lists(texts: DataFrame, head: list[bytes]) -> DataFrame:
+    """(w, side, ids, n), stored by word: the words to the right (side 0) and left (1) of each word, with counts.
+
+    A word is its place in the head or its ``word_id``; the end is the number of words in the head, and a
+    document starts behind the end of another.  ``ids`` are 64-bit and ``n`` 32-bit numbers; a word beside
+    itself is listed on the right alone.  A task lists each word once for every ``PAIRS`` pairs; the rows of
+    a word are brought together, those of the i-th most frequent in ``1 + PIECES / i`` pieces: its share of
+    all words is 1 / i at most, so no piece holds more than one in ``PIECES``.
     """
     def run(batches):
         def flush(places, parts):
             tokens = np.concatenate(parts)
             keys, n = np.unique(tokens[:-1] << 32 | tokens[1:], return_counts=True)
-            ids = places.ids()
-            for at in range(0, len(keys), CACHE):
-                k = keys[at:at + CACHE]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k >> 32]), pa.array(ids[k & (1 << 32) - 1]), pa.array(n[at:at + CACHE])], ["a", "b", "n"])
+            ids, n = places.ids(), n.astype(np.int32)
+            right, left = keys >> 32, keys & (1 << 32) - 1
+            order = np.argsort(left, kind="stable")
+            order = order[left[order] != right[order]]
+            for side, w, to, m in ((0, right, left, n), (1, left[order], right[order], n[order])):
+                first = np.flatnonzero(np.diff(w, prepend=-1))
+                cells = [pa.array(ids[w[first]]), pa.array(np.full(len(first), side, np.int32)), _lists(ids[to], first), _lists(m, first)]
+                yield from slices([pa.RecordBatch.from_arrays(cells, ["w", "side", "ids", "n"])], 20_000)
 
         end = np.array([len(head)])
         places, parts, held = Places(head), [end], 0
@@ -155,30 +190,33 @@ def word_bigrams(texts: DataFrame, head: list[bytes]) -> DataFrame:
         if held:
             yield from flush(places, parts)
 
-    return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    w = F.col("w")
+    place = F.when(w == len(head), 0).otherwise(w) + 1  # the end is dealt like the most frequent word
+    pieces = F.when(w >= 0, F.floor(PIECES / place) + 1).otherwise(1)
+    rows = texts.mapInArrow(run, "w long, side int, ids binary, n binary")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("ids"), pieces)).repartition("w", "piece")
+    return stored(rows.drop("piece").sortWithinPartitions("w"), "lists")
 
 
-def _numbered(spark, values: np.ndarray, name: str, value: str) -> DataFrame:
-    """(name, value): the values by place, at most the head, the endings and the end; for a broadcast."""
-    values = np.asarray(values, np.int32)
-    rows = pa.table({name: pa.array(np.arange(len(values))), value: pa.array(values)})
-    return F.broadcast(spark.createDataFrame(rows))
-
-
-def unit_bigrams(pairs: DataFrame, head: list[bytes], single: int) -> np.ndarray:
+def unit_bigrams(lists: DataFrame, head: list[bytes], single: int) -> np.ndarray:
     """Counts of neighbouring units: the ``single`` most frequent words, the endings' groups, and the end."""
     size = single + ENDINGS + 1
     unit = np.append(code_units(head, single)[:len(head)], size - 1)
 
-    def of(name):
-        group = F.col(name).bitwiseAND(F.lit(ENDINGS - 1)).cast("int")
-        return F.coalesce(f"u{name}", group + single)
+    def of(ids):
+        return np.where(ids >= 0, unit[np.maximum(ids, 0)], single + (ids & ENDINGS - 1))
 
-    both = pairs
-    for name in ("a", "b"):
-        both = both.join(_numbered(pairs.sparkSession, unit, f"_{name}", f"u{name}"), F.col(name) == F.col(f"_{name}"), "left")
-    cell = (of("a") * size + of("b")).cast("long").alias("cell")
-    rows = both.select(cell, "n").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    def run(batches):
+        table = np.zeros(size * size, np.int64)
+        for batch in slices(batches, 4096):
+            (ids, many), (n, _) = _entries(batch.column(1), np.int64), _entries(batch.column(2), np.int32)
+            cells, at = np.unique(np.repeat(of(batch.column(0).to_numpy()), many) * size + of(ids), return_inverse=True)
+            table[cells] += np.bincount(at, n, len(cells)).astype(np.int64)
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
+
+    each = lists.filter("side = 0").select("w", "ids", "n").mapInArrow(run, "cell long, n long")
+    rows = each.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -238,7 +276,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
 
 @dataclass
 class Classes:
-    """Class of every training word: arrays for the head, the endings and the end; a stored table (id, k) for the rest.
+    """Class of every training word: arrays for the head (and the end) and the endings; a stored table (id, k) for the rest.
 
     The table holds the words of ``LEAST`` or more outside the head; all others have their ending's class.
     """
@@ -247,35 +285,131 @@ class Classes:
     endings: np.ndarray
     rest: DataFrame
 
-    def joined(self, rows: DataFrame, word: str, name: str) -> DataFrame:
-        """``rows`` with the class of the word in column ``word``, and whether it is one of the table's or the head's."""
-        near = rows.filter(F.col(word) >= 0).join(_numbered(rows.sparkSession, self.head, "_id", "_k"), F.col(word) == F.col("_id"))
-        far = rows.filter(F.col(word) < 0).join(self.rest.select(F.col("id").alias("_id"), F.col("k").alias("_k")), F.col(word) == F.col("_id"), "left")
-        endings = F.array(*[F.lit(int(k)) for k in self.endings])
-        other = F.get(endings, F.col(word).bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
-        return near.unionByName(far).withColumn(name, F.coalesce("_k", other)).withColumn(f"{name}_own", F.col("_id").isNotNull()).drop("_id", "_k")
 
+@dataclass
+class Wide:
+    """The words of the classes' table that every task looks up, at most ``WIDE``, and what concerns the others."""
 
-def neighbours(pairs: DataFrame, classes: Classes) -> DataFrame:
-    """(w, k, k_own, e): each word with its class and its neighbours' classes, stored.
+    ids: DataFrame  # (id), stored
+    whole: bool  # they are all words of the table
+    others: DataFrame | None  # (w, side, nb, n), stored: neighbours in the table that tasks do not look up
 
-    ``e`` lists (side, l, n): n neighbours of class l on the right (0) or left (1), and n times itself (2):
-    two entries a class at most, however frequent the word is.
-    """
-    other = pairs.filter("a != b")
-    sides = [classes.joined(other.select(F.col(x).alias("w"), F.col(y).alias("nb"), "n"), "nb", "l").groupBy("w", "l").agg(F.sum("n").alias("n"))
-             .select("w", F.struct(F.lit(side).alias("side"), "l", "n").alias("e")) for side, x, y in ((0, "a", "b"), (1, "b", "a"))]
-    self = pairs.filter("a = b").select(F.col("a").alias("w"), F.struct(F.lit(2).alias("side"), F.lit(0).alias("l"), "n").alias("e"))
-    rows = sides[0].unionByName(sides[1]).unionByName(self).groupBy("w").agg(F.collect_list("e").alias("e"))
-    return stored(classes.joined(rows, "w", "k"), "neighbours")
+
+@dataclass
+class Lookup:
+    """Class of a word in a task, and whether the word is one of the head or of those looked up."""
+
+    head: np.ndarray
+    endings: np.ndarray
+    ids: np.ndarray  # in order
+    k: np.ndarray
+
+    def held(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``ids`` of each, and whether it is there."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return at, self.ids[at] == ids
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k, own = self.endings[ids & ENDINGS - 1], ids >= 0
+        k[own] = self.head[ids[own]]
+        far = np.flatnonzero(~own)
+        at, hit = self.held(ids[far])
+        k[far[hit]] = self.k[at[hit]]
+        own[far[hit]] = True
+        return k, own
+
+
+def looked_up(classes: Classes, wide: Wide) -> Lookup:
+    rows = classes.rest.join(F.broadcast(wide.ids), "id", "left_semi").select("id", "k").toArrow()  # at most WIDE rows
+    ids, k = rows["id"].to_numpy(), rows["k"].to_numpy()
+    order = np.argsort(ids)
+    return Lookup(classes.head.astype(np.int16), classes.endings.astype(np.int16), ids[order], k[order].astype(np.int16))
+
+
+def widest(lists: DataFrame, classes: Classes, counts: DataFrame) -> Wide:
+    """The most frequent words of ``counts`` (id, c), for look-up; the neighbours that are others of them are listed."""
+    least = bar(counts, WIDE)
+    ids = stored(counts.filter(F.lit(False) if least is None else step() >= least).select("id"), "wide")
+    others = counts.join(F.broadcast(ids), "id", "left_anti").select(F.col("id").alias("nb"))
+    if others.isEmpty():
+        return Wide(ids, True, None)
+    lookup = looked_up(classes, Wide(ids, False, None))
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            (nb, many), (n, _) = _entries(batch.column(2), np.int64), _entries(batch.column(3), np.int32)
+            w, side = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
+            far = (nb < 0) & (nb != w) & ~lookup.held(nb)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[far]) for x in (w, side, nb, n.astype(np.int64))], ["w", "side", "nb", "n"])
+
+    return Wide(ids, False, stored(lists.mapInArrow(run, "w long, side int, nb long, n long").join(others, "nb"), "others"))
 
 
-def class_bigrams(near: DataFrame, k: int) -> np.ndarray:
+def neighbours(lists: DataFrame, classes: Classes, wide: Wide, size: int) -> DataFrame:
+    """(w, k, own, e): each word with its class, whether it may move, and its neighbours' classes, stored.
+
+    ``e`` lists n * 65536 + side * size + class: n neighbours of a class on the right (0) or left (1), and n
+    times itself (side 2, class 0).  Tasks look the classes up; where a word's is in the table alone, it is
+    joined, and its neighbours' entries are put right.  Words that cannot move are one row for each ending,
+    where all others are known.
+    """
+    lookup, whole = looked_up(classes, wide), wide.whole
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            w, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            (ids, many), (n, _) = _entries(batch.column(2), np.int64), _entries(batch.column(3), np.int32)
+            k, own = lookup.of(w)
+            same = ids == np.repeat(w, many)
+            code = np.where(same, 2 * size, np.repeat(side, many) * size + lookup.of(ids)[0])
+            if whole:
+                w = np.where(own, w, w & ENDINGS - 1 | np.int64(-(1 << 63)))
+            names, first, at = np.unique(w, return_index=True, return_inverse=True)
+            table = np.bincount(np.repeat(at, many) * (3 * size) + code, n, len(names) * 3 * size).astype(np.int64)
+            cells = np.flatnonzero(table)
+            offsets = np.searchsorted(cells, np.arange(len(names) + 1) * (3 * size)).astype(np.int32)
+            e = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[cells] << 16 | cells % (3 * size)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(k[first].astype(np.int32)), pa.array(own[first]), e], ["w", "k", "own", "e"])
+
+    rows = lists.mapInArrow(run, "w long, k int, own boolean, e array<long>")
+    if not whole:
+        table = classes.rest.select(F.col("id").alias("nb"), "k")
+        start = F.get(F.array(*[F.lit(int(k)) for k in classes.endings]), F.col("nb").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
+        both = wide.others.join(table, "nb").withColumn("was", start).filter("k != was")
+        each = both.select("w", "side", F.explode(F.array(F.struct(F.col("was").alias("l"), (-F.col("n")).alias("n")), F.struct(F.col("k").alias("l"), "n"))).alias("x"))
+        sums = each.groupBy("w", "side", "x.l").agg(F.sum("x.n").alias("n"))
+        entry = F.col("n") * 65536 + F.col("side") * size + F.col("l")
+        rows = rows.unionByName(sums.groupBy("w").agg(F.collect_list(entry).alias("e")), allowMissingColumns=True)
+    near = rows.groupBy("w").agg(F.max("k").alias("k"), F.max("own").alias("own"), F.flatten(F.collect_list("e")).alias("e"))
+    if not whole:
+        near = near.join(classes.rest.select(F.col("id").alias("w"), F.col("k").alias("_k")), "w", "left")
+        near = near.select("w", F.coalesce("_k", "k").alias("k"), (F.col("own") | F.col("_k").isNotNull()).alias("own"), "e")
+    return stored(near, "neighbours")
+
+
+def _cells(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Own class, and the neighbours' counts by row, side and class, of a batch of (..., k, e)."""
+    e = batch.column(batch.num_columns - 1)
+    v, rows = e.flatten().to_numpy(), batch.num_rows
+    counts = np.bincount(e.value_parent_indices().to_numpy() * (3 * size) + (v & 65535), v >> 16, rows * 3 * size)
+    return batch.column(batch.num_columns - 2).to_numpy(), counts.reshape(rows, 3, size)
+
+
+def class_bigrams(near: DataFrame, size: int) -> np.ndarray:
     """Counts of neighbouring classes."""
-    each = near.select("k", F.explode("e").alias("e")).filter("e.side != 1")
-    to = F.when(F.col("e.side") == 2, F.col("k")).otherwise(F.col("e.l"))
-    rows = each.groupBy("k", to.alias("l")).agg(F.sum("e.n").alias("n")).collect()  # at most k * k rows
-    table = np.zeros((k, k))
+    def run(batches):
+        table = np.zeros((size, size))
+        for batch in slices(batches):
+            k, counts = _cells(batch, size)
+            np.add.at(table, k, counts[:, 0])
+            np.add.at(table, (k, k), counts[:, 2, 0])
+        k, l = np.nonzero(table)  # noqa: E741
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(l), pa.array(table[k, l])], ["k", "l", "n"])
+
+    rows = near.select("k", "e").mapInArrow(run, "k long, l long, n double").groupBy("k", "l").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros((size, size))  # at most size * size rows
     for r in rows:
         table[r.k, r.l] = r.n
     return table
@@ -319,26 +453,23 @@ def gains(right: np.ndarray, left: np.ndarray, twice: np.ndarray, own: np.ndarra
 
 def moved(near: DataFrame, table: np.ndarray) -> DataFrame:
     """(id, k): the best class of every word of the head and of the classes' table; the end keeps class 0 for itself."""
-    k = len(table)
+    size = len(table)
 
     def run(batches):
         for batch in slices(batches):
-            own, e = batch.column(1).to_numpy(), batch.column(2)
-            w, (side, l, n) = e.value_parent_indices().to_numpy(), (x.to_numpy() for x in e.flatten().flatten())  # noqa: E741
-            counts = np.zeros((3, len(own), k))
-            counts[side, w, l] = n
-            gain = gains(counts[0], counts[1], counts[2, :, 0], own, table)
+            own, counts = _cells(batch, size)
+            gain = gains(counts[:, 0], counts[:, 1], counts[:, 2, 0], own, table)
             gain[:, 0] = -np.inf
             best = gain.argmax(1)
             best = np.where(gain[np.arange(len(own)), best] > 1e-6, best, own).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["id", "k"])
 
-    return near.filter("k_own and k != 0").select("w", "k", "e").mapInArrow(run, "id long, k int")
+    return near.filter("own and k != 0").select("w", "k", "e").mapInArrow(run, "id long, k int")
 
 
-def sweep(pairs: DataFrame, classes: Classes, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
+def sweep(lists: DataFrame, classes: Classes, wide: Wide, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
     """Classes after at most ``sweeps`` sweeps over all words, and their table; stops when the likelihood no longer rises."""
-    near = neighbours(pairs, classes)
+    near = neighbours(lists, classes, wide, k)
     table = class_bigrams(near, k)
     for _ in range(sweeps):
         rows = stored(moved(near, table), "classes")
@@ -346,7 +477,7 @@ def sweep(pairs: DataFrame, classes: Classes, k: int, sweeps: int) -> tuple[Clas
         top = rows.filter("id >= 0").toArrow()  # the head
         head[top["id"].to_numpy()] = top["k"].to_numpy()
         new = Classes(head, classes.endings, rows.filter("id < 0"))
-        near = neighbours(pairs, new)
+        near = neighbours(lists, new, wide, k)
         new_table = class_bigrams(near, k)
         if likelihood(new_table) <= likelihood(table):
             break
@@ -388,8 +519,8 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
     top = frequent(counts, head_words)
     head, c = [w for w, _ in top], np.array([n for _, n in top], float)
     dealt = min(SINGLE if single is None else single, len(head))
-    pairs = stored(word_bigrams(texts, head), "pairs")
-    bigrams = unit_bigrams(pairs, head, dealt)
+    lists = word_lists(texts, head)
+    bigrams = unit_bigrams(lists, head, dealt)
     own = exchange(bigrams, classes)
     k = int(own.max()) + 1
     table = np.zeros((k, k))
@@ -401,10 +532,12 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
     start = F.get(F.array(*[F.lit(int(x)) for x in endings]), F.col("h").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
     rest = stored(tail.withColumn("k", start), "tail")
     if single is None and ends:
-        first = Classes(np.append(of_code[:len(head)], of_code[-1]), endings, rest.filter(F.col("c") >= LEAST).select(F.col("h").alias("id"), "k"))
-        last, table = sweep(pairs, first, k, sweeps)
+        moving = rest.filter(F.col("c") >= LEAST).select(F.col("h").alias("id"), "c", "k")
+        first = Classes(np.append(of_code[:len(head)], of_code[-1]), endings, moving.select("id", "k"))
+        last, table = sweep(lists, first, widest(lists, first, moving), k, sweeps)
         of_code[:len(head)] = last.head[:-1]
-        rest = stored(last.joined(rest.drop("k"), "h", "k").select("h", "c", "k"), "rest")
+        found = last.rest.select(F.col("id").alias("h"), F.col("k").alias("_k"))
+        rest = stored(rest.join(found, "h", "left").select("h", "c", F.coalesce("_k", "k").alias("k")), "rest")
     n_class, v_class = np.bincount(of_code[:len(head)], c, k), np.bincount(of_code[:len(head)], minlength=k).astype(float)
     for r in rest.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row for each class
         n_class[r.k], v_class[r.k] = n_class[r.k] + r.n, v_class[r.k] + r.v
