@@ -383,7 +383,6 @@ def test_class_table_counts_all_neighbours(spark, monkeypatch):
     texts = table.select(F.col("text").cast("binary").alias("text"))
     counts = {bytes(w.word): w.c for w in lm.word_counts(texts).collect()}
     head = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]]
-    lists = lm.word_lists(texts, head)
     unit = lambda w: head.index(w) if w in head[:9] else 9 + zlib.crc32(w[-lm.ENDING:]) % lm.ENDINGS
     size, tail = 9 + lm.ENDINGS + 1, {lm.word_id(w): c for w, c in counts.items() if w not in head and c >= lm.LEAST}
     own = {i: 1 + i % 4 for i in tail}
@@ -399,15 +398,18 @@ def test_class_table_counts_all_neighbours(spark, monkeypatch):
         for a, b in zip([None, *found], [*found, None]):
             units[size - 1 if a is None else unit(a), size - 1 if b is None else unit(b)] += 1
             classes[0 if a is None else of(a), 0 if b is None else of(b)] += 1
-    assert (lm.unit_bigrams(lists, head, 9) == units).all()
     rest = spark.createDataFrame(list(own.items()), "id long, k int")
     for wide in (10_000, 1_500, 0):
         monkeypatch.setattr(lm, "WIDE", wide)
         found = lm.Classes(top, np.array(ends), rest)
-        held = lm.widest(lists, found, spark.createDataFrame(list(tail.items()), "id long, c long"))
-        near = lm.neighbours(lists, found, held, 5)
+        held, beyond = lm.known_words(spark.createDataFrame(list(tail.items()), "h long, c long"), len(head))
+        lists = lm.word_lists(texts, head, held)
+        assert (lm.unit_bigrams(lists, held, head, 9) == units).all()
+        others = None if held.whole else lists.filter("nb is not null").join(beyond, "nb")
+        near = lm.neighbours(lists, found, held, others, 5)
         assert held.whole == (wide == 10_000) and near.groupBy("w").count().filter("count > 1").isEmpty()
-        assert {r.w for r in near.filter("own and w < 0").collect()} == set(tail)
+        moving = {r.w if r.w < 0 else int(held.ids[r.w - held.first]) for r in near.filter("own").collect() if r.w < 0 or r.w >= held.first}
+        assert moving == set(tail)
         assert (lm.class_bigrams(near, 5) == classes).all()
 
 

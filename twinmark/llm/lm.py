@@ -153,27 +153,89 @@ def _entries(cells: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind), np.diff(offsets).astype(np.int64) // size
 
 
-def word_lists(texts: DataFrame, head: list[bytes]) -> DataFrame:
-    """(w, side, ids, n), stored by word: the words to the right (side 0) and left (1) of each word, with counts.
-
-    A word is its place in the head or its ``word_id``; the end is the number of words in the head, and a
-    document starts behind the end of another.  ``ids`` are 64-bit and ``n`` 32-bit numbers; a word beside
-    itself is listed on the right alone.  A task lists each word once for every ``PAIRS`` pairs; the rows of
-    a word are brought together, those of the i-th most frequent in ``1 + PIECES / i`` pieces: its share of
-    all words is 1 / i at most, so no piece holds more than one in ``PIECES``.
+@dataclass
+class Known:
+    """The words that tasks know by a code: places in the head, the end, the endings' groups, then ``ids`` in order.
+
+    ``ids`` are the most frequent words outside the head, at most ``WIDE``.  If they are ``whole``, no other
+    word has a class of its own choice, and tasks read all others as their endings' groups at once.
     """
+
+    head: int
+    ids: np.ndarray
+    whole: bool
+
+    @property
+    def first(self) -> int:
+        return self.head + 1 + ENDINGS
+
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """Codes of ids; unknown words have their group's."""
+        out, far = ids.copy(), np.flatnonzero(ids < 0)
+        found = ids[far]
+        out[far] = self.head + 1 + (found & ENDINGS - 1)
+        if len(self.ids):
+            at = np.minimum(np.searchsorted(self.ids, found), len(self.ids) - 1)
+            hit = self.ids[at] == found
+            out[far[hit]] = self.first + at[hit]
+        return out
+
+    def by_code(self, head: np.ndarray, endings: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        return np.concatenate((head, endings, rest)).astype(np.int16)
+
+    def values(self, table: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """``table`` at codes; words that are still ids have their group's value."""
+        return table[np.where(w >= 0, w, self.head + 1 + (w & ENDINGS - 1))]
+
+
+def known_words(counts: DataFrame, head: int) -> tuple[Known, DataFrame]:
+    """The ``WIDE`` most frequent words of ``counts`` (h, c), as many as a histogram of counts allows, and the ids (nb) of the others."""
+    spark, moving = counts.sparkSession, counts.filter(F.col("c") >= LEAST)
+    least = bar(moving, WIDE)
+    ids = np.unique(moving.filter(F.lit(False) if least is None else step() >= least).select("h").toArrow()["h"].to_numpy())
+    held = F.broadcast(spark.createDataFrame(pa.table({"nb": pa.array(ids, pa.int64())})))
+    beyond = moving.select(F.col("h").alias("nb")).join(held, "nb", "left_anti")
+    return Known(head, ids, beyond.isEmpty()), beyond
+
+
+def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
+    """(w, ones, more, side, nb, n), stored by word: the words to the right (side 0) and left (1) of each word.
+
+    ``w`` is a word's code, or its id if tasks do not know it; a document starts behind the end of another.
+    ``ones`` holds side * 2^31 + code of neighbours seen once by a task, ``more`` n * 2^32 + that of the
+    others; rows with ``nb`` name a neighbour that tasks do not know, which is counted with its group too.
+    A word beside itself is listed on the right alone.  A task lists each word once for every ``PAIRS``
+    pairs; the rows of a word are brought together, those of the i-th most frequent in ``1 + PIECES / i``
+    pieces: its share of all words is 1 / i at most, so no piece holds more than one in ``PIECES``.
+    """
+    names = ["w", "ones", "more", "side", "nb", "n"]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+
     def run(batches):
         def flush(places, parts):
-            tokens = np.concatenate(parts)
+            ids = places.ids()
+            code = words.codes(ids)
+            own = code if words.whole else np.where((ids < 0) & (code < words.first), ids, code)
+            own, at = np.unique(own, return_inverse=True)
+            tokens = at[np.concatenate(parts)]
+            code = words.values(np.arange(words.first + len(words.ids)), own)
             keys, n = np.unique(tokens[:-1] << 32 | tokens[1:], return_counts=True)
-            ids, n = places.ids(), n.astype(np.int32)
             right, left = keys >> 32, keys & (1 << 32) - 1
-            order = np.argsort(left, kind="stable")
-            order = order[left[order] != right[order]]
-            for side, w, to, m in ((0, right, left, n), (1, left[order], right[order], n[order])):
-                first = np.flatnonzero(np.diff(w, prepend=-1))
-                cells = [pa.array(ids[w[first]]), pa.array(np.full(len(first), side, np.int32)), _lists(ids[to], first), _lists(m, first)]
-                yield from slices([pa.RecordBatch.from_arrays(cells, ["w", "side", "ids", "n"])], 20_000)
+            back = right != left
+            w = np.concatenate((right, left[back]))
+            nb = np.concatenate((left, right[back]))
+            side, n = np.repeat((0, 1), (len(right), back.sum())), np.concatenate((n, n[back]))
+            order = np.argsort(w, kind="stable")
+            w, nb, side, n = w[order], nb[order], side[order], n[order]
+            entry, once = side << 31 | code[nb], n == 1
+            ones = _lists(entry[once].astype(np.uint32), np.searchsorted(w[once], np.arange(len(own))))
+            more = _lists((n << 32 | entry)[~once], np.searchsorted(w[~once], np.arange(len(own))))
+            none = [pa.nulls(len(own), t) for t in kinds[3:]]
+            yield from slices([pa.RecordBatch.from_arrays([pa.array(own), ones, more, *none], names)], 20_000)
+            far = np.flatnonzero(own[nb] < 0)
+            none = [pa.nulls(len(far), t) for t in kinds[1:3]]
+            cells = [pa.array(own[w[far]]), *none, pa.array(side[far].astype(np.int32)), pa.array(own[nb[far]]), pa.array(n[far])]
+            yield from slices([pa.RecordBatch.from_arrays(cells, names)], 100_000)
 
         end = np.array([len(head)])
         places, parts, held = Places(head), [end], 0
@@ -191,31 +253,39 @@ def word_lists(texts: DataFrame, head: list[bytes]) -> DataFrame:
             yield from flush(places, parts)
 
     w = F.col("w")
-    place = F.when(w == len(head), 0).otherwise(w) + 1  # the end is dealt like the most frequent word
-    pieces = F.when(w >= 0, F.floor(PIECES / place) + 1).otherwise(1)
-    rows = texts.mapInArrow(run, "w long, side int, ids binary, n binary")
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("ids"), pieces)).repartition("w", "piece")
+    common = F.when(w == len(head), 0).when(w < len(head), w).otherwise(w - len(head) - 1) + 1  # the end and the endings as the most frequent
+    pieces = F.when((w >= 0) & (w < words.first), F.floor(PIECES / common) + 1).otherwise(1)
+    rows = texts.mapInArrow(run, "w long, ones binary, more binary, side int, nb long, n long").filter("nb is not null or length(ones) > 0 or length(more) > 0")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("ones", "more", "nb"), pieces)).repartition("w", "piece")
     return stored(rows.drop("piece").sortWithinPartitions("w"), "lists")
 
 
-def unit_bigrams(lists: DataFrame, head: list[bytes], single: int) -> np.ndarray:
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, side, code and count of each entry of a batch of (w, ones, more)."""
+    (one, a), (more, b) = _entries(batch.column(1), np.uint32), _entries(batch.column(2), np.int64)
+    rows = np.arange(batch.num_rows)
+    entry = np.concatenate((one.astype(np.int64), more & (1 << 32) - 1))
+    n = np.concatenate((np.ones(len(one), np.int64), more >> 32))
+    return np.concatenate((np.repeat(rows, a), np.repeat(rows, b))), entry >> 31, entry & (1 << 31) - 1, n
+
+
+def unit_bigrams(lists: DataFrame, words: Known, head: list[bytes], single: int) -> np.ndarray:
     """Counts of neighbouring units: the ``single`` most frequent words, the endings' groups, and the end."""
     size = single + ENDINGS + 1
-    unit = np.append(code_units(head, single)[:len(head)], size - 1)
-
-    def of(ids):
-        return np.where(ids >= 0, unit[np.maximum(ids, 0)], single + (ids & ENDINGS - 1))
+    unit = words.by_code(np.append(code_units(head, single)[:len(head)], size - 1), single + np.arange(ENDINGS), single + (words.ids & ENDINGS - 1))
 
     def run(batches):
         table = np.zeros(size * size, np.int64)
         for batch in slices(batches, 4096):
-            (ids, many), (n, _) = _entries(batch.column(1), np.int64), _entries(batch.column(2), np.int32)
-            cells, at = np.unique(np.repeat(of(batch.column(0).to_numpy()), many) * size + of(ids), return_inverse=True)
-            table[cells] += np.bincount(at, n, len(cells)).astype(np.int64)
+            row, side, code, n = _listed(batch)
+            right = side == 0
+            own = words.values(unit, batch.column(0).to_numpy()).astype(np.int64)
+            cells, at = np.unique(own[row[right]] * size + unit[code[right]], return_inverse=True)
+            table[cells] += np.bincount(at, n[right], len(cells)).astype(np.int64)
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
 
-    each = lists.filter("side = 0").select("w", "ids", "n").mapInArrow(run, "cell long, n long")
+    each = lists.filter("nb is null").select("w", "ones", "more").mapInArrow(run, "cell long, n long")
     rows = each.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
@@ -286,104 +356,44 @@ class Classes:
     rest: DataFrame
 
 
-@dataclass
-class Wide:
-    """The words of the classes' table that every task looks up, at most ``WIDE``, and what concerns the others."""
-
-    ids: DataFrame  # (id), stored
-    whole: bool  # they are all words of the table
-    others: DataFrame | None  # (w, side, nb, n), stored: neighbours in the table that tasks do not look up
-
-
-@dataclass
-class Lookup:
-    """Class of a word in a task, and whether the word is one of the head or of those looked up."""
-
-    head: np.ndarray
-    endings: np.ndarray
-    ids: np.ndarray  # in order
-    k: np.ndarray
-
-    def held(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``ids`` of each, and whether it is there."""
-        if not len(self.ids):
-            return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        return at, self.ids[at] == ids
-
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k, own = self.endings[ids & ENDINGS - 1], ids >= 0
-        k[own] = self.head[ids[own]]
-        far = np.flatnonzero(~own)
-        at, hit = self.held(ids[far])
-        k[far[hit]] = self.k[at[hit]]
-        own[far[hit]] = True
-        return k, own
-
-
-def looked_up(classes: Classes, wide: Wide) -> Lookup:
-    rows = classes.rest.join(F.broadcast(wide.ids), "id", "left_semi").select("id", "k").toArrow()  # at most WIDE rows
-    ids, k = rows["id"].to_numpy(), rows["k"].to_numpy()
-    order = np.argsort(ids)
-    return Lookup(classes.head.astype(np.int16), classes.endings.astype(np.int16), ids[order], k[order].astype(np.int16))
-
-
-def widest(lists: DataFrame, classes: Classes, counts: DataFrame) -> Wide:
-    """The most frequent words of ``counts`` (id, c), for look-up; the neighbours that are others of them are listed."""
-    least = bar(counts, WIDE)
-    ids = stored(counts.filter(F.lit(False) if least is None else step() >= least).select("id"), "wide")
-    others = counts.join(F.broadcast(ids), "id", "left_anti").select(F.col("id").alias("nb"))
-    if others.isEmpty():
-        return Wide(ids, True, None)
-    lookup = looked_up(classes, Wide(ids, False, None))
-
-    def run(batches):
-        for batch in slices(batches, 4096):
-            (nb, many), (n, _) = _entries(batch.column(2), np.int64), _entries(batch.column(3), np.int32)
-            w, side = (np.repeat(batch.column(i).to_numpy(), many) for i in (0, 1))
-            far = (nb < 0) & (nb != w) & ~lookup.held(nb)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[far]) for x in (w, side, nb, n.astype(np.int64))], ["w", "side", "nb", "n"])
-
-    return Wide(ids, False, stored(lists.mapInArrow(run, "w long, side int, nb long, n long").join(others, "nb"), "others"))
-
-
-def neighbours(lists: DataFrame, classes: Classes, wide: Wide, size: int) -> DataFrame:
+def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFrame | None, size: int) -> DataFrame:
     """(w, k, own, e): each word with its class, whether it may move, and its neighbours' classes, stored.
 
     ``e`` lists n * 65536 + side * size + class: n neighbours of a class on the right (0) or left (1), and n
     times itself (side 2, class 0).  Tasks look the classes up; where a word's is in the table alone, it is
-    joined, and its neighbours' entries are put right.  Words that cannot move are one row for each ending,
-    where all others are known.
+    joined, and the entries of its neighbours (``others``) are put right.
     """
-    lookup, whole = looked_up(classes, wide), wide.whole
+    held = F.broadcast(lists.sparkSession.createDataFrame(pa.table({"id": pa.array(words.ids, pa.int64())})))
+    rest = classes.rest.join(held, "id", "left_semi").select("id", "k").toArrow()  # at most WIDE rows
+    wide = np.zeros(len(words.ids), np.int64)
+    wide[np.searchsorted(words.ids, rest["id"].to_numpy())] = rest["k"].to_numpy()
+    table = words.by_code(classes.head, classes.endings, wide)
 
     def run(batches):
         for batch in slices(batches, 4096):
-            w, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            (ids, many), (n, _) = _entries(batch.column(2), np.int64), _entries(batch.column(3), np.int32)
-            k, own = lookup.of(w)
-            same = ids == np.repeat(w, many)
-            code = np.where(same, 2 * size, np.repeat(side, many) * size + lookup.of(ids)[0])
-            if whole:
-                w = np.where(own, w, w & ENDINGS - 1 | np.int64(-(1 << 63)))
-            names, first, at = np.unique(w, return_index=True, return_inverse=True)
-            table = np.bincount(np.repeat(at, many) * (3 * size) + code, n, len(names) * 3 * size).astype(np.int64)
-            cells = np.flatnonzero(table)
+            row, side, code, n = _listed(batch)
+            w = batch.column(0).to_numpy()
+            cell = np.where(code == w[row], 2 * size, side * size + table[code])
+            names, at = np.unique(w, return_inverse=True)
+            counts = np.bincount(at[row] * (3 * size) + cell, n, len(names) * 3 * size).astype(np.int64)
+            cells = np.flatnonzero(counts)
             offsets = np.searchsorted(cells, np.arange(len(names) + 1) * (3 * size)).astype(np.int32)
-            e = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[cells] << 16 | cells % (3 * size)))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(k[first].astype(np.int32)), pa.array(own[first]), e], ["w", "k", "own", "e"])
+            e = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[cells] << 16 | cells % (3 * size)))
+            own = (names >= 0) & ((names <= words.head) | (names >= words.first))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words.values(table, names).astype(np.int32)), pa.array(own), e], ["w", "k", "own", "e"])
 
-    rows = lists.mapInArrow(run, "w long, k int, own boolean, e array<long>")
-    if not whole:
-        table = classes.rest.select(F.col("id").alias("nb"), "k")
+    rows = lists.filter("nb is null").select("w", "ones", "more").mapInArrow(run, "w long, k int, own boolean, e array<long>")
+    if others is not None:
         start = F.get(F.array(*[F.lit(int(k)) for k in classes.endings]), F.col("nb").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
-        both = wide.others.join(table, "nb").withColumn("was", start).filter("k != was")
-        each = both.select("w", "side", F.explode(F.array(F.struct(F.col("was").alias("l"), (-F.col("n")).alias("n")), F.struct(F.col("k").alias("l"), "n"))).alias("x"))
-        sums = each.groupBy("w", "side", "x.l").agg(F.sum("x.n").alias("n"))
+        both = others.join(classes.rest.select(F.col("id").alias("nb"), "k"), "nb").withColumn("was", start).filter("k != was or nb = w")
+        itself = F.col("nb") == F.col("w")
+        now = F.struct(F.when(itself, 2).otherwise(F.col("side")).alias("side"), F.when(itself, 0).otherwise(F.col("k")).alias("l"), "n")
+        was = F.struct("side", F.col("was").alias("l"), (-F.col("n")).alias("n"))
+        sums = both.select("w", F.explode(F.array(was, now)).alias("x")).groupBy("w", "x.side", "x.l").agg(F.sum("x.n").alias("n"))
         entry = F.col("n") * 65536 + F.col("side") * size + F.col("l")
         rows = rows.unionByName(sums.groupBy("w").agg(F.collect_list(entry).alias("e")), allowMissingColumns=True)
     near = rows.groupBy("w").agg(F.max("k").alias("k"), F.max("own").alias("own"), F.flatten(F.collect_list("e")).alias("e"))
-    if not whole:
+    if others is not None:
         near = near.join(classes.rest.select(F.col("id").alias("w"), F.col("k").alias("_k")), "w", "left")
         near = near.select("w", F.coalesce("_k", "k").alias("k"), (F.col("own") | F.col("_k").isNotNull()).alias("own"), "e")
     return stored(near, "neighbours")
@@ -451,7 +461,7 @@ def gains(right: np.ndarray, left: np.ndarray, twice: np.ndarray, own: np.ndarra
     return out
 
 
-def moved(near: DataFrame, table: np.ndarray) -> DataFrame:
+def moved(near: DataFrame, words: Known, table: np.ndarray) -> DataFrame:
     """(id, k): the best class of every word of the head and of the classes' table; the end keeps class 0 for itself."""
     size = len(table)
 
@@ -462,22 +472,26 @@ def moved(near: DataFrame, table: np.ndarray) -> DataFrame:
             gain[:, 0] = -np.inf
             best = gain.argmax(1)
             best = np.where(gain[np.arange(len(own)), best] > 1e-6, best, own).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["id", "k"])
+            ids = batch.column(0).to_numpy().copy()
+            wide = ids >= words.first
+            ids[wide] = words.ids[ids[wide] - words.first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], ["id", "k"])
 
     return near.filter("own and k != 0").select("w", "k", "e").mapInArrow(run, "id long, k int")
 
 
-def sweep(lists: DataFrame, classes: Classes, wide: Wide, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
+def sweep(lists: DataFrame, classes: Classes, words: Known, beyond: DataFrame, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
     """Classes after at most ``sweeps`` sweeps over all words, and their table; stops when the likelihood no longer rises."""
-    near = neighbours(lists, classes, wide, k)
+    others = None if words.whole else stored(lists.filter("nb is not null").select("w", "side", "nb", "n").join(beyond, "nb"), "others")
+    near = neighbours(lists, classes, words, others, k)
     table = class_bigrams(near, k)
     for _ in range(sweeps):
-        rows = stored(moved(near, table), "classes")
+        rows = stored(moved(near, words, table), "classes")
         head = classes.head.copy()
         top = rows.filter("id >= 0").toArrow()  # the head
         head[top["id"].to_numpy()] = top["k"].to_numpy()
         new = Classes(head, classes.endings, rows.filter("id < 0"))
-        near = neighbours(lists, new, wide, k)
+        near = neighbours(lists, new, words, others, k)
         new_table = class_bigrams(near, k)
         if likelihood(new_table) <= likelihood(table):
             break
@@ -519,22 +533,23 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
     top = frequent(counts, head_words)
     head, c = [w for w, _ in top], np.array([n for _, n in top], float)
     dealt = min(SINGLE if single is None else single, len(head))
-    lists = word_lists(texts, head)
-    bigrams = unit_bigrams(lists, head, dealt)
+    held = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(head, pa.binary())})))
+    tail = stored(counts.join(held, "word", "left_anti").select(id_column(F.col("word")).alias("h"), "c"), "tail")
+    words, beyond = known_words(tail, len(head))
+    lists = word_lists(texts, head, words)
+    bigrams = unit_bigrams(lists, words, head, dealt)
     own = exchange(bigrams, classes)
     k = int(own.max()) + 1
     table = np.zeros((k, k))
     np.add.at(table, (own[:, None], own[None, :]), bigrams)
     of_code = own[code_units(head, dealt)]
     endings = of_code[len(head):-1]
-    held = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"word": pa.array(head, pa.binary())})))
-    tail = counts.join(held, "word", "left_anti").select(id_column(F.col("word")).alias("h"), "c")
     start = F.get(F.array(*[F.lit(int(x)) for x in endings]), F.col("h").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
-    rest = stored(tail.withColumn("k", start), "tail")
+    rest = tail.withColumn("k", start)
     if single is None and ends:
-        moving = rest.filter(F.col("c") >= LEAST).select(F.col("h").alias("id"), "c", "k")
-        first = Classes(np.append(of_code[:len(head)], of_code[-1]), endings, moving.select("id", "k"))
-        last, table = sweep(lists, first, widest(lists, first, moving), k, sweeps)
+        moving = rest.filter(F.col("c") >= LEAST).select(F.col("h").alias("id"), "k")
+        first = Classes(np.append(of_code[:len(head)], of_code[-1]), endings, moving)
+        last, table = sweep(lists, first, words, beyond, k, sweeps)
         of_code[:len(head)] = last.head[:-1]
         found = last.rest.select(F.col("id").alias("h"), F.col("k").alias("_k"))
         rest = stored(rest.join(found, "h", "left").select("h", "c", F.coalesce("_k", "k").alias("k")), "rest")
