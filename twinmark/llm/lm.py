@@ -30,7 +30,7 @@ CLASSES, SWEEPS = 64, 12
 #: Words of this count or more have a class of their own choice; sweeps over all of them, at most.
 LEAST, WORD_SWEEPS = 2, 2
 #: Words of the sweeps, beside the head, whose classes every task looks up; the others' are joined.
-WIDE = 1_000_000
+WIDE = 400_000
 #: Pairs of neighbouring words that a task sorts at once, and pieces of the most frequent word's lists.
 PAIRS, PIECES = 2_000_000, 256
 #: Distinct words that a task counts or remembers at once.
@@ -180,6 +180,14 @@ class Known:
             out[far[hit]] = self.first + at[hit]
         return out
 
+    def kept(self, rows: DataFrame, known: bool) -> DataFrame:
+        """The rows (id, k) whose id is one of ``ids``, or is not; decided in tasks."""
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array((self.codes(batch.column(0).to_numpy()) >= self.first) == known))
+
+        return rows.mapInArrow(run, rows.schema)
+
     def by_code(self, head: np.ndarray, endings: np.ndarray, rest: np.ndarray) -> np.ndarray:
         return np.concatenate((head, endings, rest)).astype(np.int16)
 
@@ -190,12 +198,11 @@ class Known:
 
 def known_words(counts: DataFrame, head: int) -> tuple[Known, DataFrame]:
     """The ``WIDE`` most frequent words of ``counts`` (h, c), as many as a histogram of counts allows, and the ids (nb) of the others."""
-    spark, moving = counts.sparkSession, counts.filter(F.col("c") >= LEAST)
+    moving = counts.filter(F.col("c") >= LEAST)
     least = bar(moving, WIDE)
     ids = np.unique(moving.filter(F.lit(False) if least is None else step() >= least).select("h").toArrow()["h"].to_numpy())
-    held = F.broadcast(spark.createDataFrame(pa.table({"nb": pa.array(ids, pa.int64())})))
-    beyond = moving.select(F.col("h").alias("nb")).join(held, "nb", "left_anti")
-    return Known(head, ids, beyond.isEmpty()), beyond
+    words = Known(head, ids, moving.count() == len(ids))
+    return words, words.kept(moving.select(F.col("h").alias("nb"), F.lit(0).alias("k")), False).select("nb")
 
 
 def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
@@ -363,8 +370,7 @@ def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFra
     times itself (side 2, class 0).  Tasks look the classes up; where a word's is in the table alone, it is
     joined, and the entries of its neighbours (``others``) are put right.
     """
-    held = F.broadcast(lists.sparkSession.createDataFrame(pa.table({"id": pa.array(words.ids, pa.int64())})))
-    rest = classes.rest.join(held, "id", "left_semi").select("id", "k").toArrow()  # at most WIDE rows
+    rest = words.kept(classes.rest.select("id", "k"), True).toArrow()  # at most WIDE rows
     wide = np.zeros(len(words.ids), np.int64)
     wide[np.searchsorted(words.ids, rest["id"].to_numpy())] = rest["k"].to_numpy()
     table = words.by_code(classes.head, classes.endings, wide)
