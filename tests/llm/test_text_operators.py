@@ -302,7 +302,7 @@ def test_scores_are_probabilities_of_a_brute_force_model(spark):
     # sum over classes of P(class | before) is 1, and words of a class with its unseen event sum to 1
     assert np.allclose((10 ** model.moves).sum(1), 1)
     counts = {bytes(r.word): r.c for r in lm.word_counts(table.select(F.col("text").cast("binary").alias("text"))).collect()}
-    codes = lm.Codes(model.head)
+    codes = {w: model.head.index(w) if w in model.head else len(model.head) + zlib.crc32(w[-lm.ENDING:]) % lm.ENDINGS for w in counts}
     mass = np.zeros(len(model.moves))
     for w, c in counts.items():
         k = model.classes[codes[w]]

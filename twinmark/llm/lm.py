@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import discard, slices, stored
 
 #: Frequent words whose counts every task holds; of these, words that the driver deals before the sweeps.
 HEAD, SINGLE = 50_000, 700
@@ -33,33 +33,13 @@ LEAST, WORD_SWEEPS = 2, 2
 WIDE = 400_000
 #: Pairs of neighbouring words that a task sorts at once, and pieces of the most frequent word's lists.
 PAIRS, PIECES = 2_000_000, 256
+#: Words that a task scores at once.
+TOKENS = 500_000
 #: Distinct words that a task counts or remembers at once.
 CACHE = 400_000
 SEED = 42
 
 
-class Codes(dict):
-    """Code of a word: its place among the frequent words, or their number plus the group of its ending."""
-
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.head = head
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE + len(self.head):
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.head))
-        code = self[word] = len(self.head) + zlib.crc32(word[-ENDING:]) % ENDINGS
-        return code
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        """Codes of a document's words, then that of its end."""
-        out = np.empty(len(found) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        out[-1] = len(self.head) + ENDINGS
-        return out
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """Words in lower case: on bytes, only A-Z change and only ASCII white space splits."""
     return (text or b"").lower().split()
@@ -227,14 +207,15 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
             tokens = at[np.concatenate(parts)]
             code = words.values(np.arange(words.first + len(words.ids)), own)
             keys, n = np.unique(tokens[:-1] << 32 | tokens[1:], return_counts=True)
-            right, left = keys >> 32, keys & (1 << 32) - 1
+            right, left, n = (keys >> 32).astype(np.int32), (keys & (1 << 32) - 1).astype(np.int32), n.astype(np.int32)
             back = right != left
             w = np.concatenate((right, left[back]))
-            nb = np.concatenate((left, right[back]))
-            side, n = np.repeat((0, 1), (len(right), back.sum())), np.concatenate((n, n[back]))
             order = np.argsort(w, kind="stable")
-            w, nb, side, n = w[order], nb[order], side[order], n[order]
-            entry, once = side << 31 | code[nb], n == 1
+            w = w[order]
+            nb = np.concatenate((left, right[back]))[order]
+            side = np.repeat(np.array((0, 1), np.int8), (len(right), back.sum()))[order]
+            n = np.concatenate((n, n[back]))[order].astype(np.int64)
+            entry, once = side.astype(np.int64) << 31 | code[nb], n == 1
             ones = _lists(entry[once].astype(np.uint32), np.searchsorted(w[once], np.arange(len(own))))
             more = _lists((n << 32 | entry)[~once], np.searchsorted(w[~once], np.arange(len(own))))
             none = [pa.nulls(len(own), t) for t in kinds[3:]]
@@ -497,22 +478,29 @@ def sweep(lists: DataFrame, classes: Classes, words: Known, beyond: DataFrame, k
         top = rows.filter("id >= 0").toArrow()  # the head
         head[top["id"].to_numpy()] = top["k"].to_numpy()
         new = Classes(head, classes.endings, rows.filter("id < 0"))
+        discard(near)
         near = neighbours(lists, new, words, others, k)
         new_table = class_bigrams(near, k)
         if likelihood(new_table) <= likelihood(table):
             break
         classes, table = new, new_table
+    discard(near, *([] if others is None else [others]))
     return classes, table
 
 
 @dataclass
 class Model:
-    """What scoring needs in every task, and the joined rest: counts of all words as a stored table."""
+    """What scoring needs in every task, and the joined rest: counts of all words as a stored table.
+
+    ``classes`` are those of the head, the endings' groups and the end; ``counted`` and ``grouped`` hold
+    count and class by the codes of ``words``, where the endings' groups stand for words that are joined.
+    """
 
     head: list[bytes]
-    classes: np.ndarray  # of each code
-    logc: np.ndarray  # log10(c + 0.5) of each code; 0 where the count is joined
-    known: np.ndarray
+    words: Known
+    classes: np.ndarray
+    counted: np.ndarray
+    grouped: np.ndarray
     moves: np.ndarray  # log10 P(class | class before)
     inside: np.ndarray  # log10 of the denominator of P(word | class)
     total: int
@@ -543,6 +531,7 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
     tail = stored(counts.join(held, "word", "left_anti").select(id_column(F.col("word")).alias("h"), "c"), "tail")
     words, beyond = known_words(tail, len(head))
     lists = word_lists(texts, head, words)
+    discard(counts)
     bigrams = unit_bigrams(lists, words, head, dealt)
     own = exchange(bigrams, classes)
     k = int(own.max()) + 1
@@ -559,18 +548,22 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
         of_code[:len(head)] = last.head[:-1]
         found = last.rest.select(F.col("id").alias("h"), F.col("k").alias("_k"))
         rest = stored(rest.join(found, "h", "left").select("h", "c", F.coalesce("_k", "k").alias("k")), "rest")
+        discard(tail)
+    discard(lists)
     n_class, v_class = np.bincount(of_code[:len(head)], c, k), np.bincount(of_code[:len(head)], minlength=k).astype(float)
     for r in rest.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row for each class
         n_class[r.k], v_class[r.k] = n_class[r.k] + r.n, v_class[r.k] + r.v
     n_class[0], v_class[0] = n_class[0] + ends, v_class[0] + int(ends > 0)
     overall = (table.sum(0) + 0.5) / (table.sum() + 0.5 * k)
     moves = (table + k * overall) / (table.sum(1, keepdims=True) + k)
-    logc = np.zeros(len(of_code))
-    logc[:len(head)] = np.log10(c + 0.5)
-    logc[-1] = np.log10(ends + 0.5)
-    known = np.zeros(len(of_code), np.int64)
-    known[:len(head)], known[-1] = 1, int(ends > 0)
-    return Model(head, of_code, logc, known, np.log10(moves), np.log10(n_class + 0.5 * (v_class + 1)), int(n_class.sum()), int(v_class.sum()), rest)
+    wide = words.kept(rest, True).toArrow()  # at most WIDE rows
+    at = np.searchsorted(words.ids, wide["h"].to_numpy())
+    wide_k, wide_c = np.zeros(len(words.ids), np.int64), np.zeros(len(words.ids))
+    wide_k[at], wide_c[at] = wide["k"].to_numpy(), wide["c"].to_numpy()
+    grouped = words.by_code(np.append(of_code[:len(head)], of_code[-1]), endings, wide_k)
+    counted = np.concatenate((c, [ends], np.zeros(ENDINGS), wide_c))
+    return Model(head, words, of_code, counted, grouped, np.log10(moves), np.log10(n_class + 0.5 * (v_class + 1)), int(n_class.sum()),
+                 int(v_class.sum()), rest)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -581,38 +574,55 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     alone; a null id is kept; repeated rows each get a row; an empty table gives an empty result; other
     columns are not read.
     """
-    head, classes, logc, known, moves, inside = model.head, model.classes, model.logc, model.known, model.moves, model.inside
-    emitted = logc - inside[classes]
-    first, last, base, total = len(head), len(head) + ENDINGS, model.base, model.total
+    head, words, classes, counted, moves, inside = model.head, model.words, model.grouped, model.counted, model.moves, model.inside
+    logc, base, total, end = np.log10(counted + 0.5), model.base, model.total, len(model.head)
 
     def run(batches):
-        codes = Codes(head)
+        def flush(places, ids, parts, sizes):
+            own = places.ids()
+            code = words.codes(own)
+            tokens, start = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
+            c = code[tokens]
+            k, far = classes[c].astype(np.int64), (c > end) & (c < words.first)
+            before = np.concatenate(([classes[end]], k[:-1]))  # a document starts behind an end
+            far_before = np.concatenate(([False], far[:-1]))
+            add = lambda x: pa.array(np.add.reduceat(x, start[:-1]))
+            weight = np.where(far, 0, logc[c])
+            gain = np.where(far, 0, weight - inside[k]) + np.where(far | far_before, 0, moves[before, k])
+            places_far = np.flatnonzero(far)
+            doc = np.searchsorted(start, places_far, "right") - 1
+            rare, at = np.unique(doc * len(own) + tokens[places_far], return_inverse=True)
+            first = np.searchsorted(rare, np.arange(len(sizes) + 1) * len(own))
+            near = np.searchsorted(places_far, start)
+            ints = lambda x: pa.ListArray.from_arrays(pa.array(near.astype(np.int32)), pa.array(x.astype(np.int32)))
+            h = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(own[rare % len(own)]))
+            cells = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), add((counted[c] > 0).astype(np.int64)),
+                     pa.array(np.add.reduceat(weight, start[:-1]) - np.array(sizes) * base), add(gain), h, ints(at - first[doc]),
+                     ints(np.where(far_before[places_far], -1, before[places_far])), ints(np.where(far[places_far + 1], -1, k[places_far + 1]))]
+            yield from slices([pa.RecordBatch.from_arrays(cells, names)])
+
+        places, ids, parts, sizes, held = Places(head), [], [], [], 0
         for batch in slices(batches):
-            out = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words_of(t)
-                c = codes.of(found)
-                k = classes[c]
-                before = np.concatenate((k[-1:], k[:-1]))  # a document starts behind an end
-                far = (c >= first) & (c < last)
-                far_before = np.concatenate((far[-1:], far[:-1]))
-                places = np.nonzero(far)[0]
-                rare: dict[bytes, int] = {}
-                at = [rare.setdefault(found[i], len(rare)) for i in places.tolist()]
-                near = ~far & ~far_before
-                out.append((doc, len(c), int(known[c].sum()), float(logc[c].sum() - len(c) * base),
-                            float(moves[before[near], k[near]].sum() + emitted[c[~far]].sum()), [word_id(w) for w in rare], at,
-                            np.where(far_before[places], -1, before[places]), np.where(far[places + 1], -1, k[places + 1])))
-            long, number, ints = pa.int64(), pa.float64(), pa.list_(pa.int32())
-            kinds = (long, long, long, number, number, pa.list_(long), ints, ints, ints)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = words_of(text)
+                parts += [np.fromiter(map(places.__getitem__, found), np.int64, len(found)), [end]]
+                ids.append(doc)
+                sizes.append(len(found) + 1)
+                held += len(found) + 1
+                if held >= TOKENS or len(places.rare) >= CACHE:
+                    yield from flush(places, ids, parts, sizes)
+                    if len(places.rare) >= CACHE:
+                        places = Places(head)
+                    ids, parts, sizes, held = [], [], [], 0
+        if held:
+            yield from flush(places, ids, parts, sizes)
 
     def finish(batches):
         for batch in slices(batches):
             col = {n: batch.column(i) for i, n in enumerate([*names, "found"])}
             h, of_h, rows = col["h"].flatten().to_numpy(), col["h"].value_parent_indices().to_numpy(), batch.num_rows
             start = np.concatenate(([0], np.cumsum(np.bincount(of_h, minlength=rows))))
-            k, c = classes[first + (h & ENDINGS - 1)], np.zeros(len(h))  # unseen words: 0.5 in their ending's class
+            k, c = classes[end + 1 + (h & ENDINGS - 1)].astype(np.int64), np.zeros(len(h))  # unseen words: 0.5 in their ending's class
             j, n, own = (x.to_numpy() for x in col["found"].flatten().flatten())
             j = j + start[col["found"].value_parent_indices().to_numpy()]
             c[j], k[j] = n, own
