@@ -405,7 +405,7 @@ def test_class_table_counts_all_neighbours(spark, monkeypatch):
         held, beyond = lm.known_words(spark.createDataFrame(list(tail.items()), "h long, c long"), len(head))
         lists = lm.word_lists(texts, head, held)
         assert (lm.unit_bigrams(lists, held, head, 9) == units).all()
-        others = None if held.whole else lists.filter("nb is not null").join(beyond, "nb")
+        others = None if held.whole else lm.far_neighbours(lists).join(beyond, "nb")
         near = lm.neighbours(lists, found, held, others, 5)
         assert held.whole == (wide == 10_000) and near.groupBy("w").count().filter("count > 1").isEmpty()
         moving = {r.w if r.w < 0 else int(held.ids[r.w - held.first]) for r in near.filter("own").collect() if r.w < 0 or r.w >= held.first}

@@ -102,25 +102,9 @@ def id_column(word: Column) -> Column:
     return F.shiftleft(F.xxhash64(word), 7).bitwiseOR(group).bitwiseOR(F.lit(-(1 << 63)))
 
 
-class Places(dict):
-    """Number of a word within a task: its place in the head, or one behind the end's; ``ids`` names the numbers."""
-
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.head, self.rare = len(head), []
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = self.head + 1 + len(self.rare)
-        self.rare.append(word_id(word))
-        return place
-
-    def ids(self) -> np.ndarray:
-        return np.concatenate((np.arange(self.head + 1), np.array(self.rare, np.int64)))
-
-
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """The values as binary cells; a cell starts at each place in ``first``."""
-    offsets = np.append(first, len(values)).astype(np.int32) * np.int32(values.itemsize)
+    offsets = np.append(first, len(values)).astype(np.int32) * np.int32(values[:1].nbytes or 1)
     return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
@@ -176,6 +160,27 @@ class Known:
         return table[np.where(w >= 0, w, self.head + 1 + (w & ENDINGS - 1))]
 
 
+class Places(dict):
+    """Number of a word within a task: its place in the head, or one behind the end's."""
+
+    def __init__(self, head: list[bytes], words: Known):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.words, self.first, self.rare = words, len(head) + 1, []
+        self.ids = self.codes = np.arange(len(head) + 1)
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = self.first + len(self.rare)
+        self.rare.append(word_id(word))
+        return place
+
+    def named(self) -> tuple[np.ndarray, np.ndarray]:
+        """Id and code of each number; only new words are looked up."""
+        new = np.array(self.rare[len(self.ids) - self.first:], np.int64)
+        self.ids = np.concatenate((self.ids, new))
+        self.codes = np.concatenate((self.codes, self.words.codes(new)))
+        return self.ids, self.codes
+
+
 def known_words(counts: DataFrame, head: int) -> tuple[Known, DataFrame]:
     """The ``WIDE`` most frequent words of ``counts`` (h, c), as many as a histogram of counts allows, and the ids (nb) of the others."""
     moving = counts.filter(F.col("c") >= LEAST)
@@ -186,22 +191,21 @@ def known_words(counts: DataFrame, head: int) -> tuple[Known, DataFrame]:
 
 
 def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
-    """(w, ones, more, side, nb, n), stored by word: the words to the right (side 0) and left (1) of each word.
+    """(w, ones, more, far), stored by word: the words to the right (side 0) and left (1) of each word.
 
     ``w`` is a word's code, or its id if tasks do not know it; a document starts behind the end of another.
     ``ones`` holds side * 2^31 + code of neighbours seen once by a task, ``more`` n * 2^32 + that of the
-    others; rows with ``nb`` name a neighbour that tasks do not know, which is counted with its group too.
+    others; ``far`` names, with side * 2^32 + n, the neighbours that tasks do not know, which are counted with
+    their groups too.
     A word beside itself is listed on the right alone.  A task lists each word once for every ``PAIRS``
     pairs; the rows of a word are brought together, those of the i-th most frequent in ``1 + PIECES / i``
     pieces: its share of all words is 1 / i at most, so no piece holds more than one in ``PIECES``.
     """
-    names = ["w", "ones", "more", "side", "nb", "n"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+    names = ["w", "ones", "more", "far"]
 
     def run(batches):
         def flush(places, parts):
-            ids = places.ids()
-            code = words.codes(ids)
+            ids, code = places.named()
             own = code if words.whole else np.where((ids < 0) & (code < words.first), ids, code)
             own, at = np.unique(own, return_inverse=True)
             tokens = at[np.concatenate(parts)]
@@ -210,7 +214,7 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
             right, left, n = (keys >> 32).astype(np.int32), (keys & (1 << 32) - 1).astype(np.int32), n.astype(np.int32)
             back = right != left
             w = np.concatenate((right, left[back]))
-            order = np.argsort(w, kind="stable")
+            order = np.argsort(w)
             w = w[order]
             nb = np.concatenate((left, right[back]))[order]
             side = np.repeat(np.array((0, 1), np.int8), (len(right), back.sum()))[order]
@@ -218,15 +222,13 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
             entry, once = side.astype(np.int64) << 31 | code[nb], n == 1
             ones = _lists(entry[once].astype(np.uint32), np.searchsorted(w[once], np.arange(len(own))))
             more = _lists((n << 32 | entry)[~once], np.searchsorted(w[~once], np.arange(len(own))))
-            none = [pa.nulls(len(own), t) for t in kinds[3:]]
-            yield from slices([pa.RecordBatch.from_arrays([pa.array(own), ones, more, *none], names)], 20_000)
-            far = np.flatnonzero(own[nb] < 0)
-            none = [pa.nulls(len(far), t) for t in kinds[1:3]]
-            cells = [pa.array(own[w[far]]), *none, pa.array(side[far].astype(np.int32)), pa.array(own[nb[far]]), pa.array(n[far])]
-            yield from slices([pa.RecordBatch.from_arrays(cells, names)], 100_000)
+            far = own[nb] < 0
+            named = np.column_stack((own[nb[far]], side[far].astype(np.int64) << 32 | n[far]))
+            cells = [pa.array(own), ones, more, _lists(named, np.searchsorted(w[far], np.arange(len(own))))]
+            yield from slices([pa.RecordBatch.from_arrays(cells, names)], 20_000)
 
         end = np.array([len(head)])
-        places, parts, held = Places(head), [end], 0
+        places, parts, held = Places(head, words), [end], 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = words_of(text)
@@ -235,7 +237,7 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
                 if held >= PAIRS or len(places.rare) >= CACHE:
                     yield from flush(places, parts)
                     if len(places.rare) >= CACHE:
-                        places = Places(head)
+                        places = Places(head, words)
                     parts, held = [end], 0
         if held:
             yield from flush(places, parts)
@@ -243,11 +245,23 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
     w = F.col("w")
     common = F.when(w == len(head), 0).when(w < len(head), w).otherwise(w - len(head) - 1) + 1  # the end and the endings as the most frequent
     pieces = F.when((w >= 0) & (w < words.first), F.floor(PIECES / common) + 1).otherwise(1)
-    rows = texts.mapInArrow(run, "w long, ones binary, more binary, side int, nb long, n long").filter("nb is not null or length(ones) > 0 or length(more) > 0")
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("ones", "more", "nb"), pieces)).repartition("w", "piece")
+    rows = texts.mapInArrow(run, "w long, ones binary, more binary, far binary").filter("length(ones) > 0 or length(more) > 0")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("ones", "more"), pieces)).repartition("w", "piece")
     return stored(rows.drop("piece").sortWithinPartitions("w"), "lists")
 
 
+def far_neighbours(lists: DataFrame) -> DataFrame:
+    """(w, side, nb, n): the neighbours that tasks do not know, a row each."""
+    def run(batches):
+        for batch in slices(batches, 20_000):
+            v, size = _entries(batch.column(1), np.int64)
+            w, (nb, n) = np.repeat(batch.column(0).to_numpy(), size // 2), v.reshape(-1, 2).T
+            side = (n >> 32).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(side), pa.array(nb.copy()), pa.array(n & (1 << 32) - 1)], ["w", "side", "nb", "n"])
+
+    return lists.filter("length(far) > 0").select("w", "far").mapInArrow(run, "w long, side int, nb long, n long")
+
+
 def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Row, side, code and count of each entry of a batch of (w, ones, more)."""
     (one, a), (more, b) = _entries(batch.column(1), np.uint32), _entries(batch.column(2), np.int64)
@@ -273,7 +287,7 @@ def unit_bigrams(lists: DataFrame, words: Known, head: list[bytes], single: int)
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "n"])
 
-    each = lists.filter("nb is null").select("w", "ones", "more").mapInArrow(run, "cell long, n long")
+    each = lists.select("w", "ones", "more").mapInArrow(run, "cell long, n long")
     rows = each.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
@@ -369,7 +383,7 @@ def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFra
             own = (names >= 0) & ((names <= words.head) | (names >= words.first))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words.values(table, names).astype(np.int32)), pa.array(own), e], ["w", "k", "own", "e"])
 
-    rows = lists.filter("nb is null").select("w", "ones", "more").mapInArrow(run, "w long, k int, own boolean, e array<long>")
+    rows = lists.select("w", "ones", "more").mapInArrow(run, "w long, k int, own boolean, e array<long>")
     if others is not None:
         start = F.get(F.array(*[F.lit(int(k)) for k in classes.endings]), F.col("nb").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
         both = others.join(classes.rest.select(F.col("id").alias("nb"), "k"), "nb").withColumn("was", start).filter("k != was or nb = w")
@@ -431,7 +445,7 @@ def gains(right: np.ndarray, left: np.ndarray, twice: np.ndarray, own: np.ndarra
         n, cells = near[w, l], t.T[l]
         first = np.flatnonzero(np.diff(w, prepend=-1))
         if len(w):
-            out[w[first]] += np.add.reduceat(_f(cells + n[:, None]) - _f(cells), first, axis=0)
+            out[w[first]] += np.add.reduceat(_f(cells + n[:, None]) - _f(t).T[l], first, axis=0)
             cell = t[own[w], l]
             gone += np.bincount(w, _f(cell - n) - _f(cell), len(own))
         total, side = near.sum(1) + twice, t.sum(1)
@@ -442,8 +456,8 @@ def gains(right: np.ndarray, left: np.ndarray, twice: np.ndarray, own: np.ndarra
     aa, ab, ba, bb = table[own, own][:, None], table[own], table.T[own], np.diag(table)[None, :]
     out += _f(aa - r_a - q_a - s) - _f(aa - r_a) - _f(aa - q_a) + _f(aa)
     out += _f(bb + right + left + s) - _f(bb + right) - _f(bb + left) + _f(bb)
-    out += _f(ab - right + q_a) - _f(ab - right) - _f(ab + q_a) + _f(ab)
-    out += _f(ba + r_a - left) - _f(ba + r_a) - _f(ba - left) + _f(ba)
+    out += _f(ab - right + q_a) - _f(ab - right) - _f(ab + q_a) + _f(table)[own]
+    out += _f(ba + r_a - left) - _f(ba + r_a) - _f(ba - left) + _f(table).T[own]
     out[at, own] = 0
     return out
 
@@ -469,7 +483,7 @@ def moved(near: DataFrame, words: Known, table: np.ndarray) -> DataFrame:
 
 def sweep(lists: DataFrame, classes: Classes, words: Known, beyond: DataFrame, k: int, sweeps: int) -> tuple[Classes, np.ndarray]:
     """Classes after at most ``sweeps`` sweeps over all words, and their table; stops when the likelihood no longer rises."""
-    others = None if words.whole else stored(lists.filter("nb is not null").select("w", "side", "nb", "n").join(beyond, "nb"), "others")
+    others = None if words.whole else stored(far_neighbours(lists).join(beyond, "nb"), "others")
     near = neighbours(lists, classes, words, others, k)
     table = class_bigrams(near, k)
     for _ in range(sweeps):
@@ -579,8 +593,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         def flush(places, ids, parts, sizes):
-            own = places.ids()
-            code = words.codes(own)
+            own, code = places.named()
             tokens, start = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
             c = code[tokens]
             k, far = classes[c].astype(np.int64), (c > end) & (c < words.first)
@@ -601,7 +614,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                      ints(np.where(far_before[places_far], -1, before[places_far])), ints(np.where(far[places_far + 1], -1, k[places_far + 1]))]
             yield from slices([pa.RecordBatch.from_arrays(cells, names)])
 
-        places, ids, parts, sizes, held = Places(head), [], [], [], 0
+        places, ids, parts, sizes, held = Places(head, words), [], [], [], 0
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = words_of(text)
@@ -612,7 +625,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 if held >= TOKENS or len(places.rare) >= CACHE:
                     yield from flush(places, ids, parts, sizes)
                     if len(places.rare) >= CACHE:
-                        places = Places(head)
+                        places = Places(head, words)
                     ids, parts, sizes, held = [], [], [], 0
         if held:
             yield from flush(places, ids, parts, sizes)
