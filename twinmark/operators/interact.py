@@ -2,17 +2,18 @@
 
 Input: id sequences per (pair, side) from ``corpus.to_sequences`` and the embedding table
 (idx, vec) from ``corpus.embedding_table``.  The embedding table has at most ``num_words`` + 1
-rows (a fixed bound), so it is broadcast.  Interactions stay inside a pair: each pair has at
+rows (a fixed bound), so it is broadcast; ids are shuffled, never vectors.  Interactions stay inside a pair: each pair has at
 most ``maxlen`` x ``maxlen`` cells (the fixed sequence length), never pairs across the table.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..functions.arrow_udfs import dot_matrix_udf
+from ..functions.arrow_udfs import align_udf, dot_matrix_udf, sentence_udf, vectors_udf
 from .corpus import MAX_SEQUENCE_LENGTH, pad
 
 MATCH_TYPES = ("dot", "mul", "plus", "minus", "concat")
@@ -26,10 +27,24 @@ def token_ids(seqs: DataFrame, keys: list[str], padded: bool = False,
     return seqs.select(*keys, "side", F.posexplode_outer(ids).alias("pos", "idx")).where(F.col("idx").isNotNull())
 
 
+def _tail(maxlen: int) -> Column:
+    return F.slice("ids", F.greatest(F.size("ids") - maxlen + 1, F.lit(1)), maxlen)
+
+
+def _looked_up(emb: DataFrame):
+    """The embedding table, sent to the tasks in the order of its vectors."""
+    t = emb.select(F.col("idx").cast("int").alias("idx"), "vec", D.norm("vec").alias("n")).orderBy("vec").toArrow().combine_chunks()
+    whole = lambda c: pa.concat_arrays(t[c].chunks) if t.num_rows else t[c].combine_chunks()
+    return vectors_udf(emb.sparkSession.sparkContext.broadcast((whole("idx").to_pylist(), whole("vec"), whole("n"))))
+
+
 def token_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, padded: bool = False,
                   maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
-    """(keys, side, pos, vec): token ids with their vectors (broadcast lookup)."""
-    return token_ids(seqs, keys, padded, maxlen).join(F.broadcast(emb.select("idx", "vec")), "idx").drop("idx")
+    """(keys, side, vecs): the vectors of a sentence's last ``maxlen`` tokens, in order; with ``padded``
+    the leading zero ids are kept (they read row 0, the zero vector).  A sentence without any has no row."""
+    ids = pad("ids", maxlen) if padded else _tail(maxlen)
+    per = seqs.select(*keys, "side", ids.alias("ids")).repartition(*keys).groupBy(*keys, "side").agg(F.collect_list("ids").alias("_l"))
+    return per.select(*keys, "side", _looked_up(emb)("_l").alias("_v")).select(*keys, "side", F.col("_v.vec").alias("vecs")).where(F.size("vecs") > 0)
 
 
 def cells(tid: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,19 +154,14 @@ def soft_align(c: DataFrame, keys: list[str], emb: DataFrame) -> DataFrame:
 def side_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
     """One row per pair: (keys, v1, v2, k1, k2), each side's vectors in order and their norms.
 
-    At most ``maxlen`` vectors a side, so a row is bounded; all interactions of a pair are then array
-    expressions on its row, without a shuffle of cells.
+    At most ``maxlen`` vectors a side, so a row is bounded; all interactions of a pair are then
+    computed on its row.  Only the ids are shuffled: a row's vectors are looked up when its ids are together.
     """
-    ids = F.slice("ids", F.greatest(F.size("ids") - maxlen + 1, F.lit(1)), maxlen)
-    e = F.broadcast(emb.select("idx", "vec", D.norm("vec").alias("_n")))
-    tok = seqs.select(*keys, "side", F.posexplode_outer(ids).alias("pos", "idx")).join(e, "idx", "left")
-
-    def of(side):
-        entry = F.when((F.col("side") == side) & F.col("idx").isNotNull(), F.struct("pos", "vec", "_n"))
-        return F.sort_array(F.collect_list(entry)).alias(f"_{side}")
-
-    rows = tok.groupBy(*keys).agg(of(1), of(2))
-    return rows.select(*keys, *[F.transform(f"_{i}", lambda t: t[f]).alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("_n", "k"))])
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("ids"))).alias(f"_{side}")
+    ids = seqs.select(*keys, "side", _tail(maxlen).alias("ids")).groupBy(*keys).agg(of(1), of(2))
+    look = _looked_up(emb)
+    rows = ids.select(*keys, look("_1").alias("_1"), look("_2").alias("_2"))
+    return rows.select(*keys, *[F.col(f"_{i}.{f}").alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("norm", "k"))])
 
 
 def score_matrix(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,38 +206,22 @@ def matrix_pool(rows: DataFrame, keys: list[str], p1: int = 5, p2: int = 5, maxl
 
 
 def matrix_align(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M6 on ``score_matrix``: (keys, side, pos, aligned), see ``soft_align``."""
-    outs = []
-    turned = F.transform(F.sequence(F.lit(0), F.size("v2") - 1), lambda j: F.transform("m", lambda r: F.get(r, j)))
-    for side, scores, other in ((1, F.col("m"), "v2"), (2, F.when(F.size("v2") > 0, turned), "v1")):
-        e = F.transform("_s", lambda r: F.transform(r, lambda x: F.exp(x - F.array_max(r))))
-        r = rows.where((F.size("v1") > 0) & (F.size("v2") > 0)).select(*keys, F.col(other).alias("_v"), scores.alias("_s"))
-        r = r.select(*keys, "_v", F.posexplode(e).alias("pos", "_e"))
-        total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-        zero = F.array_repeat(F.lit(0.0), F.size(F.get("_v", F.lit(0))))
-        summed = F.aggregate(F.arrays_zip("_e", "_v"), zero, lambda acc, t: F.zip_with(acc, t["_v"], lambda a, x: a + t["_e"] * x))
-        r = r.select(*keys, "pos", total.alias("_z"), summed.alias("_w"))
-        outs.append(r.select(*keys, F.lit(side).alias("side"), "pos", F.transform("_w", lambda x: x / F.col("_z")).alias("aligned")))
-    return outs[0].unionByName(outs[1])
+    """M6 on ``score_matrix``: (keys, side, pos, aligned), see ``soft_align``; two matrix products per pair."""
+    r = rows.where((F.size("v1") > 0) & (F.size("v2") > 0)).select(*keys, align_udf("m", "v1", "v2").alias("_a"))
+    sides = F.posexplode(F.array("_a.one", "_a.two")).alias("side", "_s")
+    r = r.select(*keys, sides).select(*keys, (F.col("side") + 1).alias("side"), F.posexplode("_s").alias("pos", "aligned"))
+    return r
 
 
 def sentence_vectors(tv: DataFrame, keys: list[str]) -> DataFrame:
-    """M7: element-wise mean, max and sum of each sentence's token vectors (exploded by dimension,
-    so a sentence is never one task's whole matrix)."""
-    ex = tv.select(*keys, "side", F.posexplode("vec").alias("d", "x"))
-    agg = ex.groupBy(*keys, "side", "d").agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.sum("x").alias("sum"))
-    per = agg.groupBy(*keys, "side").agg(F.sort_array(F.collect_list(F.struct("d", "mean", "max", "sum"))).alias("_a"))
-    def field(m):
-        return F.transform("_a", lambda s: s[m].cast("double")).alias(m)
-
-    return per.select(*keys, "side", field("mean"), field("max"), field("sum"))
+    """M7: element-wise mean, max and sum of each sentence's token vectors (at most ``maxlen`` of them, one row)."""
+    return tv.select(*keys, "side", sentence_udf("vecs").alias("_s")).select(*keys, "side", "_s.mean", "_s.max", "_s.sum")
 
 
 def pair_vectors(sv: DataFrame, keys: list[str], kind: str = "mean") -> DataFrame:
     """M8: |a - b|, a * b and concat(a, b) of the two sentence vectors of a pair."""
-    a = sv.where(F.col("side") == 1).select(*keys, F.col(kind).alias("a"))
-    b = sv.where(F.col("side") == 2).select(*keys, F.col(kind).alias("b"))
-    j = a.join(b, keys)
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col(kind)))
+    j = sv.groupBy(*keys).agg(*[F.get(of(i), F.lit(0)).alias(c) for i, c in ((1, "a"), (2, "b"))]).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     return j.select(*keys, F.zip_with("a", "b", lambda x, y: F.abs(x - y)).alias("abs_diff"),
                     F.zip_with("a", "b", lambda x, y: x * y).alias("product"), F.concat("a", "b").alias("concat"))
 

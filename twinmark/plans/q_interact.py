@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..functions.arrow_udfs import elementwise_udf
 from ..operators import corpus as C
 from ..operators import features as X
 from ..operators import interact as I
@@ -57,7 +58,7 @@ def _sum(a):
 
 def _prep(spark, sf):
     links, vectors, tokens, vocab = prepared(spark, sf)
-    return sequences_of(links, tokens, vocab), C.embedding_table(vocab, vectors, DIM)
+    return sequences_of(links, tokens, vocab, C.MAX_SEQUENCE_LENGTH), C.embedding_table(vocab, vectors, DIM)
 
 
 def _matrix(spark, sf):
@@ -86,14 +87,8 @@ def match_elementwise(spark, sf):
     """All kinds of a cell in one pass; the sums are taken in the pair's row."""
     seqs, emb = _prep(spark, sf)
     rows = I.side_vectors(seqs, KEYS, emb).where((F.size("v1") > 0) & (F.size("v2") > 0))
-
-    def total(op):
-        of = lambda a, b: I.vec_sum(F.zip_with(a, b, lambda x, y: op(x.cast("double"), y.cast("double"))))
-        return F.round(I.vec_sum(F.flatten(F.transform("v1", lambda a: F.transform("v2", lambda b: of(a, b))))), 4)
-
-    kinds = {"mul": lambda x, y: x * y, "plus": lambda x, y: x + y, "minus": lambda x, y: x - y}
-    length = I.vec_sum(F.flatten(F.transform("v1", lambda a: F.transform("v2", lambda b: F.size(F.concat(a, b))))))
-    return rows.select(*KEYS, *[total(op).alias(f"{k}_sum") for k, op in kinds.items()], length.cast("long").alias("concat_len"))
+    rows = rows.select(*KEYS, elementwise_udf("v1", "v2").alias("_c"))
+    return rows.select(*KEYS, *[F.round(f"_c.{k}", 4).alias(f"{k}_sum") for k in ("mul", "plus", "minus")], F.col("_c.concat").alias("concat_len"))
 
 
 TOPK_SQL = f"""WITH {IBASE},
@@ -192,7 +187,8 @@ def _oof(spark, sf):
     pairs = P.split_doc_pairs(spark, sf)
     feats = X.pair_features(pairs.drop("label"), ["pair_id"],
                             ("Not", "WordMatchShare", "Length", "NgramJaccardCoef", "TFIDFSpanish"))
-    feats = feats.join(pairs.select("pair_id", "split", "label"), "pair_id")
+    # stored: the training rows and the others are read apart
+    feats = cut_lineage(feats).join(pairs.select("pair_id", "split", "label"), "pair_id")
     return SK.out_of_fold_scores(feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test"),
                                  "pair_id", OOF_FEATURES, "label")
 
