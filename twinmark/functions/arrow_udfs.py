@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,15 +46,34 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([H.partial_ratio(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def dot_matrix_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """All dot products of two lists of vectors, in double precision."""
-    def dots(x, y):
-        if len(x) == 0 or len(y) == 0:
-            return [[] for _ in x]
-        return list(np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T)
+def _matrices(lists: pa.Array):
+    """The vectors of each row, a list of vectors, as a matrix in double precision, one row after the other."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+    vectors = lists.flatten()
+    widths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(widths) == 1 and widths[0]:
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, widths[0])
+        for a, b in zip(ends, ends[1:]):
+            yield flat[a:b].astype(np.float64)
+    else:
+        for row in lists.to_pylist():
+            yield np.array(row or [], np.float64)
+
+
+def _doubles(rows: list, per_row: list) -> pa.Array:
+    """Lists of doubles, one behind the other in ``rows``, of the given lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows])))
 
-    return pd.Series([dots(x, y) for x, y in zip(a, b)])
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def dot_matrix_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    """All dot products of two lists of vectors, in double precision."""
+    cells, high, wide = [], [], []
+    for x, y in zip(_matrices(a), _matrices(b)):
+        cells.append((x @ y.T).ravel() if len(x) and len(y) else np.zeros(0))
+        high.append(len(x))
+        wide.extend([len(y)] * len(x))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(high))), pa.int32()), _doubles(cells, wide))
 
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -149,11 +169,15 @@ def elementwise_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["mul", "plus", "minus", "concat"])
 
 
-@F.pandas_udf(_row(mean=VECTOR, max=VECTOR, sum=VECTOR))
-def sentence_udf(vectors: pd.Series) -> pd.DataFrame:
-    """Element-wise mean, maximum and sum of a list of vectors."""
-    stacked = [np.stack(v).astype(np.float64) for v in vectors]
-    return pd.DataFrame({"mean": [v.mean(axis=0) for v in stacked], "max": [v.max(axis=0) for v in stacked], "sum": [v.sum(axis=0) for v in stacked]})
+@F.arrow_udf(_row(mean=VECTOR, max=VECTOR, sum=VECTOR))
+def sentence_udf(vectors: pa.Array) -> pa.Array:
+    """Element-wise mean, maximum and sum of a list of vectors; empty ones if it has none."""
+    kinds, wide = ([], [], []), []
+    for v in _matrices(vectors):
+        for kind, of in zip(kinds, (np.mean, np.max, np.sum)):
+            kind.append(of(v, axis=0) if len(v) else np.zeros(0))
+        wide.append(len(kinds[0][-1]))
+    return pa.StructArray.from_arrays([_doubles(kind, wide) for kind in kinds], ["mean", "max", "sum"])
 
 
 def count_words(rows):
@@ -174,13 +198,14 @@ def count_words(rows):
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_ids_udf(lookup):
-    """Places and ids of the known words in a token list, joined by blanks; ``lookup`` is a broadcast {word: [ids]}."""
+def word_ids_udf(lookup, last=None):
+    """Places and ids of the known words in a token list, joined by blanks, with ``last`` so many at its end; ``lookup`` is a broadcast {word: [ids]}."""
     @F.pandas_udf("at array<int>, ids array<int>")
     def word_ids(joined: pd.Series) -> pd.DataFrame:
         known, at, ids = lookup.value, [], []
         for x in joined:
             found = [(pos, i) for pos, w in enumerate(H.tokens_of(x)) for i in known.get(w, ())]
+            found = found if last is None else found[max(len(found) - last, 0):]
             at.append([pos for pos, _ in found])
             ids.append([i for _, i in found])
         return pd.DataFrame({"at": at, "ids": ids})

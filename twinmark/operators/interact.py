@@ -151,14 +151,16 @@ def soft_align(c: DataFrame, keys: list[str], emb: DataFrame) -> DataFrame:
     return outs[0].unionByName(outs[1])
 
 
-def side_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
+def side_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, maxlen: int = MAX_SEQUENCE_LENGTH, padded: bool = False) -> DataFrame:
     """One row per pair: (keys, v1, v2, k1, k2), each side's vectors in order and their norms.
 
     At most ``maxlen`` vectors a side, so a row is bounded; all interactions of a pair are then
     computed on its row.  Only the ids are shuffled: a row's vectors are looked up when its ids are together.
+    With ``padded`` the leading zero ids are kept (they read row 0, the zero vector).
     """
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("ids"))).alias(f"_{side}")
-    ids = seqs.select(*keys, "side", _tail(maxlen).alias("ids")).groupBy(*keys).agg(of(1), of(2))
+    last = pad("ids", maxlen) if padded else _tail(maxlen)
+    ids = seqs.select(*keys, "side", last.alias("ids")).groupBy(*keys).agg(of(1), of(2))
     look = _looked_up(emb)
     rows = ids.select(*keys, look("_1").alias("_1"), look("_2").alias("_2"))
     return rows.select(*keys, *[F.col(f"_{i}.{f}").alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("norm", "k"))])
@@ -218,12 +220,28 @@ def sentence_vectors(tv: DataFrame, keys: list[str]) -> DataFrame:
     return tv.select(*keys, "side", sentence_udf("vecs").alias("_s")).select(*keys, "side", "_s.mean", "_s.max", "_s.sum")
 
 
+def sentence_sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """M7 on ``side_vectors``: (keys, s1, s2), the mean, max and sum of either side, for pairs with vectors on both."""
+    both = rows.where((F.size("v1") > 0) & (F.size("v2") > 0))
+    return both.select(*keys, *[sentence_udf(f"v{i}").alias(f"s{i}") for i in (1, 2)])
+
+
+def _pair_columns(a: str, b: str) -> list[Column]:
+    return [F.zip_with(a, b, lambda x, y: F.abs(x - y)).alias("abs_diff"), F.zip_with(a, b, lambda x, y: x * y).alias("product"),
+            F.concat(a, b).alias("concat")]
+
+
 def pair_vectors(sv: DataFrame, keys: list[str], kind: str = "mean") -> DataFrame:
-    """M8: |a - b|, a * b and concat(a, b) of the two sentence vectors of a pair."""
+    """M8: |a - b|, a * b and concat(a, b) of the two sentence vectors of a pair.
+
+    ``sv`` is ``sentence_vectors``, whose sides are brought together, or ``sentence_sides``, where a pair is a
+    row already: nothing is shuffled, and the row's columns stay beside these.
+    """
+    if "side" not in sv.columns:
+        return sv.select("*", *_pair_columns(f"s1.{kind}", f"s2.{kind}"))
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col(kind)))
     j = sv.groupBy(*keys).agg(*[F.get(of(i), F.lit(0)).alias(c) for i, c in ((1, "a"), (2, "b"))]).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return j.select(*keys, F.zip_with("a", "b", lambda x, y: F.abs(x - y)).alias("abs_diff"),
-                    F.zip_with("a", "b", lambda x, y: x * y).alias("product"), F.concat("a", "b").alias("concat"))
+    return j.select(*keys, *_pair_columns("a", "b"))
 
 
 def vec_sum(v) -> Column:

@@ -45,9 +45,7 @@ def prepared(spark, sf):
 
 def sequences_of(links, tokens, vocab, last=None):
     """(pair_id, side, ids): sequences are made once for each document and then paired; with ``last`` so many ids at their ends."""
-    seqs = C.document_sequences(tokens, "doc_id", vocab)
-    if last is not None:
-        seqs = seqs.select("doc_id", F.slice("ids", F.greatest(F.size("ids") - last + 1, F.lit(1)), last).alias("ids"))
+    seqs = C.document_sequences(tokens, "doc_id", vocab, last=last)
     return C.pair_sides(links, KEYS, seqs, "doc_id")
 
 

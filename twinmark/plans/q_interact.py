@@ -168,15 +168,15 @@ FROM sv JOIN pv ON pv.pair_id = sv.pair_id"""
 
 @query("sentence_vectors", SENT_SQL, ("M7", "M8"))
 def sentence_vectors(spark, sf):
+    """A pair's two sides stay in one row until their sums are taken."""
     seqs, emb = _prep(spark, sf)
-    tv = I.token_vectors(seqs, KEYS, emb, padded=True)
-    sv = I.sentence_vectors(tv, KEYS)
+    sv = I.sentence_sides(I.side_vectors(seqs, KEYS, emb, padded=True), KEYS)
     pv = I.pair_vectors(sv, KEYS, "mean")
-    return sv.join(pv, KEYS).select(
-        *KEYS, F.col("side").cast("int"), F.round(I.vec_sum("mean"), 5).alias("mean_sum"),
-        F.round(I.vec_sum("max"), 5).alias("max_sum"), F.round(I.vec_sum("sum"), 4).alias("sum_sum"),
-        F.round(I.vec_sum("abs_diff"), 5).alias("absdiff_sum"), F.round(I.vec_sum("product"), 5).alias("product_sum"),
-        F.size("concat").cast("long").alias("concat_len"))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), *[F.round(I.vec_sum(f"s{i}.{kind}"), r).alias(f"{kind}_sum") for kind, r in (("mean", 5), ("max", 5), ("sum", 4))])
+                      for i in (1, 2)])
+    rows = pv.select(*KEYS, F.explode(sides).alias("_s"), F.round(I.vec_sum("abs_diff"), 5).alias("absdiff_sum"),
+                     F.round(I.vec_sum("product"), 5).alias("product_sum"), F.size("concat").cast("long").alias("concat_len"))
+    return rows.select(*KEYS, "_s.*", "absdiff_sum", "product_sum", "concat_len")
 
 
 OOF_FEATURES = ["word_match_share", "len_word_diff", "len_char_diff", "ngram_jaccard_1", "ngram_jaccard_2",
