@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,39 @@ def test_class_table_counts_all_neighbours(spark, monkeypatch):
         assert (lm.class_bigrams(near, 5) == classes).all()
 
 
+def test_lists_of_neighbours_are_made_some_words_at_a_time(spark, monkeypatch):
+    """op7: a task never holds the lists of all its words at once, and no neighbour is lost or counted twice."""
+    class Captured:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            raise InterruptedError
+
+    monkeypatch.setattr(lm, "ENTRIES", 8)
+    texts = [b"a b a c d", b"", None, b"c c a x", b"y a b"]
+    head = [b"a", b"b"]
+    for ids in ([], [b"c", b"d"]):
+        words, captured = lm.Known(len(head), np.unique(np.array([lm.word_id(w) for w in ids], np.int64)), bool(ids)), Captured()
+        with pytest.raises(InterruptedError):
+            lm.word_lists(captured, head, words)
+        ids_of = {w: lm.word_id(w) for w in (b"c", b"d", b"x", b"y")}
+        code = lambda w: len(head) if w is None else head.index(w) if w in head else int(words.codes(np.array([ids_of[w]]))[0])
+        name = lambda w: ids_of[w] if w in ids_of and not words.whole and code(w) < words.first else code(w)
+        want, got, held = Counter(), Counter(), []
+        for text in texts:
+            found = [None, *(text or b"").split(), None]
+            for a, b in zip(found, found[1:]):
+                want[name(a), 0, code(b)] += 1
+                if name(a) != name(b):
+                    want[name(b), 1, code(a)] += 1
+        for batch in captured.run(iter([pa.record_batch([pa.array(texts, pa.binary())], ["text"])])):
+            row, side, codes, n = lm._listed(batch)
+            held.append((batch.num_rows, len(row)))
+            for key in zip(batch.column(0).to_numpy()[row].tolist(), side.tolist(), codes.tolist(), n.tolist()):
+                got[key[:3]] += key[3]
+        assert got == want
+        assert len(held) > 1 and all(entries <= 2 * 8 or rows == 1 for rows, entries in held)
+
+
 def test_every_repeated_word_has_a_class_by_its_neighbours(spark):
     """Words beyond the head, with one ending, of two kinds: they part by their neighbours, not by their ending."""
     rows, table = two_kinds(spark)

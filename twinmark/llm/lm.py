@@ -33,6 +33,8 @@ LEAST, WORD_SWEEPS = 2, 2
 WIDE = 400_000
 #: Pairs of neighbouring words that a task sorts at once, and pieces of the most frequent word's lists.
 PAIRS, PIECES = 2_000_000, 256
+#: Neighbours whose lists a task makes at once, but for a word that has more.
+ENTRIES = 200_000
 #: Words that a task scores at once.
 TOKENS = 500_000
 #: Distinct words that a task counts or remembers at once.
@@ -208,31 +210,49 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
             ids, code = places.named()
             own = code if words.whole else np.where((ids < 0) & (code < words.first), ids, code)
             own, at = np.unique(own, return_inverse=True)
-            tokens = at[np.concatenate(parts)]
+            tokens = at.astype(np.int32)[np.concatenate(parts)]
+            parts.clear()
             code = words.values(np.arange(words.first + len(words.ids)), own)
-            keys, n = np.unique(tokens[:-1] << 32 | tokens[1:], return_counts=True)
-            right, left, n = (keys >> 32).astype(np.int32), (keys & (1 << 32) - 1).astype(np.int32), n.astype(np.int32)
-            back = right != left
-            w = np.concatenate((right, left[back]))
-            order = np.argsort(w)
+            keys = tokens[:-1].astype(np.int64)
+            keys <<= 32
+            keys |= tokens[1:]
+            keys.sort()
+            new = np.flatnonzero(np.diff(keys, prepend=-1) != 0)  # the first of equal pairs
+            n = np.diff(new, append=len(keys)).astype(np.int32)
+            keys = keys[new]
+            right, left = (keys >> 32).astype(np.int32), (keys & (1 << 32) - 1).astype(np.int32)
+            del keys, tokens, at, new
+            back = np.flatnonzero(right != left).astype(np.int32)
+            back = back[np.argsort(left[back], kind="stable")]
+            all_words = np.arange(len(own) + 1)
+            to, fro = np.searchsorted(right, all_words), np.searchsorted(left[back], all_words)
+            cuts = np.searchsorted(to + fro, np.arange(0, len(right) + len(back), ENTRIES))
+            cuts = np.unique(np.append(cuts, len(own)))
+            for first, last in zip(np.append(0, cuts), cuts):  # the lists of some words at a time
+                yield from lists(first, last, own, code, right, left, n, slice(to[first], to[last]), back[fro[first]:fro[last]])
+
+        def lists(first, last, own, code, right, left, n, r, b):
+            w = np.concatenate((right[r], left[b])) - first
+            order = np.argsort(w, kind="stable")
             w = w[order]
-            nb = np.concatenate((left, right[back]))[order]
-            side = np.repeat(np.array((0, 1), np.int8), (len(right), back.sum()))[order]
-            n = np.concatenate((n, n[back]))[order].astype(np.int64)
-            entry, once = side.astype(np.int64) << 31 | code[nb], n == 1
-            ones = _lists(entry[once].astype(np.uint32), np.searchsorted(w[once], np.arange(len(own))))
-            more = _lists((n << 32 | entry)[~once], np.searchsorted(w[~once], np.arange(len(own))))
+            nb = np.concatenate((left[r], right[b]))[order]
+            side = np.repeat(np.array((0, 1), np.int64), (r.stop - r.start, len(b)))[order]
+            n = np.concatenate((n[r], n[b]))[order].astype(np.int64)
+            at = np.arange(last - first)
+            entry, once = side << 31 | code[nb], n == 1
+            ones = _lists(entry[once].astype(np.uint32), np.searchsorted(w[once], at))
+            more = _lists((n << 32 | entry)[~once], np.searchsorted(w[~once], at))
             far = own[nb] < 0
-            named = np.column_stack((own[nb[far]], side[far].astype(np.int64) << 32 | n[far]))
-            cells = [pa.array(own), ones, more, _lists(named, np.searchsorted(w[far], np.arange(len(own))))]
+            named = np.column_stack((own[nb[far]], side[far] << 32 | n[far]))
+            cells = [pa.array(own[first:last]), ones, more, _lists(named, np.searchsorted(w[far], at))]
             yield from slices([pa.RecordBatch.from_arrays(cells, names)], 20_000)
 
-        end = np.array([len(head)])
+        end = np.array([len(head)], np.int32)
         places, parts, held = Places(head, words), [end], 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = words_of(text)
-                parts += [np.fromiter(map(places.__getitem__, found), np.int64, len(found)), end]
+                parts += [np.fromiter(map(places.__getitem__, found), np.int32, len(found)), end]
                 held += len(found) + 1
                 if held >= PAIRS or len(places.rare) >= CACHE:
                     yield from flush(places, parts)
