@@ -414,6 +414,40 @@ def test_class_table_counts_all_neighbours(spark, monkeypatch):
         assert (lm.class_bigrams(near, 5) == classes).all()
 
 
+def test_rows_of_a_word_are_merged_and_rare_words_join_their_group(spark):
+    """op7: lists hold a row of a word, words seen once count as their ending's group, on the right alone."""
+    words = lm.Known(2, np.zeros(0, np.int64), False)
+    cell = lambda kind, *x: np.array(x, kind).tobytes()
+    ones, longs, left = lambda *x: cell(np.uint32, *x), lambda *x: cell(np.int64, *x), 1 << 31
+    rows = [(-900, ones(7, left + 1), longs(), longs()), (-700, ones(5, left + 6), longs(), longs(-300, 1, -900, (1 << 32) + 1)),
+            (-500, ones(5, left + 6), longs(), longs(-300, 1)), (-500, ones(8), longs((3 << 32) + 1), longs(-900, 2)),
+            (-300, ones(left + 1), longs((2 << 32) + 5), longs()), (1, ones(2), longs(), longs()), (1, ones(9), longs(), longs())]
+    schema = "w long, ones binary, more binary, far binary"
+    got = [(r.w, bytes(r.ones), bytes(r.more), bytes(r.far)) for r in lm.merged(spark.createDataFrame(rows, schema).coalesce(1), words).collect()]
+    group = 2 + 1 + (-700 & lm.ENDINGS - 1)
+    assert sorted(got) == sorted([rows[0], (-500, ones(5, left + 6, 8), longs((3 << 32) + 1), longs(-300, 1, -900, 2)), rows[4],
+                                  (1, ones(2, 9), b"", b""), (group, ones(5), b"", longs(-300, 1))])
+
+
+def test_right_neighbours_do_for_the_class_table(spark, monkeypatch):
+    """op7: the last table of a sweep lists no neighbours on the left, and counts the same classes."""
+    _, table = two_kinds(spark)
+    texts = table.select(F.col("text").cast("binary").alias("text"))
+    counts = lm.word_counts(texts)
+    head = [w for w, _ in lm.frequent(counts, 20)]
+    tail = counts.filter(~F.col("word").isin(head)).select(lm.id_column(F.col("word")).alias("h"), "c")
+    monkeypatch.setattr(lm, "WIDE", 500)
+    words, beyond = lm.known_words(tail, len(head))
+    lists = lm.word_lists(texts, head, words)
+    rest = tail.filter(F.col("c") >= lm.LEAST).select(F.col("h").alias("id"), (F.abs("h") % 4 + 1).cast("int").alias("k"))
+    found = lm.Classes(np.array([1 + i % 3 for i in range(len(head))] + [0]), np.arange(lm.ENDINGS) % 4 + 1, rest)
+    others = lm.far_neighbours(lists).join(beyond, "nb")
+    both, right = (lm.neighbours(lists, found, words, others, 5, left=x) for x in (True, False))
+    assert (lm.class_bigrams(both, 5) == lm.class_bigrams(right, 5)).all()
+    length = F.sum(F.length("e"))
+    assert right.agg(length).first()[0] < 0.7 * both.agg(length).first()[0]
+
+
 def test_lists_of_neighbours_are_made_some_words_at_a_time(spark, monkeypatch):
     """op7: a task never holds the lists of all its words at once, and no neighbour is lost or counted twice."""
     class Captured:

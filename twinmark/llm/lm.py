@@ -202,6 +202,7 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
     A word beside itself is listed on the right alone.  A task lists each word once for every ``PAIRS``
     pairs; the rows of a word are brought together, those of the i-th most frequent in ``1 + PIECES / i``
     pieces: its share of all words is 1 / i at most, so no piece holds more than one in ``PIECES``.
+    ``merged`` then makes one row of a word's neighbouring rows.
     """
     names = ["w", "ones", "more", "far"]
 
@@ -267,7 +268,78 @@ def word_lists(texts: DataFrame, head: list[bytes], words: Known) -> DataFrame:
     pieces = F.when((w >= 0) & (w < words.first), F.floor(PIECES / common) + 1).otherwise(1)
     rows = texts.mapInArrow(run, "w long, ones binary, more binary, far binary").filter("length(ones) > 0 or length(more) > 0")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("ones", "more"), pieces)).repartition("w", "piece")
-    return stored(rows.drop("piece").sortWithinPartitions("w"), "lists")
+    return stored(merged(rows.drop("piece").sortWithinPartitions("w"), words), "lists")
+
+
+def _runs(w: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    return np.flatnonzero(np.append(np.full(len(w[:1]), True), w[1:] != w[:-1]))
+
+
+def merged(lists: DataFrame, words: Known) -> DataFrame:
+    """``word_lists``'s rows, sorted by word: one row of those of a word that follow each other in a batch.
+
+    A word that tasks do not know and that is seen less than ``LEAST`` times never moves, so only the words to
+    its right count, as its ending's group's: such words go into the rows of their groups.  All rows of such a
+    word are in one task; the first and the last word of a batch may go on in the next and stay as they are.
+    """
+    names = ["w", "ones", "more", "far"]
+
+    def run(batches):
+        few, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column(0).to_numpy()
+            first = _runs(w)
+            cells, right = [], np.zeros(len(first))
+            for i, kind in ((1, np.uint32), (2, np.int64), (3, np.int64)):
+                v, size = _entries(batch.column(i), kind)
+                ends = np.append(0, np.cumsum(size))
+                at = np.append(ends[first], ends[-1])
+                cells.append((v, at))
+                if i < 3:
+                    n = ((v >> 31 & 1) == 0) * (v >> 32 if i == 2 else 1)
+                    right += np.diff(np.append(0, np.cumsum(n))[at])
+            w = w[first]
+            rare = (w < 0) & (right < LEAST)
+            rare[[0, -1]] = False
+            if rare.any():
+                group = words.head + 1 + (w & ENDINGS - 1)
+                few.append(_right(cells, np.flatnonzero(rare), group))
+                held += sum(len(v) for _, v in few[-1])
+            rows = pa.RecordBatch.from_arrays([pa.array(w), *[_lists(v, at[:-1]) for v, at in cells]], names)
+            yield rows.filter(pa.array(~rare)) if rare.any() else rows
+            if held >= ENTRIES:
+                yield from groups(few)
+                few, held = [], 0
+        if few:
+            yield from groups(few)
+
+    def groups(few):
+        of = [(np.concatenate([g for g, _ in x]), np.concatenate([v for _, v in x])) for x in zip(*few)]
+        w = np.unique(np.concatenate([g for g, _ in of]))
+        cells = []
+        for g, v in of:
+            order = np.argsort(g, kind="stable")
+            cells.append(_lists(v[order], np.searchsorted(g[order], w)))
+        yield pa.RecordBatch.from_arrays([pa.array(w), *cells], names)
+
+    return lists.mapInArrow(run, lists.schema)
+
+
+def _right(cells: list, chosen: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Group and value of each entry to the right in the ``chosen`` rows, for each column of ``cells`` (values, bounds)."""
+    out = []
+    for i, (v, at) in enumerate(cells):
+        step = 1 + (i == 2)  # a neighbour that tasks do not know has two values
+        v = v.reshape(-1, step)
+        low, size = at[chosen] // step, (at[chosen + 1] - at[chosen]) // step
+        place = np.repeat(low - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+        g, found = np.repeat(group[chosen], size), v[place]
+        left = (found[:, 0] >> 31 if i == 0 else found[:, 0] >> 31 & 1 if i == 1 else found[:, 1] >> 32) != 0
+        out.append((np.repeat(g[~left], step), found[~left].ravel()))
+    return out
 
 
 def far_neighbours(lists: DataFrame) -> DataFrame:
@@ -378,12 +450,18 @@ class Classes:
     rest: DataFrame
 
 
-def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFrame | None, size: int) -> DataFrame:
+#: Added to a class that is a word's own, where its row has its ending's class.
+OWN = 1 << 16
+
+
+def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFrame | None, size: int, left: bool = True) -> DataFrame:
     """(w, k, own, e): each word with its class, whether it may move, and its neighbours' classes, stored.
 
-    ``e`` lists n * 65536 + side * size + class: n neighbours of a class on the right (0) or left (1), and n
-    times itself (side 2, class 0).  Tasks look the classes up; where a word's is in the table alone, it is
-    joined, and the entries of its neighbours (``others``) are put right.
+    ``e`` lists n * 65536 + side * size + class, as bytes: n neighbours of a class on the right (0) or left (1),
+    and n times itself (side 2, class 0).  Tasks look the classes up; where a word's is in the table alone, it
+    comes as a row of its own, and the entries of its neighbours (``others``) are put right.  All rows of a word
+    are brought together and merged.  Without ``left`` only neighbours on the right are listed, all that the
+    counts of neighbouring classes need.
     """
     rest = words.kept(classes.rest.select("id", "k"), True).toArrow()  # at most WIDE rows
     wide = np.zeros(len(words.ids), np.int64)
@@ -393,38 +471,68 @@ def neighbours(lists: DataFrame, classes: Classes, words: Known, others: DataFra
     def run(batches):
         for batch in slices(batches, 4096):
             row, side, code, n = _listed(batch)
+            if not left:
+                row, side, code, n = (x[side == 0] for x in (row, side, code, n))
             w = batch.column(0).to_numpy()
             cell = np.where(code == w[row], 2 * size, side * size + table[code])
             names, at = np.unique(w, return_inverse=True)
             counts = np.bincount(at[row] * (3 * size) + cell, n, len(names) * 3 * size).astype(np.int64)
             cells = np.flatnonzero(counts)
             offsets = np.searchsorted(cells, np.arange(len(names) + 1) * (3 * size)).astype(np.int32)
-            e = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[cells] << 16 | cells % (3 * size)))
+            e = _lists(counts[cells] << 16 | cells % (3 * size), offsets[:-1])
             own = (names >= 0) & ((names <= words.head) | (names >= words.first))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(words.values(table, names).astype(np.int32)), pa.array(own), e], ["w", "k", "own", "e"])
 
-    rows = lists.select("w", "ones", "more").mapInArrow(run, "w long, k int, own boolean, e array<long>")
+    def corrected(batches):
+        for batch in batches:
+            w, side, k, was, n = (batch.column(i).to_numpy() for i in range(5))
+            now = np.where(batch.column(5).to_numpy(zero_copy_only=False), 2 * size, side * size + k)
+            order = np.argsort(w, kind="stable")
+            first = _runs(w[order])
+            e = np.column_stack((-n << 16 | side * size + was, n << 16 | now))[order].ravel()
+            none = np.full(len(first), -1, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w[order][first]), pa.array(none), pa.array(none > 0), _lists(e, 2 * first)], ["w", "k", "own", "e"])
+
+    def together(batches):
+        def rows(w, k, own, v, at, first):
+            k = np.maximum.reduceat(k, first)
+            own = np.maximum.reduceat(own, first) | (k >= OWN)
+            return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(k % OWN), pa.array(own), _lists(v, at[first])], ["w", "k", "own", "e"])
+
+        held = None  # the last word, whose rows may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, k, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            v, n = _entries(batch.column(3), np.int64)
+            if held is not None:
+                w, k, own, v, n = (np.concatenate(x) for x in zip(held, (w, k, own, v, n)))
+            first, at = _runs(w), np.append(0, np.cumsum(n))
+            last = first[-1]
+            if last:
+                yield rows(w[:last], k[:last], own[:last], v[:at[last]], at, first[:-1])
+            counts = np.bincount(v[at[last]:] & 65535, v[at[last]:] >> 16, 3 * size).astype(np.int64)
+            cells = np.flatnonzero(counts)
+            held = w[-1:], k[last:].max(keepdims=True), own[last:].max(keepdims=True), counts[cells] << 16 | cells, np.array([len(cells)])
+        if held is not None:
+            yield rows(*held[:4], np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    schema = "w long, k int, own boolean, e binary"
+    near = lists.select("w", "ones", "more").mapInArrow(run, schema)
     if others is not None:
         start = F.get(F.array(*[F.lit(int(k)) for k in classes.endings]), F.col("nb").bitwiseAND(F.lit(ENDINGS - 1)).cast("int"))
-        both = others.join(classes.rest.select(F.col("id").alias("nb"), "k"), "nb").withColumn("was", start).filter("k != was or nb = w")
-        itself = F.col("nb") == F.col("w")
-        now = F.struct(F.when(itself, 2).otherwise(F.col("side")).alias("side"), F.when(itself, 0).otherwise(F.col("k")).alias("l"), "n")
-        was = F.struct("side", F.col("was").alias("l"), (-F.col("n")).alias("n"))
-        sums = both.select("w", F.explode(F.array(was, now)).alias("x")).groupBy("w", "x.side", "x.l").agg(F.sum("x.n").alias("n"))
-        entry = F.col("n") * 65536 + F.col("side") * size + F.col("l")
-        rows = rows.unionByName(sums.groupBy("w").agg(F.collect_list(entry).alias("e")), allowMissingColumns=True)
-    near = rows.groupBy("w").agg(F.max("k").alias("k"), F.max("own").alias("own"), F.flatten(F.collect_list("e")).alias("e"))
-    if others is not None:
-        near = near.join(classes.rest.select(F.col("id").alias("w"), F.col("k").alias("_k")), "w", "left")
-        near = near.select("w", F.coalesce("_k", "k").alias("k"), (F.col("own") | F.col("_k").isNotNull()).alias("own"), "e")
-    return stored(near, "neighbours")
+        both = others.filter("true" if left else "side = 0").join(classes.rest.select(F.col("id").alias("nb"), "k"), "nb").withColumn("was", start).filter("k != was or nb = w")
+        put = both.select("w", *[F.col(c).cast("long") for c in ("side", "k", "was", "n")], (F.col("nb") == F.col("w")).alias("itself"))
+        near = near.unionByName(put.mapInArrow(corrected, schema))
+        joined = words.kept(classes.rest.select("id", "k"), False)
+        near = near.unionByName(joined.select(F.col("id").alias("w"), (F.col("k") + OWN).cast("int").alias("k"), F.lit(True).alias("own"), F.lit(b"").alias("e")))
+    return stored(near.repartition("w").sortWithinPartitions("w").mapInArrow(together, schema), "neighbours")
 
 
 def _cells(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Own class, and the neighbours' counts by row, side and class, of a batch of (..., k, e)."""
-    e = batch.column(batch.num_columns - 1)
-    v, rows = e.flatten().to_numpy(), batch.num_rows
-    counts = np.bincount(e.value_parent_indices().to_numpy() * (3 * size) + (v & 65535), v >> 16, rows * 3 * size)
+    (v, n), rows = _entries(batch.column(batch.num_columns - 1), np.int64), batch.num_rows
+    counts = np.bincount(np.repeat(np.arange(rows), n) * (3 * size) + (v & 65535), v >> 16, rows * 3 * size)
     return batch.column(batch.num_columns - 2).to_numpy(), counts.reshape(rows, 3, size)
 
 
@@ -506,14 +614,14 @@ def sweep(lists: DataFrame, classes: Classes, words: Known, beyond: DataFrame, k
     others = None if words.whole else stored(far_neighbours(lists).join(beyond, "nb"), "others")
     near = neighbours(lists, classes, words, others, k)
     table = class_bigrams(near, k)
-    for _ in range(sweeps):
+    for i in range(sweeps):
         rows = stored(moved(near, words, table), "classes")
         head = classes.head.copy()
         top = rows.filter("id >= 0").toArrow()  # the head
         head[top["id"].to_numpy()] = top["k"].to_numpy()
         new = Classes(head, classes.endings, rows.filter("id < 0"))
         discard(near)
-        near = neighbours(lists, new, words, others, k)
+        near = neighbours(lists, new, words, others, k, left=i < sweeps - 1)
         new_table = class_bigrams(near, k)
         if likelihood(new_table) <= likelihood(table):
             break
@@ -581,7 +689,8 @@ def fit(docs: DataFrame, learnable: Column, text: str = "text", head_words: int
         last, table = sweep(lists, first, words, beyond, k, sweeps)
         of_code[:len(head)] = last.head[:-1]
         found = last.rest.select(F.col("id").alias("h"), F.col("k").alias("_k"))
-        rest = stored(rest.join(found, "h", "left").select("h", "c", F.coalesce("_k", "k").alias("k")), "rest")
+        chosen = rest.filter(F.col("c") >= LEAST).join(found, "h", "left").select("h", "c", F.coalesce("_k", "k").alias("k"))
+        rest = stored(chosen.unionByName(rest.filter(F.col("c") < LEAST)), "rest")
         discard(tail)
     discard(lists)
     n_class, v_class = np.bincount(of_code[:len(head)], c, k), np.bincount(of_code[:len(head)], minlength=k).astype(float)
