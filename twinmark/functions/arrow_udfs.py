@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from typing import Callable, Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -50,14 +51,15 @@ def _matrices(lists: pa.Array):
     """The vectors of each row, a list of vectors, as a matrix in double precision, one row after the other."""
     ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
     vectors = lists.flatten()
-    widths = pc.unique(pc.list_value_length(vectors)).to_pylist()
-    if len(widths) == 1 and widths[0]:
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, widths[0])
-        for a, b in zip(ends, ends[1:]):
-            yield flat[a:b].astype(np.float64)
-    else:
-        for row in lists.to_pylist():
-            yield np.array(row or [], np.float64)
+    wide = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+    starts = np.concatenate(([0], np.cumsum(np.maximum(wide, 0))))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    for row, (a, b) in enumerate(zip(ends, ends[1:])):
+        width = wide[a] if a < b else 0
+        if width >= 0 and (wide[a:b] == width).all():
+            yield flat[starts[a]:starts[b]].reshape(b - a, width).astype(np.float64)
+        else:
+            yield np.array(lists[row].as_py(), np.float64)
 
 
 def _doubles(rows: list, per_row: list) -> pa.Array:
@@ -65,8 +67,7 @@ def _doubles(rows: list, per_row: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))), pa.int32()), pa.array(np.concatenate([np.zeros(0), *rows])))
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def dot_matrix_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+def dot_matrices(a: pa.Array, b: pa.Array) -> pa.Array:
     """All dot products of two lists of vectors, in double precision."""
     cells, high, wide = [], [], []
     for x, y in zip(_matrices(a), _matrices(b)):
@@ -77,6 +78,7 @@ def dot_matrix_udf(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 VECTOR = T.ArrayType(T.DoubleType())
+MATRIX = T.ArrayType(VECTOR)
 
 
 def _row(**fields) -> T.StructType:
@@ -150,20 +152,48 @@ def n_words_udf(s: pa.Array) -> pa.Array:
     return pa.array([None if x is None else len(x.split()) for x in s.to_pylist()], pa.int64())
 
 
-VECTORS = "vec array<array<float>>, norm array<double>"
+#: Pairs whose vectors and results are in a worker's memory at once.
+PAIR_ROWS = 64
 
 
-def vectors_udf(table):
-    """Vectors and norms of the ids of a row, a list of id lists; ids at the same place in several lists go by their vector.
+def sliced_udf(kind, of: Callable):
+    """A column of ``kind`` from array columns, made by the Arrow function ``of`` from ``PAIR_ROWS`` rows at a time.
+
+    What comes out of a slice goes back to Spark before the next is made, however many rows a batch has.
+    """
+    def slices(columns):
+        for at in range(0, len(columns[0]), PAIR_ROWS):
+            yield of(*[c.slice(at, PAIR_ROWS) for c in columns])
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield from slices(columns)
+
+    @F.arrow_udf(kind)
+    def run_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield from slices((column,))
+
+    # marked so that Spark makes the column once: it puts what is deterministic also into the filters that read it
+    return lambda *columns: (run if len(columns) > 1 else run_one).asNondeterministic()(*columns)
+
+
+def looked_up(table) -> Callable:
+    """Vectors and norms of the ids of rows, lists of id lists; ids at the same place in several lists go by their vector.
 
     ``table`` is a broadcast (ids, vectors, norms) in the order of the vectors; an id may have several.
     """
-    @F.arrow_udf(VECTORS)
-    def look(groups: pa.Array) -> pa.Array:
+    held = []
+
+    def look(groups: pa.Array) -> tuple[pa.Array, pa.Array]:
         ids, vectors, norms = table.value
-        places = {}
-        for at, i in enumerate(ids):
-            places.setdefault(i, []).append(at)
+        if not held:
+            places = {}
+            for at, i in enumerate(ids):
+                places.setdefault(i, []).append(at)
+            held.append(places)
+        places = held[0]
         single = len(places) == len(ids)
         found, ends = [], [0]
         for lists in groups.to_pylist():
@@ -173,34 +203,58 @@ def vectors_udf(table):
                 found.extend(at for _, at in sorted((pos, at) for one in lists for pos, i in enumerate(one) for at in places.get(i, ())))
             ends.append(len(found))
         at, ends = pa.array(found, pa.int32()), pa.array(ends, pa.int32())
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, x.take(at)) for x in (vectors, norms)], ["vec", "norm"])
+        return tuple(pa.ListArray.from_arrays(ends, x.take(at)) for x in (vectors, norms))
 
     return look
 
 
-@F.pandas_udf(_row(one=T.ArrayType(VECTOR), two=T.ArrayType(VECTOR)))
-def align_udf(m: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Softmax of a score matrix by row over the second side's vectors, and by column over the first side's."""
+def vectors_udf(table):
+    """``looked_up`` as a column."""
+    look = looked_up(table)
+    return sliced_udf("vec array<array<float>>, norm array<double>", lambda groups: pa.StructArray.from_arrays(look(groups), ["vec", "norm"]))
+
+
+def _list_doubles(rows: list, high: list, wide: list) -> pa.Array:
+    """Lists of vectors of doubles from matrices, ``high`` of them a row, each of its width in ``wide``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(high))), pa.int32()), _doubles([x.ravel() for x in rows], wide))
+
+
+ALIGNED = _row(one=MATRIX, two=MATRIX)
+
+
+def alignments(m: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    """Softmax of a score matrix by row over the second side's vectors, and by column over the first side's; none for a pair with an empty side."""
     def aligned(scores, vectors):
         e = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return list(e @ np.stack(vectors).astype(np.float64) / e.sum(axis=1, keepdims=True))
+        return e @ vectors / e.sum(axis=1, keepdims=True)
 
-    both = [(np.stack(s), x, y) for s, x, y in zip(m, a, b)]
-    return pd.DataFrame({"one": [aligned(s, y) for s, _, y in both], "two": [aligned(s.T, x) for s, x, _ in both]})
+    sides = [], []
+    for s, x, y in zip(_matrices(m), _matrices(a), _matrices(b)):
+        whole = len(x) and len(y)
+        sides[0].append(aligned(s, y) if whole else np.zeros((0, 0)))
+        sides[1].append(aligned(s.T, x) if whole else np.zeros((0, 0)))
+    return pa.StructArray.from_arrays([_list_doubles(rows, [len(r) for r in rows], [r.shape[1] for r in rows for _ in r]) for rows in sides], ["one", "two"])
 
 
-@F.pandas_udf(_row(mul=T.DoubleType(), plus=T.DoubleType(), minus=T.DoubleType(), concat=T.LongType()))
-def elementwise_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """The sums of all element-wise cells (product, sum, difference) of two lists of vectors, and of their concatenations' lengths."""
+CELL_SUMS = T.ArrayType(_row(mul=T.DoubleType(), plus=T.DoubleType(), minus=T.DoubleType(), concat=T.LongType()))
+
+
+def cell_sums(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The sums of all element-wise cells (product, sum, difference) of two lists of vectors, and of their concatenations' lengths; none for a pair with an empty side."""
     out = []
-    for x, y in zip(a, b):
-        x, y = np.stack(x).astype(np.float64)[:, None, :], np.stack(y).astype(np.float64)[None, :, :]
-        out.append((float((x * y).sum()), float((x + y).sum()), float((x - y).sum()), x.shape[0] * y.shape[1] * (x.shape[2] + y.shape[2])))
-    return pd.DataFrame(out, columns=["mul", "plus", "minus", "concat"])
+    for x, y in zip(_matrices(a), _matrices(b)):
+        if not (len(x) and len(y)):
+            out.append([])
+            continue
+        x, y = x[:, None, :], y[None, :, :]
+        out.append([{"mul": float((x * y).sum()), "plus": float((x + y).sum()), "minus": float((x - y).sum()), "concat": x.shape[0] * y.shape[1] * (x.shape[2] + y.shape[2])}])
+    return pa.array(out, pa.list_(pa.struct([("mul", pa.float64()), ("plus", pa.float64()), ("minus", pa.float64()), ("concat", pa.int64())])))
+
+
+SENTENCE = _row(mean=VECTOR, max=VECTOR, sum=VECTOR)
 
 
-@F.arrow_udf(_row(mean=VECTOR, max=VECTOR, sum=VECTOR))
-def sentence_udf(vectors: pa.Array) -> pa.Array:
+def sentences(vectors: pa.Array) -> pa.Array:
     """Element-wise mean, maximum and sum of a list of vectors; empty ones if it has none."""
     kinds, wide = ([], [], []), []
     for v in _matrices(vectors):

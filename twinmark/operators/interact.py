@@ -9,11 +9,13 @@ most ``maxlen`` x ``maxlen`` cells (the fixed sequence length), never pairs acro
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distance as D
-from ..functions.arrow_udfs import align_udf, dot_matrix_udf, sentence_udf, vectors_udf
+from ..functions import arrow_udfs as U
 from .corpus import MAX_SEQUENCE_LENGTH, pad
 
 MATCH_TYPES = ("dot", "mul", "plus", "minus", "concat")
@@ -35,7 +37,24 @@ def _looked_up(emb: DataFrame):
     """The embedding table, sent to the tasks in the order of its vectors."""
     t = emb.select(F.col("idx").cast("int").alias("idx"), "vec", D.norm("vec").alias("n")).orderBy("vec").toArrow().combine_chunks()
     whole = lambda c: pa.concat_arrays(t[c].chunks) if t.num_rows else t[c].combine_chunks()
-    return vectors_udf(emb.sparkSession.sparkContext.broadcast((whole("idx").to_pylist(), whole("vec"), whole("n"))))
+    return emb.sparkSession.sparkContext.broadcast((whole("idx").to_pylist(), whole("vec"), whole("n")))
+
+
+def _of_sides(rows: DataFrame, kind, of) -> Column:
+    """A column made by the Arrow function ``of`` from a pair's two lists of vectors.
+
+    On ``side_vectors`` (and what keeps its ids) the vectors are looked up where ``of`` needs them, some
+    pairs at a time: only ids go to the Python workers, and only what ``of`` makes comes back.
+    """
+    table = rows.__dict__.get("_vectors_of_ids")
+    if table is None:
+        return U.sliced_udf(kind, of)("v1", "v2")
+    look = U.looked_up(table)
+    return U.sliced_udf(kind, lambda one, two: of(look(one)[0], look(two)[0]))("_1", "_2")
+
+
+def _n_vectors(rows: DataFrame, side: int) -> Column:
+    return F.col(f"n{side}") if "_vectors_of_ids" in rows.__dict__ and f"n{side}" in rows.columns else F.size(f"v{side}")
 
 
 def token_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, padded: bool = False,
@@ -44,7 +63,7 @@ def token_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, padded: bool
     the leading zero ids are kept (they read row 0, the zero vector).  A sentence without any has no row."""
     ids = pad("ids", maxlen) if padded else _tail(maxlen)
     per = seqs.select(*keys, "side", ids.alias("ids")).repartition(*keys).groupBy(*keys, "side").agg(F.collect_list("ids").alias("_l"))
-    return per.select(*keys, "side", _looked_up(emb)("_l").alias("_v")).select(*keys, "side", F.col("_v.vec").alias("vecs")).where(F.size("vecs") > 0)
+    return per.select(*keys, "side", U.vectors_udf(_looked_up(emb))("_l").alias("_v")).select(*keys, "side", F.col("_v.vec").alias("vecs")).where(F.size("vecs") > 0)
 
 
 def cells(tid: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,28 +175,44 @@ def side_vectors(seqs: DataFrame, keys: list[str], emb: DataFrame, maxlen: int =
 
     At most ``maxlen`` vectors a side, so a row is bounded; all interactions of a pair are then
     computed on its row.  Only the ids are shuffled: a row's vectors are looked up when its ids are together.
+    They stay beside the vectors (``_1``, ``_2``, lists of id lists): what reads them needs no vectors from Spark.
     With ``padded`` the leading zero ids are kept (they read row 0, the zero vector).
     """
     of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("ids"))).alias(f"_{side}")
     last = pad("ids", maxlen) if padded else _tail(maxlen)
     ids = seqs.select(*keys, "side", last.alias("ids")).groupBy(*keys).agg(of(1), of(2))
-    look = _looked_up(emb)
-    rows = ids.select(*keys, look("_1").alias("_1"), look("_2").alias("_2"))
-    return rows.select(*keys, *[F.col(f"_{i}.{f}").alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("norm", "k"))])
+    table = _looked_up(emb)
+    look = U.vectors_udf(table)
+    rows = ids.select(*keys, "_1", "_2", look("_1").alias("_v1"), look("_2").alias("_v2"))
+    rows = rows.select(*keys, "_1", "_2", *[F.col(f"_v{i}.{f}").alias(f"{o}{i}") for i in (1, 2) for f, o in (("vec", "v"), ("norm", "k"))])
+    rows._vectors_of_ids = table
+    return rows
 
 
 def score_matrix(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M1 on ``side_vectors``: adds ``m``, the dot products [i][j] of the pair's tokens.
+    """M1 on ``side_vectors``: adds ``m``, the dot products [i][j] of the pair's tokens (and n1, n2, how many there are).
 
-    One small matrix product per pair, in an Arrow batch.  (As nested lambdas it would be put into
+    One small matrix product per pair, in slices of an Arrow batch.  (As nested lambdas it would be put into
     the lambdas that read it, and computed anew for each cell.)
     """
-    return rows.withColumn("m", dot_matrix_udf("v1", "v2"))
+    table = rows.__dict__.get("_vectors_of_ids")
+    if table is None:
+        return rows.withColumn("m", _of_sides(rows, U.MATRIX, U.dot_matrices))
+    look = U.looked_up(table)
+
+    def scored(one, two):
+        (a, k1), (b, k2) = look(one), look(two)
+        return pa.StructArray.from_arrays([U.dot_matrices(a, b), k1, k2, pc.list_value_length(a), pc.list_value_length(b)], ["m", "k1", "k2", "n1", "n2"])
+
+    made = U.sliced_udf("m array<array<double>>, k1 array<double>, k2 array<double>, n1 int, n2 int", scored)("_1", "_2")
+    out = rows.withColumn("_s", made).select(*[c for c in rows.columns if c not in ("k1", "k2")], "_s.*")
+    out._vectors_of_ids = table
+    return out
 
 
 def matrix_topk(rows: DataFrame, keys: list[str], k: int = 100, maxlen: int = MAX_SEQUENCE_LENGTH) -> DataFrame:
     """M4 / W3 on ``score_matrix``: the k largest cells of the padded matrix, descending."""
-    padded = F.concat(F.flatten("m"), F.array_repeat(F.lit(0.0), F.lit(maxlen * maxlen) - F.size("v1") * F.size("v2")))
+    padded = F.concat(F.flatten("m"), F.array_repeat(F.lit(0.0), F.lit(maxlen * maxlen) - _n_vectors(rows, 1) * _n_vectors(rows, 2)))
     return rows.select(*keys, F.slice(F.sort_array(padded, asc=False), 1, k).alias("topk"))
 
 
@@ -193,13 +228,13 @@ def matrix_pool(rows: DataFrame, keys: list[str], p1: int = 5, p2: int = 5, maxl
         raise ValueError(f"a grid of {p1} x {p2} does not fit sequences of {side}")
     s1, s2 = side // p1, side // p2
 
-    def place(g, v):
-        places = F.nullif(F.floor(F.size(v) / compress_ratio), F.lit(0))  # an empty side reads nothing
+    def place(g, n):
+        places = F.nullif(F.floor(_n_vectors(rows, n) / compress_ratio), F.lit(0))  # an empty side reads nothing
         return F.floor(g / (F.lit(float(side)) / places)).cast("int")
 
     def block(bi, bj):
         inside = lambda b, s: F.sequence(b * s, b * s + (s - 1))
-        cell = lambda g: F.transform(inside(bj, s2), lambda h: F.get(F.get(F.col("m"), place(g, "v1")), place(h, "v2")))
+        cell = lambda g: F.transform(inside(bj, s2), lambda h: F.get(F.get(F.col("m"), place(g, 1)), place(h, 2)))
         return F.array_max(F.flatten(F.transform(inside(bi, s1), cell)))
 
     grid = F.transform(F.sequence(F.lit(0), F.lit(p1 - 1)), lambda bi: F.transform(F.sequence(F.lit(0), F.lit(p2 - 1)), lambda bj: block(bi, bj)))
@@ -208,22 +243,40 @@ def matrix_pool(rows: DataFrame, keys: list[str], p1: int = 5, p2: int = 5, maxl
 
 
 def matrix_align(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M6 on ``score_matrix``: (keys, side, pos, aligned), see ``soft_align``; two matrix products per pair."""
-    r = rows.where((F.size("v1") > 0) & (F.size("v2") > 0)).select(*keys, align_udf("m", "v1", "v2").alias("_a"))
+    """M6 on ``score_matrix``: (keys, side, pos, aligned), see ``soft_align``; two matrix products per pair.
+
+    Where the pair's ids are in its row, its scores are made in the slice that aligns them.
+    """
+    if "_vectors_of_ids" in rows.__dict__:
+        made = _of_sides(rows, U.ALIGNED, lambda a, b: U.alignments(U.dot_matrices(a, b), a, b))
+    else:
+        made = U.sliced_udf(U.ALIGNED, U.alignments)("m", "v1", "v2")
+    r = rows.select(*keys, made.alias("_a"))
     sides = F.posexplode(F.array("_a.one", "_a.two")).alias("side", "_s")
     r = r.select(*keys, sides).select(*keys, (F.col("side") + 1).alias("side"), F.posexplode("_s").alias("pos", "aligned"))
     return r
 
 
+def elementwise_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """M2 and M3 on ``side_vectors``: (keys, mul, plus, minus, concat), the sums over all cells of a pair; pairs with vectors on both sides."""
+    found = rows.select(*keys, _of_sides(rows, U.CELL_SUMS, U.cell_sums).alias("_l"))
+    return found.select(*keys, F.explode_outer("_l").alias("_c")).where(F.col("_c").isNotNull()).select(*keys, "_c.*")
+
+
 def sentence_vectors(tv: DataFrame, keys: list[str]) -> DataFrame:
     """M7: element-wise mean, max and sum of each sentence's token vectors (at most ``maxlen`` of them, one row)."""
-    return tv.select(*keys, "side", sentence_udf("vecs").alias("_s")).select(*keys, "side", "_s.mean", "_s.max", "_s.sum")
+    return tv.select(*keys, "side", U.sliced_udf(U.SENTENCE, U.sentences)("vecs").alias("_s")).select(*keys, "side", "_s.mean", "_s.max", "_s.sum")
 
 
 def sentence_sides(rows: DataFrame, keys: list[str]) -> DataFrame:
     """M7 on ``side_vectors``: (keys, s1, s2), the mean, max and sum of either side, for pairs with vectors on both."""
-    both = rows.where((F.size("v1") > 0) & (F.size("v2") > 0))
-    return both.select(*keys, *[sentence_udf(f"v{i}").alias(f"s{i}") for i in (1, 2)])
+    def both(a, b):
+        ends = [pc.fill_null(pc.list_value_length(x), 0) for x in (a, b)]
+        return pa.StructArray.from_arrays([U.sentences(a), U.sentences(b), pc.min_element_wise(*ends)], ["s1", "s2", "least"])
+
+    kind = U._row(s1=U.SENTENCE, s2=U.SENTENCE, least=T.IntegerType())
+    found = rows.select(*keys, _of_sides(rows, kind, both).alias("_s")).where(F.col("_s.least") > 0)
+    return found.select(*keys, "_s.s1", "_s.s2")
 
 
 def _pair_columns(a: str, b: str) -> list[Column]:

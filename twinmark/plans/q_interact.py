@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..functions.arrow_udfs import elementwise_udf
 from ..operators import corpus as C
 from ..operators import features as X
 from ..operators import interact as I
@@ -86,9 +85,8 @@ FROM cells GROUP BY pair_id""", ("M2", "M3"))
 def match_elementwise(spark, sf):
     """All kinds of a cell in one pass; the sums are taken in the pair's row."""
     seqs, emb = _prep(spark, sf)
-    rows = I.side_vectors(seqs, KEYS, emb).where((F.size("v1") > 0) & (F.size("v2") > 0))
-    rows = rows.select(*KEYS, elementwise_udf("v1", "v2").alias("_c"))
-    return rows.select(*KEYS, *[F.round(f"_c.{k}", 4).alias(f"{k}_sum") for k in ("mul", "plus", "minus")], F.col("_c.concat").alias("concat_len"))
+    rows = I.elementwise_sums(I.side_vectors(seqs, KEYS, emb), KEYS)
+    return rows.select(*KEYS, *[F.round(k, 4).alias(f"{k}_sum") for k in ("mul", "plus", "minus")], F.col("concat").alias("concat_len"))
 
 
 TOPK_SQL = f"""WITH {IBASE},
