@@ -14,6 +14,7 @@ from ..sources import pairs as P
 from ..sources.tables import table
 from .catalog import query
 from .q_corpus import BASE, KEYS, prepared, sequences_of
+from .q_features import split_pairs_and_idf
 
 DIM = 64
 R = 6
@@ -182,9 +183,9 @@ OOF_FEATURES = ["word_match_share", "len_word_diff", "len_char_diff", "ngram_jac
 
 
 def _oof(spark, sf):
-    pairs = P.split_doc_pairs(spark, sf)
+    pairs, idf = split_pairs_and_idf(spark, sf)
     feats = X.pair_features(pairs.drop("label"), ["pair_id"],
-                            ("Not", "WordMatchShare", "Length", "NgramJaccardCoef", "TFIDFSpanish"))
+                            ("Not", "WordMatchShare", "Length", "NgramJaccardCoef", "TFIDFSpanish"), idf=idf)
     # stored: the training rows and the others are read apart
     feats = cut_lineage(feats).join(pairs.select("pair_id", "split", "label"), "pair_id")
     return SK.out_of_fold_scores(feats.where(F.col("split") == "train"), feats.where(F.col("split") == "test"),
